@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import linededup, mixing, packing, toxicity
+from siftwell.llm import linededup, mixing, ngramjoin, packing, toxicity
 from siftwell.llm.queries import tokenizer_path, training_labels
 from siftwell.llm.tables import keep, table
 
@@ -31,6 +31,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more: that of the least doc_id."""
+    return ngramjoin.representatives(docs, "text", "doc_id", words=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; a document with no copy goes."""
     mixed = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "copies").filter("copies > 0")
@@ -45,6 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", reject_toxic),
     ("line dedup", drop_lines),
+    ("n-gram Jaccard join", join_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

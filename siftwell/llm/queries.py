@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import jpeg, linededup, mixing, packing, pii, quality, secrets, tokenio, toxicity
+from siftwell.llm import jpeg, linededup, mixing, ngramjoin, packing, pii, quality, secrets, tokenio, toxicity
 from siftwell.llm.tables import shared_dir, table
 
 
@@ -73,6 +73,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media, op10_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
