@@ -18,7 +18,7 @@ RATIO, MIN_PAGES = 0.2, 3
 BROADCAST_LINES, SALTS = 1_000_000, 64
 
 _BLOCK = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|main|aside|blockquote|pre|title|body|head|html)|br)(?:\s[^>]*)?/?>"
-_HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->"
+_HIDDEN = r"(?is)<script(?:\s[^>]*)?>.*?</script>|<style(?:\s[^>]*)?>.*?</style>|<!--.*?-->"
 
 
 def host_of(url: str) -> Column:
