@@ -1,8 +1,9 @@
 """Toxicity scores: a Levenshtein automaton run against a lexicon trie finds terms and misspellings of them; windows of words around
 each hit tell quotation from abuse; a logistic model over the hits' kinds makes the score.
 
-The lexicon is a fixed list of general insults and the terms that labelled rows show: words in a fair share of toxic and hardly
-any clean training documents. Misspellings that clean training documents use are vetoed. Only text enters a score.
+The lexicon is a fixed list of general insults and what labelled rows show: terms (words in a fair share of toxic and hardly
+any clean training documents) and stems (beginnings of words, whatever the ending, that are many times likelier in toxic ones). Misspellings that clean training documents
+use are vetoed. Only text enters a score.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ WINDOW = 4
 MAX_LABELLED = 20_000
 #: A learned term is in this share of toxic training documents, and at most that share of clean ones.
 TERM_SHARE, CLEAN_SHARE = 0.1, 0.002
+#: A learned stem has so many letters, is in this share of toxic training documents, and is so many times likelier there.
+STEM_LETTERS, STEM_SHARE, STEM_LIFT = (4, 9), 0.01, 8.0
 #: Most distinct words whose verdict a worker remembers.
 MAX_WORDS = 1_500_000
-FEATURES = ("abuse", "misspelt", "quoted", "dense")
+FEATURES = ("abuse", "misspelt", "quoted", "dense", "stems")
 #: Prior means of the model: bias, then FEATURES. Rows pull the weights away from these; without rows these hold.
-PRIOR = np.array([-3.0, 5.0, 3.5, 0.5, 1.0])
+PRIOR = np.array([-3.0, 5.0, 3.5, 0.5, 1.0, 1.5])
 
-EXACT, FUZZY = 1, 2
+EXACT, FUZZY, STEM = 1, 2, 3
 
 
 def fuzz(term: str) -> int:
@@ -49,8 +52,8 @@ def fuzz(term: str) -> int:
 class Lexicon:
     """A trie of terms; match() walks it in step with the Levenshtein automaton of a word (its states are rows of edit distances)."""
 
-    def __init__(self, terms: Iterable[str], veto: Iterable[str] = ()):
-        self.terms, self.veto = frozenset(terms), frozenset(veto)
+    def __init__(self, terms: Iterable[str], veto: Iterable[str] = (), stems: Iterable[str] = ()):
+        self.terms, self.veto, self.stems = frozenset(terms), frozenset(veto), frozenset(stems)
         self.root: dict = {}
         for term in sorted(self.terms):
             node = self.root
@@ -61,10 +64,12 @@ class Lexicon:
         self.shortest = min(map(len, self.terms), default=0) - 2
 
     def match(self, word: str) -> int:
-        """EXACT, FUZZY or 0. The word is in lower case; signs around it don't count, look-alikes inside it count as letters."""
+        """EXACT, STEM, FUZZY or 0. The word is in lower case; signs around it don't count, look-alikes inside it count as letters."""
         bare = word.strip("\t .,;:!?\"'()[]{}<>*_-#%&|/\\`~“”„‘’«»…")
         if bare in self.terms:
             return EXACT
+        if any(bare[:k] in self.stems for k in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1)):
+            return STEM
         if not self.shortest <= len(bare) <= self.longest or bare in self.veto:
             return 0
         plain = "".join(LOOKALIKES.get(c, c) for c in bare)
@@ -136,14 +141,15 @@ class Scanner:
             if self._quoted(words, i, int(words.first[d]), int(words.first[d + 1])):
                 out[d, 2] += 1
             else:
-                out[d, int(kind[i]) - 1] += 1
+                out[d, 4 if kind[i] == STEM else int(kind[i]) - 1] += 1
         size = np.diff(words.first)
         out[:, 3] = np.minimum(1, 20 * out[:, :2].sum(axis=1) / np.maximum(size, 1))
         out[:, :3] = np.minimum(out[:, :3], 3)
+        out[:, 4] = np.minimum(out[:, 4], 4)
         return out
 
     def _judge(self, words, where: np.ndarray) -> np.ndarray:
-        lo, hi = self.lexicon.shortest, self.lexicon.longest + 12  # signs around a word, letters of two bytes
+        lo, hi = min(self.lexicon.shortest, STEM_LETTERS[0]), 96  # a longer run of signs is no word
         length = words.ends[where] - words.starts[where]
         kinds = np.zeros(len(where), np.uint8)
         for k in np.flatnonzero((length >= lo) & (length <= hi)).tolist():
@@ -164,8 +170,8 @@ def _rows(docs: DataFrame, text: str, doc_id: str, *more: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
 
 
-def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str]]:
-    """From a bounded table of (text, toxic): terms that labels show, and words of clean documents that look like terms (vetoes).
+def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """From a bounded table of (text, toxic): terms that labels show, words of clean documents that look like terms (vetoes), and stems.
 
     Only words over TERM_SHARE of the toxic documents, or near a term, reach the driver.
     """
@@ -183,7 +189,27 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str]]:
     # a word near a term is vetoed if clean documents use it and toxic ones don't use it more often in proportion
     often = F.col("c") * F.lit(max(n.toxic, 1)) >= F.col("t") * F.lit(max(n.clean, 1))
     veto = counts.filter((F.col("c") >= 1) & often).select("word").mapInArrow(look_alike, "word string")
-    return terms, sorted(r.word for r in veto.collect())
+    return terms, sorted(r.word for r in veto.collect()), learn_stems(labelled, n.toxic, n.clean)
+
+
+def learn_stems(labelled: DataFrame, toxic: int, clean: int) -> list[str]:
+    """Beginnings of words that are STEM_LIFT times likelier in toxic documents; of nested ones the shortest.
+
+    Only those in STEM_SHARE of the toxic documents reach the driver, at most (mean distinct beginnings of a document) / STEM_SHARE.
+    """
+    lo, hi = STEM_LETTERS
+    word = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))
+    heads = F.flatten(F.transform(word, lambda w: F.when(F.length(w) >= lo, F.transform(F.sequence(F.lit(lo), F.least(F.length(w), F.lit(hi))), lambda k: F.substring(w, 1, k))).otherwise(F.array().cast("array<string>"))))
+    each = labelled.select("toxic", F.explode(F.array_distinct(heads)).alias("head"))
+    often = each.filter("toxic = 1").groupBy("head").agg(F.count("*").alias("t")).filter(F.col("t") >= max(5, STEM_SHARE * toxic))
+    among = each.filter("toxic = 0").join(F.broadcast(often), "head").groupBy("head").agg(F.count("*").alias("c"))
+    lift = (F.col("t") / max(toxic, 1)) / ((F.col("c") + 0.5) / max(clean, 1))
+    got = often.join(among, "head", "left").fillna(0, ["c"]).filter(lift >= STEM_LIFT).select("head").collect()
+    out: set[str] = set()
+    for r in sorted(got, key=lambda r: (len(r["head"]), r["head"])):
+        if not any(r["head"][:k] in out for k in range(lo, len(r["head"]))):
+            out.add(r["head"])
+    return sorted(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_labelled: int = MAX_LABELLED) -> Model:
@@ -194,8 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)  # ids only; their number is the bound
     rows = keep(_rows(docs, text, doc_id).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
-    terms, veto = learn_terms(rows)
-    lexicon = Lexicon(terms, veto)
+    lexicon = Lexicon(*learn_terms(rows))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
@@ -223,11 +248,11 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", keep_columns: Iterable[str] = ()) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5) of every row; null texts score as empty ones. One pass, no shuffle."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.weights))
+    shared = spark.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.lexicon.stems, model.weights))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, veto, weights = shared.value
-        own = Model(Lexicon(terms, veto), weights)
+        *words, weights = shared.value
+        own = Model(Lexicon(*words), weights)
         scanner = Scanner(own.lexicon)
         for batch in slices(batches):
             s = own.score(scanner.features(batch.column(1)))
@@ -238,12 +263,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs, all their columns, without the rows that are predicted toxic. One pass, no shuffle or join."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.lexicon.stems, model.weights))
     at = docs.columns.index(text)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, veto, weights = shared.value
-        own = Model(Lexicon(terms, veto), weights)
+        *words, weights = shared.value
+        own = Model(Lexicon(*words), weights)
         scanner = Scanner(own.lexicon)
         for batch in slices(batches, text):
             yield batch.filter(pa.array(own.score(scanner.features(batch.column(at))) < 0.5))
