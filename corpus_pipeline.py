@@ -28,7 +28,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a share of their source's documents repeat; n_chars follows the text. Documents all stay."""
     out = linededup.dedup_lines(docs, "text", "source", "doc_id", LINE_RATIO, LINE_MIN)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    same = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*same)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; a document with no copy goes."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "copies").filter("copies > 0")
-    return docs.join(mixed, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.tables import keep
+from siftwell.llm.tables import boxed, keep, unboxed
 
 #: A line is boilerplate if at least MIN_PAGES pages of its host hold it, and more than RATIO of them.
 RATIO, MIN_PAGES = 0.2, 3
@@ -34,17 +34,17 @@ def lines_of_html(html: str) -> Column:
 
 
 def dedup_lines(pages: DataFrame, text: str, host: str, page_id: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages, all their columns, with text without boilerplate lines, and n_lines and n_dropped.
+    """pages, all their columns, with text without boilerplate lines, and n_lines and n_dropped (columns so named are replaced).
 
     Lines are split at \\n and compared without blanks around them; blank lines stay and never count. A null text stays null; a null host is one of its own.
     Repeated pages count each. A page may lose all its lines; its text is empty then.
     """
-    names = pages.columns
-    held = pages.withColumns({"_host": F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")), "_lines": F.split(F.coalesce(F.col(text), F.lit("")), "\n")})
+    name = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-"))
+    held = boxed(pages, _host=name, _text=F.col(text), _id=F.col(page_id), _lines=F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     hashes = F.array_distinct(F.filter(F.transform("_lines", _key), lambda h: h.isNotNull()))
     each = held.select("_host", F.explode(hashes).alias("_line"))
     often = each.groupBy("_host", "_line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    totals = pages.groupBy(F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("_host")).agg(F.count("*").alias("pages"))
+    totals = pages.groupBy(name.alias("_host")).agg(F.count("*").alias("pages"))
     # both sides are reduced: a few lines a host, and one row a host
     bad = often.join(totals, "_host").filter(F.col("n") > F.col("pages") * F.lit(ratio))
     bad = keep(bad.groupBy("_host").agg(F.collect_list("_line").alias("_bad")), "boilerplate")
@@ -53,12 +53,11 @@ def dedup_lines(pages: DataFrame, text: str, host: str, page_id: str, ratio: flo
         met = held.join(F.broadcast(bad), "_host", "left")
     else:
         salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = held.withColumn("_salt", F.pmod(F.xxhash64(page_id), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
+        met = held.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
     stay = F.filter("_lines", lambda x: F.coalesce(~F.array_contains(F.col("_bad"), _key(x)), F.lit(True)))
     met = met.withColumn("_stay", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(stay))
-    new = F.when(F.col(text).isNotNull(), F.when(F.size("_stay") == F.size("_lines"), F.col(text)).otherwise(F.array_join("_stay", "\n")))
-    counts = [F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_stay")).cast("long").alias("n_dropped")]
-    return met.select(*(new.alias(c) if c == text else F.col(c) for c in names), *counts)
+    new = F.when(F.col("_text").isNotNull(), F.when(F.size("_stay") == F.size("_lines"), F.col("_text")).otherwise(F.array_join("_stay", "\n")))
+    return unboxed(met, pages.columns, **{text: new, "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_stay")).cast("long")})
 
 
 def _key(line: Column) -> Column:

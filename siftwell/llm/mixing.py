@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.tables import drop, keep
+from siftwell.llm.tables import boxed, drop, keep, unboxed
 
 #: Weights of sources in code-point order of their names (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -131,3 +131,13 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     up = F.floor(F.col("after") + start) - F.floor(F.col("after") - F.col("frac").cast("decimal(20,9)") + start)
     out = out.withColumn("copies", F.least(F.floor("rate") + up, F.lit(most)).cast("int"))
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """docs, all their columns, with a row for each copy that the mix takes.
+
+    Rows that repeat a doc_id (null is one too) take each the most copies of any of them. What is shuffled with the texts is one join by doc_id.
+    """
+    taken = mix(docs, text, doc_id, source, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_id")
+    rows = boxed(docs, _key=F.col(doc_id).cast("long")).join(taken, F.col("_key").eqNullSafe(F.col("_id")))
+    return unboxed(rows.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))), docs.columns)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.tables import boxed, unboxed
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Same matches as the plain patterns: see the module text. Cards are of 13 to 19 digits already.
 PATTERNS = {
@@ -98,11 +100,11 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def find(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
-    """docs with the column pii: array of (kind, start, end, score), by kind as listed, then start.
+    """docs with the column pii (one of docs so named is replaced): array of (kind, start, end, score), by kind as listed, then start.
 
     Null and empty texts have none. Spans of different kinds may overlap. One stage, no shuffle.
     """
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    out = boxed(docs, _t=F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({f"_{k}": _spans("_t", k) for k in kinds})
 
     def scored(kind: str) -> Column:
@@ -116,7 +118,7 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PAT
         spans = F.transform(F.filter(f"_{kind}", lambda x: _valid(kind, x["match"])), one)
         return spans if kind in BASE else F.filter(spans, lambda x: x["score"] >= LEAST)
 
-    return out.withColumn("pii", F.concat(*(scored(k) for k in kinds))).select(*docs.columns, "pii")
+    return unboxed(out, docs.columns, pii=F.concat(*(scored(k) for k in kinds)))
 
 
 def joined(spans: Column) -> Column:
@@ -125,17 +127,17 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; of overlapping spans the first, then longest, is written."""
-    out = find(docs, text, kinds).withColumn("_p", F.array_sort(F.transform("pii", lambda x: F.struct(x["start"], (-x["end"]).alias("back"), x["kind"].alias("kind")))))
+    out = boxed(find(docs, text, kinds), _t=F.col(text), _p=F.array_sort(F.transform("pii", lambda x: F.struct(x["start"], (-x["end"]).alias("back"), x["kind"].alias("kind")))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        piece = F.concat(a["out"], F.substr(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]"))
+        piece = F.concat(a["out"], F.substr(F.col("_t"), a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]"))
         skip = x["start"] < a["at"]
         return F.struct(F.when(skip, a["at"]).otherwise(-x["back"]).alias("at"), F.when(skip, a["out"]).otherwise(piece).alias("out"))
 
     done = F.aggregate("_p", start, step)
-    whole = F.when(F.size("_p") == 0, F.col(text)).otherwise(F.concat(done["out"], F.substr(F.col(text), done["at"] + 1)))
-    return out.withColumn(text, whole).select(*docs.columns, "pii")
+    whole = F.when(F.size("_p") == 0, F.col("_t")).otherwise(F.concat(done["out"], F.substr(F.col("_t"), done["at"] + 1)))
+    return unboxed(out, [c for c in docs.columns if c != "pii"] + ["pii"], **{text: whole})
 
 
 def counted(found: DataFrame) -> list[Column]:

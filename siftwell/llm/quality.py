@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.tables import boxed, unboxed
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with",
@@ -39,8 +41,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Layers only share the word list, its windows and the lines between counts: one stage, no shuffle.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_t", t)
+    out = boxed(docs, _t=F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn("_words", F.array_remove(F.split("_t", _GAP), "")).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("_n", F.size("_words"))
 
@@ -78,7 +79,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.regexp_count(F.lower("_t"), F.lit(stop)).cast("long"),
         "n_words_if_long": F.when(n >= 200, n).otherwise(F.lit(0)).cast("long"),
     }
-    return out.select(*docs.columns, F.struct(*(c.alias(k) for k, c in counts.items())).alias("quality"))
+    return unboxed(out, docs.columns, quality=F.struct(*(c.alias(k) for k, c in counts.items())))
 
 
 def verdict(q: str = "quality", rules: tuple = RULES) -> Column:
@@ -88,7 +89,7 @@ def verdict(q: str = "quality", rules: tuple = RULES) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame:
-    """docs with quality (counts), base_failed, failed_rules and kept. Null and empty texts have no words and fail the base."""
+    """docs with quality (counts), base_failed, failed_rules and kept; columns of docs so named are replaced. Null and empty texts have no words and fail the base."""
     out = measures(docs, text)
     base = (F.col("quality.n_words") < 10) | (F.col("quality.n_repeat_words") * 100 > F.col("quality.n_words") * 20)
-    return out.select(*docs.columns, "quality", base.alias("base_failed"), verdict(rules=rules).alias("failed_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return out.withColumns({"base_failed": base, "failed_rules": verdict(rules=rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

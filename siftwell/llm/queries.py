@@ -79,4 +79,50 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media, op10_ngram_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+def _sql_list(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in dict.fromkeys(words))
+
+
+_FAILS = " OR ".join(f"{left} * {a} > {right} * {b}" for _, left, a, right, b in quality.RULES)
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+win AS (SELECT doc_id, i, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d, lead(word, 4) OVER o AS e FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, b, c, d, e) AS n FROM win WHERE e IS NOT NULL) WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+q AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•‣]'))) AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines,
+  len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) AS n_alpha_words,
+  len(list_filter(regexp_split_to_array(lower(t), '[^\pL\pN]+'), lambda x: x IN ({_sql_list(quality.STOP_WORDS)}))) AS n_stop_words, CASE WHEN len(words) >= 200 THEN len(words) ELSE 0 END AS n_words_if_long
+  FROM w LEFT JOIN again USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_FAILS}) AS kept FROM f
+"""
+
+OP5_SQL = rf"""
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{linededup._HIDDEN}', ' ', 'g'), '{linededup._BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages),
+l AS (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p),
+n AS (SELECT host, trim(line) AS bare, count(DISTINCT page_id) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+bad AS (SELECT n.host, bare FROM n JOIN t ON n.host IS NOT DISTINCT FROM t.host WHERE n >= {linededup.MIN_PAGES} AND n > pages * {linededup.RATIO}),
+m AS (SELECT l.*, bad.bare IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.host IS NOT DISTINCT FROM bad.host AND trim(l.line) = bad.bare)
+SELECT page_id, any_value(host) AS host, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY page_id
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS gram FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS seen FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(seen), documents.doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY documents.doc_id, n.n
+"""
+
+#: The other queries are beyond SQL (models, iterations, codecs, sequential packing) and are held against plain versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op3_quality": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_ngram_join": OP10_SQL}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where intermediate tables go if the cluster names no shared folder (tests on one machine).
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -33,3 +34,14 @@ def drop(df: DataFrame) -> None:
         if "/siftwell/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of docs as one struct `_row` beside the given columns, so that no name of docs can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unboxed(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns of `_row` with the new ones: one of an old name stands in its place, others follow."""
+    cols = [new.pop(c).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in names]
+    return df.select(*cols, *(c.alias(n) for n, c in new.items()))
