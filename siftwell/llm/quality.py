@@ -29,7 +29,7 @@ RULES = (
     ("too many repeated lines", "n_dup_lines", 2, "n_lines", 1),  # over half
     ("too many bullet lines", "n_bullet_lines", 10, "n_lines", 9),
     ("too many cut lines", "n_ellipsis_lines", 10, "n_lines", 3),
-    ("too few words with a letter", "n_words", 7, "n_alpha_words", 10),  # under 0.7
+    ("too few words with a letter", "n_words", 1, "n_alpha_words", 2),  # under half
     ("too few stop words", "n_words_if_long", 1, "n_stop_words", 200),  # under 1 in 200, of 200 words or more
 )
 
