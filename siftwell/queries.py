@@ -27,13 +27,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-DOC_FILTERS = [FilterField("lang"), FilterField("source"), FilterField("n_chars", "number"), FilterField("tags", "string[]", F.array("lang", "source"))]
+def doc_filters() -> list[FilterField]:
+    return [FilterField("lang"), FilterField("source"), FilterField("n_chars", "number"), FilterField("tags", "string[]", F.array("lang", "source"))]
+
+
 PART_FIELDS = [SearchField("p_name", 2.0), SearchField("p_type", 1.0), SearchField("p_brand", 0.5)]
 PART_FILTERS = [FilterField("p_brand"), FilterField("p_type"), FilterField("p_size", "number"), FilterField("p_retailprice", "number")]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DocumentIndex:
-    return DocumentIndex.create(read(spark, sf_dir, "documents"), ["text"], id="doc_id", filter_fields=DOC_FILTERS, validate=False)
+    return DocumentIndex.create(read(spark, sf_dir, "documents"), ["text"], id="doc_id", filter_fields=doc_filters(), validate=False)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DocumentIndex:
@@ -288,11 +291,10 @@ add("total_matches", lambda s, d: documents(s, d).plan("the", mode="substring",
 def _hooked(spark: SparkSession, sf_dir: str) -> DataFrame:
     hooks = {
         "tokenizer": code_tokenizer,
-        "filter_predicate": F.col("doc.n_chars") > 1000,
+        "filter_predicate": lambda df: F.col("doc.n_chars") > 1000,
         "scoring_hook": lambda df: df["score"] + F.when(F.col("doc.lang") == "en", 500).otherwise(0),
         "post_process": lambda df: df.filter("rank <= 20"),
     }
-    hooks["filter_predicate"] = lambda df: F.col("doc.n_chars") > 1000
     return page(documents(spark, sf_dir).plan("theAnd", mode="token", limit=40, highlight=False, hooks=hooks))
 
 

@@ -232,3 +232,13 @@ def test_entry_and_queries(spark, sf):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     assert entry.entry(spark).count() > 0
+
+
+def test_imports_without_a_session():
+    """The driver reads the queries' names before it has a session; the corpus operators may be missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= 40 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
