@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.tables import drop, keep
@@ -35,6 +35,8 @@ MAX_LABELLED = 20_000
 TERM_SHARE, CLEAN_SHARE = 0.1, 0.002
 #: A learned stem has so many letters, is in this share of toxic training documents, and is so many times likelier there.
 STEM_LETTERS, STEM_SHARE, STEM_LIFT = (4, 9), 0.01, 8.0
+#: Distinct words of toxic training documents that a stem begins: copies of one document repeat words but bring no new ones.
+STEM_WORDS = 6
 #: Most distinct words whose verdict a worker remembers.
 MAX_WORDS = 1_500_000
 FEATURES = ("abuse", "misspelt", "quoted", "dense", "stems")
@@ -198,10 +200,15 @@ def learn_stems(labelled: DataFrame, toxic: int, clean: int) -> list[str]:
     Only those in STEM_SHARE of the toxic documents reach the driver, at most (mean distinct beginnings of a document) / STEM_SHARE.
     """
     lo, hi = STEM_LETTERS
-    word = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))
-    heads = F.flatten(F.transform(word, lambda w: F.when(F.length(w) >= lo, F.transform(F.sequence(F.lit(lo), F.least(F.length(w), F.lit(hi))), lambda k: F.substring(w, 1, k))).otherwise(F.array().cast("array<string>"))))
-    each = labelled.select("toxic", F.explode(F.array_distinct(heads)).alias("head"))
-    often = each.filter("toxic = 1").groupBy("head").agg(F.count("*").alias("t")).filter(F.col("t") >= max(5, STEM_SHARE * toxic))
+    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))
+
+    def heads(w: Column) -> Column:
+        return F.when(F.length(w) >= lo, F.transform(F.sequence(F.lit(lo), F.least(F.length(w), F.lit(hi))), lambda k: F.substring(w, 1, k))).otherwise(F.array().cast("array<string>"))
+
+    each = labelled.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(words, heads)))).alias("head"))
+    distinct = labelled.filter("toxic = 1").select(F.explode(words).alias("word")).distinct()
+    varied = distinct.select(F.explode(heads(F.col("word"))).alias("head")).groupBy("head").agg(F.count("*").alias("w")).filter(F.col("w") >= STEM_WORDS)
+    often = each.filter("toxic = 1").groupBy("head").agg(F.count("*").alias("t")).filter(F.col("t") >= max(5, STEM_SHARE * toxic)).join(varied, "head")
     among = each.filter("toxic = 0").join(F.broadcast(often), "head").groupBy("head").agg(F.count("*").alias("c"))
     lift = (F.col("t") / max(toxic, 1)) / ((F.col("c") + 0.5) / max(clean, 1))
     got = often.join(among, "head", "left").fillna(0, ["c"]).filter(lift >= STEM_LIFT).select("head").collect()
@@ -236,10 +243,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 def newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Logistic weights (bias first) by Newton's method, held to PRIOR by a ridge; rows in any order give the same weights up to rounding."""
     x, w = np.hstack([np.ones((len(x), 1)), x]), PRIOR.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((w - PRIOR) ** 2).sum())
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * (w - PRIOR))
-        w = w - step
+        # a whole step may overshoot where classes are far apart: halve it until the convex loss falls
+        while (new := loss(w - step)) > now and np.abs(step).max() >= 1e-9:
+            step = step / 2
+        w, now = w - step, min(new, now)
         if np.abs(step).max() < 1e-9:
             break
     return np.round(w, 6)
