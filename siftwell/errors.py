@@ -59,3 +59,7 @@ class DocumentNotFoundError(SearchError):
     def __init__(self, doc_id: object):
         super().__init__(f"no document has the id {doc_id!r}")
         self.id = doc_id
+
+
+class SearchAbortedError(SearchError):
+    """A newer search, or the caller, has stopped this one."""

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.errors import CostBudgetExceededError, IncompatibleHookError, QueryTooLongError
+from siftwell.errors import CostBudgetExceededError, IncompatibleHookError, QueryTooLongError, SearchAbortedError
 from siftwell.functions import match
 from siftwell.functions.highlight import align_highlights, render_highlighted
 from siftwell.functions.normalize import normalize_text
@@ -62,6 +62,7 @@ class Search:
     text: str
     options: SearchOptions
     started: float = field(default_factory=time.monotonic)
+    aborted: threading.Event = field(default_factory=threading.Event)
 
     def __post_init__(self) -> None:
         o = self.options
@@ -201,10 +202,21 @@ class Search:
             return None
         return suggestions(self.schema, self.prepared, self.text, self.norm, spec, self.places)
 
+    def abort(self) -> None:
+        """Stops a running collect() of this search; it raises SearchAbortedError there."""
+        self.aborted.set()
+        self.prepared.sparkSession.sparkContext.cancelJobsWithTag(self._tag)
+
+    @property
+    def _tag(self) -> str:
+        return f"siftwell-{id(self)}"
+
     def collect(self) -> Response:
         """Runs the search within its budget."""
         budget, spark = self.options.budget, self.prepared.sparkSession
-        tag, timer, late = f"siftwell-{id(self)}", None, threading.Event()
+        tag, timer, late = self._tag, None, threading.Event()
+        if self.aborted.is_set():
+            raise SearchAbortedError("aborted before it ran")
         if budget.max_candidates is not None:
             n = self.prepared.select("id").count() * max(1, len(self.places))
             if n > budget.max_candidates:
@@ -213,11 +225,11 @@ class Search:
 
             def stop() -> None:
                 late.set()
-                spark.interruptTag(tag)
+                spark.sparkContext.cancelJobsWithTag(tag)
 
-            spark.addTag(tag)
             timer = threading.Timer(budget.max_execution_time_ms / 1000, stop)
             timer.start()
+        spark.sparkContext.addJobTag(tag)
         try:
             t = time.monotonic()
             rows = [] if self.nothing else self.results.collect()
@@ -227,13 +239,15 @@ class Search:
             faceted = time.monotonic()
             suggested = self.suggestions.orderBy("rank").collect() if self.suggestions is not None else None
         except Exception as e:
+            if self.aborted.is_set():
+                raise SearchAbortedError("aborted while it ran") from e
             if late.is_set():
                 raise CostBudgetExceededError("time", budget.max_execution_time_ms or 0, (time.monotonic() - self.started) * 1000) from e
             raise
         finally:
             if timer is not None:
                 timer.cancel()
-                spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)
         out = Response(self.norm and self.text, rows, total, facets, suggested)
         if self.options.diagnostics:
             docs = self.prepared.select("id").count()
@@ -264,4 +278,23 @@ class Response:
         return False
 
 
-__all__ = ["Response", "Search", "TermsFacet"]
+class Latest:
+    """Runs searches one after another for one caller: a newer one aborts the one before it."""
+
+    def __init__(self) -> None:
+        self._lock, self._now = threading.Lock(), None
+
+    def run(self, search: Search) -> Response:
+        with self._lock:
+            before, self._now = self._now, search
+        if before is not None:
+            before.abort()
+        try:
+            return search.collect()
+        finally:
+            with self._lock:
+                if self._now is search:
+                    self._now = None
+
+
+__all__ = ["Latest", "Response", "Search", "TermsFacet"]

@@ -242,3 +242,45 @@ def test_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 40 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
+
+
+def test_newer_search_aborts_the_older(spark):
+    import threading
+    import time
+
+    from siftwell.plans.search import Latest
+
+    slow = spark.range(4).select(F.col("id"), F.concat(F.lit("widget "), F.call_function("reflect", F.lit("java.lang.Thread"), F.lit("activeCount"))).alias("title"))
+
+    @F.udf("string")
+    def wait(t):
+        time.sleep(20)
+        return t
+
+    index = DocumentIndex.create(slow.withColumn("title", wait("title")), ["title"], validate=False)
+    fast = DocumentIndex.create(slow, ["title"], validate=False)
+    latest, failed = Latest(), []
+    first, second = (x.plan("widget", mode="substring", highlight=False) for x in (index, fast))
+
+    def old() -> None:
+        try:
+            latest.run(first)
+        except E.SearchAbortedError as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=old)
+    thread.start()
+    for _ in range(300):
+        if spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.1)
+    assert latest.run(second).total_matches == 4
+    thread.join(60)
+    assert len(failed) == 1
+    stopped = fast.plan("widget")
+    stopped.abort()
+    with pytest.raises(E.SearchAbortedError):
+        stopped.collect()
+    with pytest.raises(E.CostBudgetExceededError) as late:
+        index.search("widget", mode="substring", highlight=False, budget=Budget(max_execution_time_ms=1500))
+    assert late.value.budget_type == "time"
