@@ -9,8 +9,8 @@ doc_id order; a chunk is closed when it reaches CHUNK_IDS ids, so a longer docum
   block_ids            ids in each block but the last; block_ends: the chunk index, (block, plane) -> end in payload
   payload              for each block its planes one after another, each a zstandard frame
 
-A block's ids are transposed into 16-bit-or-wider ids' planes: the low byte is split into byte plane 0, the next into byte plane 1,
-and the bits above 16 that any id of the block uses into bit planes (one bit an id). Blocks decode independently.
+A block's ids are transposed: their low bytes make byte plane 0, the next bytes byte plane 1, and each higher bit that any id of the
+block uses makes a bit plane (one bit an id). Blocks decode independently.
 Parquet carries the chunks because its commit protocol survives lost tasks and any store Spark reads will do; the payload
 is stored without further compression.
 """
