@@ -8,8 +8,10 @@ overlap enough, or all below are known to be connected. Blocks come from keys th
 2. A first pass links most near copies cheaply: blocks of classes that share a band of min-hashes, each link verified on whole sets.
    It may miss links; it only serves to know components early.
 3. The second pass is complete. Shingles are ordered by hash, frequent ones last. Two sets of Jaccard similarity t or more share one of their first
-   n - ceil(t n) + 1 shingles in any common order, so a block is what shares such a shingle; a block whose documents are all connected already
-   is left out, and large blocks are cut into pairs of chunks. Pairs that the trees cannot exclude are verified on whole sets.
+   n - ceil(t n) + 1 shingles in any common order, and their sizes lie in one band or in neighbouring ones, so a block is what shares such a shingle and a band
+   (documents stand in their own and the next); a block whose documents are all connected already is left out. Documents of large blocks are first
+   counted against each other: one of which too few shingles occur in another component's documents has no partner there and leaves those blocks. What
+   is large still is cut into pairs of chunks. Pairs that the trees cannot exclude are verified on whole sets.
 
 Shingle hashes have 64 bits; sets are compared by them.
 """
@@ -27,12 +29,14 @@ from siftwell.llm.components import connected
 from siftwell.llm.tables import drop, keep
 from siftwell.llm.textbatch import mix, slices, words_of
 
-#: Bits of a signature.
-BITS = 2048
+#: Least bits of a signature; larger sets have four times as many for each factor of four. Long signatures fold onto short ones.
+BITS, BITS_FOR = 2048, 1024
 #: Bands of the first pass and min-hashes in each.
 BANDS, ROWS = 4, 3
 #: Documents of a block (first pass), and of a chunk (second pass).
-BLOCK, CHUNK = 256, 512
+BLOCK, CHUNK = 256, 1024
+#: Documents from which a block of the second pass is large.
+LARGE = 128
 #: A shingle in this share of all documents, and in LEAST_HEAVY, goes last in the order. The list is at most (mean set size) / HEAVY long.
 HEAVY, LEAST_HEAVY = 0.005, 20
 #: Rows up to which a list of keys or ids (8 bytes each) is broadcast; beyond, Spark joins by shuffle.
@@ -146,23 +150,23 @@ def tree_pairs(sigs: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np
             i, j = _children(i, j, grow_i, grow_j, len(t.levels[d - 1][0]) if grow_i else 0, len(s.levels[d - 1][0]) if grow_j else 0)
             if right is None:
                 i, j = i[i <= j], j[i <= j]
-    # pairs of documents of the leaves that are left
-    a = (i[:, None, None] * LEAF + np.arange(LEAF)[None, :, None]).repeat(LEAF, 2).ravel()
-    b = (j[:, None, None] * LEAF + np.arange(LEAF)[None, None, :]).repeat(LEAF, 1).ravel()
-    ok = (a < len(t.order)) & (b < len(s.order))
-    if right is None:
-        ok &= a < b
-    a, b = t.order[a[ok]], s.order[b[ok]]
-    out_a, out_b = [a[:0]], [b[:0]]
+    # pairs of documents of the leaves that are left, a bounded number at a time
+    out_a, out_b = [t.order[:0]], [t.order[:0]]
     extra = sizes - np.bitwise_count(sigs).sum(axis=1, dtype=np.int64)
-    for k in range(0, len(a), 1 << 16):
-        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        keep_ = labels[x] != labels[y]
-        x, y = x[keep_], y[keep_]
+    for k in range(0, len(i), 512):
+        shape = (len(i[k : k + 512]), LEAF, LEAF)
+        a = np.broadcast_to((i[k : k + 512, None] * LEAF + np.arange(LEAF))[:, :, None], shape).ravel()
+        b = np.broadcast_to((j[k : k + 512, None] * LEAF + np.arange(LEAF))[:, None, :], shape).ravel()
+        ok = (a < len(t.order)) & (b < len(s.order))
+        if right is None:
+            ok &= a < b
+        x, y = t.order[a[ok]], s.order[b[ok]]
+        ok = labels[x] != labels[y]
+        x, y = x[ok], y[ok]
         both = np.bitwise_count(sigs[x] & sigs[y]).sum(axis=1, dtype=np.int64) + np.minimum(extra[x], extra[y])
-        keep_ = np.minimum(both, np.minimum(sizes[x], sizes[y])) * (100 + percent) >= percent * (sizes[x] + sizes[y])
-        out_a.append(x[keep_])
-        out_b.append(y[keep_])
+        ok = np.minimum(both, np.minimum(sizes[x], sizes[y])) * (100 + percent) >= percent * (sizes[x] + sizes[y])
+        out_a.append(x[ok])
+        out_b.append(y[ok])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -176,12 +180,23 @@ def _children(i: np.ndarray, j: np.ndarray, grow_i: bool, grow_j: bool, n_i: int
     return i, j
 
 
-def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bitmaps (rows of 64-bit words) of sets one after another."""
-    n = len(starts) - 1
-    out = np.zeros((n, BITS), bool)
-    out[np.repeat(np.arange(n), np.diff(starts)), (flat.view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+def signatures(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Bitmaps (64-bit words) of sets one after another, each of the bits that its size asks for."""
+    out = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        bits = BITS
+        while bits // BITS * BITS_FOR < b - a:
+            bits *= 4
+        own = np.zeros(bits, bool)
+        own[(flat[a:b].view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)] = True
+        out.append(np.packbits(own).view(np.uint64))
+    return out
+
+
+def folded(sigs: list[np.ndarray]) -> np.ndarray:
+    """Signatures side by side, the longer ones folded to the shortest."""
+    least = min(map(len, sigs))
+    return np.stack([s if len(s) == least else np.bitwise_or.reduce(s.reshape(-1, least), axis=0) for s in sigs])
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -306,7 +321,7 @@ def _verified(percent: int):
             starts = starts - starts[0]
             sizes = np.diff(starts)
             order = np.argsort(sizes, kind="stable")
-            a, b = tree_pairs(signatures(flat, starts), sizes, np.arange(n), order, None, percent)
+            a, b = tree_pairs(folded(signatures(flat, starts)), sizes, np.arange(n), order, None, percent)
             forest, out = Forest(np.arange(n)), []
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 if forest.find(i) == forest.find(j):
@@ -322,17 +337,17 @@ def _verified(percent: int):
 
 
 def _possible(percent: int):
-    """Second pass: pairs of blocks (h, block) that the trees leave; chunk tells the sides of a block of two chunks."""
+    """Second pass: pairs of blocks (k, block) that the trees leave; chunk tells the sides of a block of two chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("h", "block")):
+        for rows in _runs(batches, ("k", "block")):
             if rows.num_rows < 2:
                 continue
             col = {k: rows.column(rows.schema.get_field_index(k)) for k in ("rep", "comp", "n", "chunk", "sig")}
             rep, comp, sizes, chunk = (col[k].to_numpy() for k in ("rep", "comp", "n", "chunk"))
-            sigs = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint64).reshape(len(rep), -1)
             if comp.min() == comp.max():
                 continue
+            sigs = folded([np.frombuffer(x, np.uint64) for x in col["sig"].to_pylist()])
             order = np.lexsort((comp, sizes))
             sides = [order[chunk[order] == c] for c in np.unique(chunk)]
             a, b = tree_pairs(sigs, sizes, comp, sides[0], sides[1] if len(sides) > 1 else None, percent)
@@ -344,8 +359,28 @@ def _possible(percent: int):
 
 def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in the kept table ids (rep)."""
-    ids = ids.withColumnRenamed("rep", "doc_id")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    return docs.join(_hinted(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+
+
+def _hinted(keys: DataFrame) -> DataFrame:
+    """A kept table of keys, to be broadcast while its counted rows are few; beyond that Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def _partnered(docs: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the documents some (rep, comp, n), those (rep) that can have a partner among them in another component.
+
+    A partner shares percent of the document's shingles at least, so as many must occur in documents of other components.
+    """
+    some = keep(some, "some")
+    sets = keep(_semi(docs, some.select("rep")).mapInArrow(_sets(words), "rep bigint, grams array<bigint>"), "sets")
+    each = sets.join(some, "rep").select("rep", "comp", "n", F.explode("grams").alias("g"))
+    shared = each.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
+    found = each.join(shared, "g").groupBy("rep", "n").agg(F.count("*").alias("c"))
+    out = keep(found.filter(F.col("c") * 100 >= percent * F.col("n")).select("rep").distinct(), "alive")
+    drop(sets)
+    drop(some)
+    return out
 
 
 def links(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -365,23 +400,33 @@ def links(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, words: int, pe
     comps = classes.select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("comp"))
     heads = docs.mapInArrow(_prefixes(words, percent, heavy), "rep bigint, n bigint, prefix array<bigint>, sig binary").filter("n > 0")
     heads = keep(heads.join(comps, "rep"), "prefixes")
-    spanning = heads.select("comp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
-    spanning = keep(spanning.filter("lo < hi").select("h", "c"), "spanning")
-    small = spanning.count() <= BROADCAST_ROWS
-    if small:
-        rows = heads.select("rep", "comp", "n", "sig", F.explode("prefix").alias("h")).join(F.broadcast(spanning), "h")
-    else:
-        narrow = heads.select("rep", F.explode("prefix").alias("h")).join(spanning, "h")
-        rows = narrow.join(heads.select("rep", "comp", "n", "sig"), "rep")
+    spanning = heads.select("comp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    spanning = keep(spanning.filter("lo < hi").select("h"), "spanning")
+    # of these shingles, what spans components within a band of sizes
+    width = float(np.log(100 / percent)) * 1.001
+    band = F.floor(F.log("n") / width).cast("int")
+    rows = heads.select("rep", "comp", "n", F.explode("prefix").alias("h")).join(_hinted(spanning), "h")
+    rows = rows.select("h", "rep", "comp", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    # one number for shingle and band: should two pairs ever share it, a block holds more than it must
+    rows_kept = keep(rows.select(F.xxhash64("h", "band").alias("k"), "rep", "comp", "n"), "banded")
+    within = rows_kept.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
+    within = keep(within.filter("lo < hi").select("k", "c"), "within")
+    rows = rows_kept.join(_hinted(within), "k")
+    few, many = rows.filter(F.col("c") <= LARGE), keep(rows.filter(F.col("c") > LARGE).drop("c"), "large")
+    alive = _partnered(docs, many.select("rep", "comp", "n").distinct(), words, percent)
+    many_kept = many.join(_hinted(alive), "rep", "left_semi")
+    again = many_kept.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
+    again = keep(again.filter("lo < hi").select("k", "c"), "again")
+    rows = few.unionByName(many_kept.join(_hinted(again), "k")).join(heads.select("rep", "sig"), "rep")
     m = F.ceil(F.col("c") / CHUNK).cast("int")
-    rows = rows.withColumn("m", m).withColumn("chunk", F.pmod(F.xxhash64("rep", "h"), F.col("m")).cast("int"))
+    rows = rows.withColumn("m", m).withColumn("chunk", F.pmod(F.xxhash64("rep", "k"), F.col("m")).cast("int"))
     # a chunk meets every chunk, itself included: blocks are unordered pairs of chunks
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.least(k, F.col("chunk")) * F.col("m") + F.greatest(k, F.col("chunk"))))
-    rows = rows.select("h", meets.alias("block"), "rep", "comp", "n", "chunk", "sig")
-    rows = rows.repartition("h", "block").sortWithinPartitions("h", "block")
+    rows = rows.select("k", meets.alias("block"), "rep", "comp", "n", "chunk", "sig")
+    rows = rows.repartition("k", "block").sortWithinPartitions("k", "block")
     pairs = keep(rows.mapInArrow(_possible(percent), "a bigint, b bigint").distinct(), "pairs")
-    drop(heads)
-    drop(spanning)
+    for df in (heads, spanning, rows_kept, within, many, alive, again):
+        drop(df)
     # verification on whole sets
     reps = keep(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "reps")
     sets = keep(_semi(docs, reps).mapInArrow(_sets(words), "rep bigint, grams array<bigint>"), "sets")

@@ -476,6 +476,7 @@ def test_components(spark, seed, monkeypatch):
     if seed == 2:  # many small chunks, no broadcast, all blocks by shuffles
         monkeypatch.setattr(ngramjoin, "CHUNK", 5)
         monkeypatch.setattr(ngramjoin, "BLOCK", 4)
+        monkeypatch.setattr(ngramjoin, "LARGE", 3)
         monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
     rows = list(enumerate(copies(60, seed)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
