@@ -51,6 +51,14 @@ def fuzz(term: str) -> int:
     return 0 if len(term) <= 3 else 1 if len(term) <= 7 else 2
 
 
+def letters(word: str) -> int:
+    """A bitmap of the letters of a word; some letters share a bit."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class Lexicon:
     """A trie of terms; match() walks it in step with the Levenshtein automaton of a word (its states are rows of edit distances)."""
 
@@ -61,9 +69,12 @@ class Lexicon:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
+                node[None] = max(node.get(None, 0), fuzz(term))  # the largest fuzz below
             node[""] = fuzz(term)
         self.longest = max(map(len, self.terms), default=0) + 2
         self.shortest = min(map(len, self.terms), default=0) - 2
+        #: By length of a word: letters (as bits) and fuzz of the terms that so long a word can be near.
+        self.near = {n: sorted({(letters(t), fuzz(t)) for t in self.terms if abs(len(t) - n) <= fuzz(t)}) for n in range(max(0, self.shortest), self.longest + 1)}
 
     def match(self, word: str) -> int:
         """EXACT, STEM, FUZZY or 0. The word is in lower case; signs around it don't count, look-alikes inside it count as letters."""
@@ -77,13 +88,12 @@ class Lexicon:
         plain = "".join(LOOKALIKES.get(c, c) for c in bare)
         if plain in self.terms:
             return FUZZY
-        # the first letter stands in nearly all misspellings and prunes the walk; a swap of the first two is let through
-        starts = {plain[0], plain[1]} if len(plain) > 1 else {plain[0]} if plain else set()
+        # an edit brings in one letter at most and takes out one: no term is near a word whose letters differ more
+        own = letters(plain)
+        if not any((t & ~own).bit_count() <= k and (own & ~t).bit_count() <= k for t, k in self.near[len(plain)]):
+            return 0
         row = list(range(len(plain) + 1))
-        for c in starts & self.root.keys():
-            if self._walk(self.root[c], c, "", plain, row, None):
-                return FUZZY
-        return 0
+        return FUZZY if any(self._walk(child, c, "", plain, row, None) for c, child in self.root.items()) else 0
 
     def _walk(self, node: dict, c: str, before: str, word: str, row: list[int], older: list[int] | None) -> bool:
         new = [row[0] + 1]
@@ -94,7 +104,7 @@ class Lexicon:
             new.append(d)
         if "" in node and new[-1] <= node[""]:
             return True
-        if min(new) > 2:
+        if min(new) > node[None]:
             return False
         return any(self._walk(child, k, c, word, new, row) for k, child in node.items() if k)
 
