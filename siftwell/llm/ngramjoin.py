@@ -7,11 +7,12 @@ overlap enough, or all below are known to be connected. Blocks come from keys th
 1. Documents of equal shingle sets form a class; one set a class goes on.
 2. A first pass links most near copies cheaply: blocks of classes that share a band of min-hashes, each link verified on whole sets.
    It may miss links; it only serves to know components early.
-3. The second pass is complete. Shingles are ordered by hash, frequent ones last. Two sets of Jaccard similarity t or more share one of their first
-   n - ceil(t n) + 1 shingles in any common order, and their sizes lie in one band or in neighbouring ones, so a block is what shares such a shingle and a band
-   (documents stand in their own and the next); a block whose documents are all connected already is left out. Documents of large blocks are first
-   counted against each other: one of which too few shingles occur in another component's documents has no partner there and leaves those blocks. What
-   is large still is cut into pairs of chunks. Pairs that the trees cannot exclude are verified on whole sets.
+3. The second pass is complete. A set of n shingles and one of Jaccard similarity t or more have one of any n - ceil(t n) + 1 of its shingles in common. So a
+   document with that many shingles that occur in its own component only has no partner elsewhere. This is counted exactly over all documents for a sample of
+   shingles by hash, the same for every document, which leaves about a tenth of them; of these, those stay whose shared shingles reach ceil(t n), counted over whole sets.
+4. What stays is ordered by frequency, rare shingles first; two linked sets share one of their first n - ceil(t n) + 1 and their sizes lie in one band or in
+   neighbouring ones, so a block is what shares such a shingle and a band and spans components. Of blocks of the same documents one is kept. Blocks are dealt to
+   buckets, a signature goes to a bucket once, and blocks that are large still are cut into pairs of chunks. Pairs that the trees cannot exclude are verified on whole sets.
 
 Shingle hashes have 64 bits; sets are compared by them.
 """
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import connected
-from siftwell.llm.tables import drop, keep
+from siftwell.llm.tables import boxed, drop, keep, unboxed
 from siftwell.llm.textbatch import mix, slices, words_of
 
 #: Least bits of a signature; larger sets have four times as many for each factor of four. Long signatures fold onto short ones.
@@ -34,13 +35,15 @@ BITS, BITS_FOR = 2048, 1024
 #: Bands of the first pass and min-hashes in each.
 BANDS, ROWS = 4, 3
 #: Documents of a block (first pass), and of a chunk (second pass).
-BLOCK, CHUNK = 256, 1024
-#: Documents from which a block of the second pass is large.
-LARGE = 128
-#: A shingle in this share of all documents, and in LEAST_HEAVY, goes last in the order. The list is at most (mean set size) / HEAVY long.
+BLOCK, CHUNK = 128, 1024
+#: Sampled shingles of a document, as a multiple of the share of its shingles that a partner may lack.
+SAMPLE = 2.0
+#: A shingle in this share of all documents, and in LEAST_HEAVY, counts as shared without being sent. The list is at most (mean set size) / HEAVY long.
 HEAVY, LEAST_HEAVY = 0.005, 20
-#: Rows up to which a list of keys or ids (8 bytes each) is broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a list of ids (16 bytes each) is broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 250_000
+#: Members of blocks that meet in a bucket of the second pass, on average.
+BUCKET = 8_000
 #: Documents of a leaf and children of a node.
 LEAF, FAN = 16, 8
 
@@ -244,31 +247,72 @@ def _profile(words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, heavy: np.ndarray | None = None):
+    """Sets (rep, grams) of documents; with heavy also the rest of the set (light)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*shingle_sets(batch.column(1), words))], ["rep", "grams"])
+            flat, starts = shingle_sets(batch.column(1), words)
+            cols = [batch.column(0), _lists(flat, starts)]
+            if heavy is not None:
+                light = ~is_in(flat, heavy)
+                cols.append(_lists(flat[light], np.concatenate([[0], np.cumsum(light)])[starts]))
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "grams", "light"][: len(cols)])
 
     return run
 
 
-def _prefixes(words: int, percent: int, heavy: np.ndarray):
-    """Of every document: its first shingles in the common order, and its signature."""
+def _sampled(words: int, percent: int, heavy: np.ndarray):
+    """Of every document with shingles: those of the sample that are not heavy, and how many of them may be shared before it needs a closer look."""
+    cut = np.uint64(min(1.0, SAMPLE * (100 - percent) / 100) * float((1 << 64) - 2048))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             flat, starts = shingle_sets(batch.column(1), words)
             n = np.diff(starts)
-            late = np.isin(flat, heavy)
-            firsts, at = [], [0]
-            for a, b, k in zip(starts[:-1].tolist(), starts[1:].tolist(), prefix_length(n, percent).tolist(), strict=True):
-                own, rest = flat[a:b], late[a:b]
-                if b > a:
-                    own = own[:k] if not rest[:k].any() else np.concatenate([own[~rest], own[rest]])[:k]
-                firsts.append(own)
-                at.append(at[-1] + len(own))
-            sigs = signatures(flat, starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(np.concatenate(firsts), np.array(at)), pa.array([s.tobytes() for s in sigs], pa.binary())], ["rep", "n", "prefix", "sig"])
+            some = np.flatnonzero(n)
+            inside = (mix(flat.view(np.uint64) * _ODD[60]) < cut) & ~is_in(flat, heavy)
+            m = np.add.reduceat(inside, starts[:-1][some], dtype=np.int64) if len(some) else n
+            slack = m - prefix_length(n[some], percent)
+            rep = batch.column(0).to_numpy(zero_copy_only=False)[some]
+            # one without sampled shingles goes on by a number of its own
+            none = starts[:-1][some][m == 0]
+            flat[none] = mix(rep[m == 0].view(np.uint64) * _ODD[61]).view(np.int64)
+            inside[none] = True
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(slack), _lists(flat[inside], np.concatenate([[0], np.cumsum(np.maximum(m, 1))]))], ["rep", "slack", "grams"])
+
+    return run
+
+
+def is_in(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array `of`."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
+def _heads(percent: int, heavy: np.ndarray):
+    """Of every set whose shared shingles are enough for a partner: the first in the common order of which a partner has one, and its signature.
+
+    The order: shingles of no other component, shared ones as listed (rare ones first), heavy ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            rep, comp, grams, shared = (batch.column(batch.schema.get_field_index(k)) for k in ("rep", "comp", "grams", "shared"))
+            for r, c, own, known in zip(rep.to_pylist(), comp.to_pylist(), grams, shared, strict=True):
+                own = own.values.to_numpy()
+                ranked = known.values.to_numpy() if known.is_valid else own[:0]
+                ranked = ranked[np.sort(np.unique(ranked, return_index=True)[1])]
+                # the set of another row of this id may hold some of those
+                ranked = np.concatenate([ranked[is_in(ranked, own)], own[is_in(own, heavy)]])
+                if 100 * len(ranked) >= percent * len(own):
+                    k = prefix_length(len(own), percent) - (len(own) - len(ranked))
+                    out.append((r, c, len(own), ranked[:k], signatures(own, np.array([0, len(own)]))[0].tobytes()))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], ["rep", "comp", "n", "prefix", "sig"])
 
     return run
 
@@ -337,22 +381,32 @@ def _verified(percent: int):
 
 
 def _possible(percent: int):
-    """Second pass: pairs of blocks (k, block) that the trees leave; chunk tells the sides of a block of two chunks."""
+    """Second pass: pairs of the blocks of a bucket that the trees leave. A row has a signature and its places: block, and chunk on the side of a pair of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("k", "block")):
-            if rows.num_rows < 2:
-                continue
-            col = {k: rows.column(rows.schema.get_field_index(k)) for k in ("rep", "comp", "n", "chunk", "sig")}
-            rep, comp, sizes, chunk = (col[k].to_numpy() for k in ("rep", "comp", "n", "chunk"))
-            if comp.min() == comp.max():
-                continue
-            sigs = folded([np.frombuffer(x, np.uint64) for x in col["sig"].to_pylist()])
-            order = np.lexsort((comp, sizes))
-            sides = [order[chunk[order] == c] for c in np.unique(chunk)]
-            a, b = tree_pairs(sigs, sizes, comp, sides[0], sides[1] if len(sides) > 1 else None, percent)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+        for rows in _runs(batches, ("bucket",)):
+            rep, comp, sizes = (rows.column(rows.schema.get_field_index(k)).to_numpy() for k in ("rep", "comp", "n"))
+            sigs = [np.frombuffer(x, np.uint64) for x in rows.column(rows.schema.get_field_index("sig")).to_pylist()]
+            places = rows.column(rows.schema.get_field_index("places"))
+            of = np.repeat(np.arange(rows.num_rows), np.diff(places.offsets.to_numpy()))
+            flat = places.flatten()
+            block, chunk = (flat.field(k).to_numpy() for k in ("block", "chunk"))
+            order = np.lexsort((comp[of], sizes[of], chunk, block))
+            of, block, chunk = of[order], block[order], chunk[order]
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+            found: set[tuple[int, int]] = set()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                own = of[lo:hi]
+                c = comp[own]
+                if hi - lo < 2 or c.min() == c.max():
+                    continue
+                side = chunk[lo:hi] != chunk[lo]
+                at = np.arange(hi - lo)
+                a, b = tree_pairs(folded([sigs[i] for i in own]), sizes[own], c, at[~side], at[side] if side.any() else None, percent)
+                x, y = rep[own[a]], rep[own[b]]
+                found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -363,77 +417,77 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _hinted(keys: DataFrame) -> DataFrame:
-    """A kept table of keys, to be broadcast while its counted rows are few; beyond that Spark shuffles both sides."""
+    """A kept table of ids, to be broadcast while its counted rows are few; beyond that Spark shuffles both sides."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def _partnered(docs: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the documents some (rep, comp, n), those (rep) that can have a partner among them in another component.
+def _shared(each: DataFrame) -> DataFrame:
+    """Rows (g, rep, comp, ...) with lo and hi, the least and the greatest component that g occurs in, and df, in how many rows."""
+    own = Window.partitionBy("g")
+    return each.withColumns({"lo": F.min("comp").over(own), "hi": F.max("comp").over(own), "df": F.count("*").over(own)})
 
-    A partner shares percent of the document's shingles at least, so as many must occur in documents of other components.
-    """
-    some = keep(some, "some")
-    sets = keep(_semi(docs, some.select("rep")).mapInArrow(_sets(words), "rep bigint, grams array<bigint>"), "sets")
-    each = sets.join(some, "rep").select("rep", "comp", "n", F.explode("grams").alias("g"))
-    shared = each.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
-    found = each.join(shared, "g").groupBy("rep", "n").agg(F.count("*").alias("c"))
-    out = keep(found.filter(F.col("c") * 100 >= percent * F.col("n")).select("rep").distinct(), "alive")
-    drop(sets)
-    drop(some)
-    return out
 
-
-def links(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes' representatives, enough of them to connect all that is similar. docs: doc_id, text."""
-    # first pass: blocks of equal bands
+def first_pass(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between representatives of classes, each verified: most of those among near copies. docs: doc_id, text."""
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    blocks = keep(banded.join(shared, "key").select("key", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK).cast("int")).cast("int").alias("chunk")), "bands")
+    blocks = keep(banded.join(shared, "key").select("key", "rep", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("c") / BLOCK).cast("int")).cast("int").alias("chunk")), "bands")
     reps = keep(blocks.select("rep").distinct(), "reps")
     sets = keep(_semi(docs, reps).mapInArrow(_sets(words), "rep bigint, grams array<bigint>"), "sets")
     rows = blocks.join(sets, "rep").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "rep")
     first = keep(rows.mapInArrow(_verified(percent), "a bigint, b bigint").distinct(), "first")
     for df in (sets, reps, blocks):
         drop(df)
-    labels = connected(first)
-    # second pass: blocks of equal prefix shingles that span components
-    comps = classes.select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("comp"))
-    heads = docs.mapInArrow(_prefixes(words, percent, heavy), "rep bigint, n bigint, prefix array<bigint>, sig binary").filter("n > 0")
-    heads = keep(heads.join(comps, "rep"), "prefixes")
-    spanning = heads.select("comp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spanning = keep(spanning.filter("lo < hi").select("h"), "spanning")
-    # of these shingles, what spans components within a band of sizes
-    width = float(np.log(100 / percent)) * 1.001
-    band = F.floor(F.log("n") / width).cast("int")
-    rows = heads.select("rep", "comp", "n", F.explode("prefix").alias("h")).join(_hinted(spanning), "h")
-    rows = rows.select("h", "rep", "comp", "n", F.explode(F.array(band, band + 1)).alias("band"))
-    # one number for shingle and band: should two pairs ever share it, a block holds more than it must
-    rows_kept = keep(rows.select(F.xxhash64("h", "band").alias("k"), "rep", "comp", "n"), "banded")
-    within = rows_kept.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
-    within = keep(within.filter("lo < hi").select("k", "c"), "within")
-    rows = rows_kept.join(_hinted(within), "k")
-    few, many = rows.filter(F.col("c") <= LARGE), keep(rows.filter(F.col("c") > LARGE).drop("c"), "large")
-    alive = _partnered(docs, many.select("rep", "comp", "n").distinct(), words, percent)
-    many_kept = many.join(_hinted(alive), "rep", "left_semi")
-    again = many_kept.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
-    again = keep(again.filter("lo < hi").select("k", "c"), "again")
-    rows = few.unionByName(many_kept.join(_hinted(again), "k")).join(heads.select("rep", "sig"), "rep")
+    return first
+
+
+def open_documents(docs: DataFrame, moved: DataFrame, heavy: np.ndarray, words: int, percent: int) -> DataFrame:
+    """rep, comp of documents that may have a partner in another component, by the sample of shingles (kept).
+
+    moved: rep, comp of representatives whose component has another name; comp is null for documents that represent no class.
+    """
+    rows = docs.mapInArrow(_sampled(words, percent, heavy), "rep bigint, slack bigint, grams array<bigint>")
+    known = rows.join(_hinted(moved.withColumn("known", F.lit(True))), "rep", "left").filter("known is null or comp is not null")
+    each = _shared(known.select("rep", F.coalesce("comp", "rep").alias("comp"), "slack", F.explode("grams").alias("g")))
+    # of rows that share an id the sums and the least slack count: more are looked at, none less
+    found = each.filter("lo < hi or slack < 0").groupBy("rep", "comp").agg(F.count("*").alias("c"), F.min("slack").alias("slack"))
+    return keep(found.filter("c > slack").select("rep", "comp"), "open")
+
+
+def second_pass(docs: DataFrame, alive: DataFrame, heavy: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of alive (rep, comp; kept) of different components: enough of them to connect all that is similar."""
+    sets = keep(_semi(docs, alive.select("rep")).mapInArrow(_sets(words, heavy), "rep bigint, grams array<bigint>, light array<bigint>"), "sets")
+    known = sets.join(_hinted(alive), "rep")
+    each = _shared(known.select("rep", "comp", F.explode("light").alias("g"))).filter("lo < hi")
+    shared = each.groupBy("rep").agg(F.collect_list(F.struct("df", "g")).alias("shared")).select("rep", F.transform(F.array_sort("shared"), lambda x: x["g"]).alias("shared"))
+    heads = known.select("rep", "comp", "grams").join(shared, "rep", "left")
+    heads = keep(heads.mapInArrow(_heads(percent, heavy), "rep bigint, comp bigint, n bigint, prefix array<bigint>, sig binary"), "heads")
+    # blocks: what shares a shingle and a band of sizes and spans components; one number for both
+    band = F.floor(F.log("n") / (float(np.log(100 / percent)) * 1.001)).cast("int")
+    members = heads.select("rep", "comp", "prefix", F.explode(F.array(band, band + 1)).alias("band")).select("rep", "comp", "band", F.explode("prefix").alias("g"))
+    members = keep(members.select(F.xxhash64("g", "band").alias("k"), "rep", "comp"), "members")
+    within = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("and"))
+    within = keep(within.filter("lo < hi").groupBy("c", "who", "and", "lo", "hi").agg(F.min("k").alias("k")).select("k", "c"), "within")
+    buckets = max(1, -(-(within.agg(F.sum("c")).first()[0] or 0) // BUCKET))
+    rows = members.join(within, "k")
     m = F.ceil(F.col("c") / CHUNK).cast("int")
     rows = rows.withColumn("m", m).withColumn("chunk", F.pmod(F.xxhash64("rep", "k"), F.col("m")).cast("int"))
     # a chunk meets every chunk, itself included: blocks are unordered pairs of chunks
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.least(k, F.col("chunk")) * F.col("m") + F.greatest(k, F.col("chunk"))))
-    rows = rows.select("k", meets.alias("block"), "rep", "comp", "n", "chunk", "sig")
-    rows = rows.repartition("k", "block").sortWithinPartitions("k", "block")
+    rows = rows.select("rep", "k", "chunk", meets.alias("pair")).select("rep", F.xxhash64("k", "pair").alias("block"), "chunk")
+    placed = rows.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket"), "rep").agg(F.collect_list(F.struct("block", "chunk")).alias("places"))
+    rows = placed.join(heads.select("rep", "comp", "n", "sig"), "rep").repartition("bucket").sortWithinPartitions("bucket")
     pairs = keep(rows.mapInArrow(_possible(percent), "a bigint, b bigint").distinct(), "pairs")
-    for df in (heads, spanning, rows_kept, within, many, alive, again):
+    for df in (heads, members, within):
         drop(df)
+    sets = sets.select("rep", "grams")
     # verification on whole sets
-    reps = keep(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "reps")
-    sets = keep(_semi(docs, reps).mapInArrow(_sets(words), "rep bigint, grams array<bigint>"), "sets")
     met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    second = met.filter(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
-    return first.union(second)
+    second = keep(met.filter(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b").distinct(), "second")
+    drop(pairs)
+    drop(sets)
+    return second
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, percent: int = 85) -> DataFrame:
@@ -441,6 +495,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are equal documents and share a component. Rows of
     one doc_id with different texts count as one document that has the links of all. A null doc_id is linked with nothing and its component is null.
+    Very long texts are whole sets like any other; other columns are left aside. An empty table gives no rows.
     """
     rows = _rows(docs, text, doc_id)
     found = keep(rows.mapInArrow(_profile(words), "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, h bigint, c bigint"), "profiles")
@@ -451,13 +506,34 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     heavy = np.array(sorted(r.h for r in often.select("h").collect()), np.int64)
     live = profiles.filter("n > 0 and doc_id is not null")
     classes = keep(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
-    labels = connected(links(rows.filter("doc_id is not null"), classes, heavy, words, percent))
-    known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("comp"))
+    rows = rows.filter("doc_id is not null")
+    first = first_pass(rows, classes, words, percent)
+    # rows of one id with different sets: their classes are linked
+    several = keep(live.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x <> y").select("doc_id"), "several")
+    same = live.join(_hinted(several), "doc_id", "left_semi").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep")
+    early = connected(first.union(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    reps = classes.select("rep").distinct()
+    gone = live.select(F.col("doc_id").alias("rep")).distinct().join(reps, "rep", "left_anti")
+    others = early.filter("node <> label").select(F.col("node").alias("rep"), F.col("label").alias("comp")).join(reps, "rep", "left_semi")
+    moved = keep(gone.select("rep", F.lit(None).cast("long").alias("comp")).union(others), "moved")
+    alive = open_documents(rows, moved, heavy, words, percent)
+    second = second_pass(rows, alive, heavy, words, percent)
+    # links of the second pass join components of the first
+    to = [early.select(F.col("node").alias(k), F.col("label").alias(f"to_{k}")) for k in ("a", "b")]
+    late = connected(second.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
+    known = classes.join(early.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("part"))
+    known = known.join(late.select(F.col("node").alias("part"), F.col("label").alias("root")), "part", "left").select("n", "d1", "d2", F.coalesce("root", "part").alias("comp"))
+    for df in (first, several, moved, alive, second):
+        drop(df)
     # equal sets share a key; Spark splits the partition of a large class
-    return profiles.join(known, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+    out = profiles.join(known, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+    out = keep(out, "components")
+    for df in (found, classes, early, late):
+        drop(df)
+    return out
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """docs, all their columns, with one document of each component: that of the least doc_id; rows of a null doc_id all stay."""
-    found = jaccard_components(docs, text, doc_id, words, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_gone"), docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    gone = jaccard_components(docs, text, doc_id, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return unboxed(boxed(docs, _key=F.col(doc_id).cast("long")).join(gone, F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)

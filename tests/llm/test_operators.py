@@ -20,6 +20,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
 
 from siftwell.llm import bpe, jpeg, linededup, mixing, ngramjoin, packing, pii, quality, queries, secrets, textbatch, tokenio, toxicity  # noqa: E402
+from siftwell.llm.tables import keep  # noqa: E402
 
 LONG = "lorem ipsum dolor sit amet " * 20_000 + "x" * 300_000
 TEXTS = [
@@ -473,17 +474,61 @@ def copies(n, seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed, monkeypatch):
-    if seed == 2:  # many small chunks, no broadcast, all blocks by shuffles
-        monkeypatch.setattr(ngramjoin, "CHUNK", 5)
-        monkeypatch.setattr(ngramjoin, "BLOCK", 4)
-        monkeypatch.setattr(ngramjoin, "LARGE", 3)
-        monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
+    if seed == 2:  # many small chunks and buckets, no broadcast, some shingles heavy
+        for name, value in {"CHUNK": 5, "BLOCK": 4, "BUCKET": 7, "BROADCAST_ROWS": 0, "HEAVY": 0.05, "LEAST_HEAVY": 3}.items():
+            monkeypatch.setattr(ngramjoin, name, value)
     rows = list(enumerate(copies(60, seed)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(df).collect()}
     assert got == plain.jaccard_components(rows)
 
 
+@pytest.mark.parametrize("least_bands", [True, False])
+def test_links_that_the_first_pass_misses(spark, monkeypatch, least_bands):
+    """Without a first pass the second finds all; a passage that all hold and a long document stand in one block."""
+    if least_bands:
+        monkeypatch.setattr(ngramjoin, "first_pass", lambda docs, classes, words, percent: keep(docs.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).filter("false"), "none"))
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        own = [f"w{k}x{j}" for j in range(6 + k % 4)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + [f"end{k}"])]
+    long = [f"v{rng.randrange(5000)}" for _ in range(30_000)]
+    texts += [" ".join(long), " ".join(long[:15_000] + ["new"] + long[15_000:]), " ".join(long[:20_000])]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain.jaccard_components(rows)
+
+
+def test_rows_of_one_id_with_different_texts_are_one_document(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(2, b), (3, a), (5, a), (5, b), (7, b + " z"), (9, "alone here for once"), (9, a + " z")]
+    got = {(r.doc_id, r.component_id) for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(d, 2) for d, _ in rows}
+    assert {d: c for d, (_, c) in plain.jaccard_components(rows).items()} == dict(got)
+
+
+def test_representatives_beside_columns_of_their_own_names(spark):
+    rows = [(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, None)]
+    kept = ngramjoin.representatives(spark.createDataFrame(rows, "doc_id bigint, text string, _gone int, _key int"))
+    assert [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
+def test_words_of_one_hash_pattern_stay_apart(spark):
+    """A Thue-Morse word and its complement share any polynomial hash modulo 2**64."""
+    words = []
+    for n in (1024, 2048, 8192):
+        s = "a"
+        while len(s) < n:
+            s += s.translate(str.maketrans("ab", "ba"))
+        words += [s, s.translate(str.maketrans("ab", "ba"))]
+    assert len(set(textbatch.words_of(pa.array([" ".join(words)])).hashes.tolist())) == len(words)
+    want = [bpe.encoder(queries.tokenizer_path()).tok.encode(w, add_special_tokens=False).ids for w in words]
+    flat, counts = bpe.Encoder(queries.tokenizer_path()).encode(pa.array(words))
+    assert [x.tolist()[:-1] for x in bpe.documents(flat, counts, 0)] == want
+
+
 def test_components_of_hard_rows(hard):
     rows = [(r.doc_id, r.text) for r in hard.select("doc_id", "text").collect()]
     want = plain.jaccard_components([r for r in rows if r[0] is not None])
