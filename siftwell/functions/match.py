@@ -7,6 +7,7 @@ expressions and a cheap native predicate precedes them (matches()); typo-toleran
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -194,16 +195,30 @@ def matches(norm: Column, q: Query) -> Column:
     if q.mode == "fuzzy":
         out = (F.length(norm) >= len(q.text)) & norm.rlike(_fuzzy_pattern(q.text))
     elif q.mode == "substring":
-        out = F.contains(norm, F.lit(_head(q, q.text)))
+        out = _may_hold(norm, q, q.text)
     elif q.mode == "prefix":
         head = q.prefix.head(q.text)
         out = norm.rlike(_prefix_pattern(_head(q, head)))
+        if q.typo.allowed(len(head)):
+            out = out & _may_hold(norm, q, head)
     else:
-        n = sum((F.when(F.contains(norm, F.lit(_head(q, t))), 1).otherwise(0) for t in q.terms), F.lit(0))
+        n = sum((F.when(_may_hold(norm, q, t), 1).otherwise(0) for t in q.terms), F.lit(0))
         out = n >= q.token.required(len(q.terms))
     return F.coalesce(out, F.lit(False)) & (F.length(norm) > 0)
 
 
+def _may_hold(norm: Column, q: Query, term: str) -> Column:
+    """Native test that every text with a match of the term passes: it holds the exact head and, of 2 d + 1 pieces of the term, one as it is
+    (each of d edits changes one piece, or two if it swaps characters across a cut)."""
+    d = q.typo.allowed(len(term))
+    head = F.contains(norm, F.lit(_head(q, term)))
+    n = 2 * d + 1
+    if not d or len(term) < n:
+        return head
+    cuts = [k * len(term) // n for k in range(n + 1)]
+    return head & reduce(lambda a, b: a | b, (F.contains(norm, F.lit(term[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)))
+
+
 def _head(q: Query, term: str) -> str:
     """What of a term every match holds as it is."""
     return term[: q.typo.prefix_exact_length] if q.typo.allowed(len(term)) else term

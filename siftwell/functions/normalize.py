@@ -52,6 +52,17 @@ def normalized(text: Column, folded: bool = True) -> Column:
     return F.when(plain, ascii_normalized(text, folded)).otherwise(_udf(folded)(F.when(~plain, text)))
 
 
+def ascii_text(text: Column) -> Column:
+    """ascii_bytes of a column, as text; null stays null. ASCII rows stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else ascii_bytes(t).decode())
+
+    plain = text.rlike(_ASCII)
+    return F.when(plain, text).otherwise(run(F.when(~plain, text)))
+
+
 def ascii_bytes(text: str) -> bytes:
     """The old one-byte form: NFKD without marks, anything else beyond ASCII as '?'."""
     plain = unicodedata.normalize("NFKD", text)

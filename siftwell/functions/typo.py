@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 PENALTY = 100
 
 
@@ -17,6 +21,17 @@ class Window:
     distance: int
 
 
+def osa(text: Column, term: str, bound: int) -> Column:
+    """Distance of each text of a column to a term; past the bound, bound + 1. Texts whose length alone is past it stay in the JVM; null stays null."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else osa_distance(t, term, bound)).astype("Int32")
+
+    near = F.abs(F.length(text) - len(term)) <= bound
+    return F.when(text.isNull(), F.lit(None)).when(near, run(F.when(near, text))).otherwise(F.lit(bound + 1))
+
+
 def osa_distance(a: str, b: str, bound: int | None = None) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between a and b; past a bound, bound + 1."""
     row = _last_column(a, b)[len(a)]

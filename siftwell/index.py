@@ -16,20 +16,30 @@ from siftwell.operators.suggest import suggestions
 from siftwell.plans.options import Autocomplete, SearchOptions
 from siftwell.plans.schema import IndexSchema, SearchField
 from siftwell.plans.search import Response, Search, query_text
-from siftwell.streaming.mutate import Batch, Outcome, apply_batch
+from siftwell.streaming.mutate import Batch, Outcome, Version, apply_batch, compact
 
 
 class DocumentIndex:
     """Records under a schema. An index is a version: changes give a new one, and searches of the old one go on undisturbed."""
 
-    def __init__(self, schema: IndexSchema, docs: DataFrame, epoch: int = 0):
+    def __init__(self, schema: IndexSchema, docs: DataFrame | Version, epoch: int = 0, lock: threading.Lock | None = None):
         self.schema, self.epoch = schema, epoch
-        self.docs = docs if "_version" in docs.columns else docs.withColumn("_version", F.lit(0))
-        plain = self.docs.drop("_version")
+        if isinstance(docs, Version):
+            self.version = docs
+        else:
+            # a column of the user's own may have any name: the version's differs from all
+            name = "_version"
+            while name in docs.columns:
+                name += "_"
+            self.version = Version(docs.withColumn(name, F.lit(0)), schema.id, name)
+        self.docs = self.version.docs()
+        mark = self.version.version
+        plain = [c for c in self.docs.columns if c != mark]
         prepared = schema.prepare(self.docs)
         # the record without the version; the version first in the order of documents
-        self.prepared = prepared.withColumn("doc_index", F.struct(F.col("doc._version"), F.col("doc_index.place"))).withColumn("doc", F.struct(*(F.col(f"doc.`{c}`") for c in plain.columns)))
-        self._lock = threading.Lock()
+        self.prepared = prepared.withColumn("doc_index", F.struct(F.col(f"doc.{mark}"), F.col("doc_index.place"))).withColumn("doc", F.struct(*(F.col(f"doc.`{c}`") for c in plain)))
+        #: One for all versions of an index: batches run one after another.
+        self._lock = lock or threading.Lock()
 
     @classmethod
     def create(cls, docs: DataFrame, fields: list[SearchField | str], id: str = "id", filter_fields: list[FilterField] | tuple = (), case_sensitive: bool = False, hooks: Mapping[str, Callable] | None = None, validate: bool = True, **more: Any) -> DocumentIndex:
@@ -67,8 +77,8 @@ class DocumentIndex:
     def apply_batch(self, add: DataFrame | None = None, update: DataFrame | None = None, remove: DataFrame | list | None = None, upsert: bool = False) -> tuple[DocumentIndex, Outcome]:
         """The next version and what changed. One batch at a time; nothing changes if any part is refused."""
         with self._lock:
-            out = apply_batch(self.docs, self.schema.id, Batch(add, update, remove, upsert), number=self.epoch + 1)
-        return DocumentIndex(self.schema, out.docs, self.epoch + 1), out
+            out = apply_batch(self.version, Batch(add, update, remove, upsert), number=self.epoch + 1)
+        return DocumentIndex(self.schema, out.version, self.epoch + 1, self._lock), out
 
     def add(self, docs: DataFrame, upsert: bool = False) -> DocumentIndex:
         return self.apply_batch(add=docs, upsert=upsert)[0]
@@ -82,10 +92,9 @@ class DocumentIndex:
     def remove(self, ids: DataFrame | list) -> DocumentIndex:
         return self.apply_batch(remove=ids)[0]
 
-    def compact(self, root: str, name: str) -> DocumentIndex:
-        """Rewrites the documents as a snapshot and reads it back: the lineage of past batches ends there."""
-        self.save(root, name)
-        return self.restore(self.docs.sparkSession, root, name, self.schema)
+    def compact(self) -> DocumentIndex:
+        """The same documents without the log of past batches, rewritten to the shared folder."""
+        return DocumentIndex(self.schema, compact(self.version), self.epoch, self._lock)
 
     def save(self, root: str, name: str, decoupled: bool = False) -> int:
         from siftwell.sources import snapshot
@@ -93,13 +102,13 @@ class DocumentIndex:
         return snapshot.save(self, root, name, decoupled)
 
     @staticmethod
-    def restore(spark, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None) -> DocumentIndex:
+    def restore(spark, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None, verify: bool = True) -> DocumentIndex:
         from siftwell.sources import snapshot
 
-        return snapshot.load(spark, root, name, schema, version, docs)
+        return snapshot.load(spark, root, name, schema, version, docs, verify)
 
     def records(self) -> DataFrame:
-        return self.docs.drop("_version")
+        return self.docs.drop(self.version.version)
 
     def doc_ids(self) -> DataFrame:
         return self.docs.select(self.schema.id)
@@ -111,7 +120,7 @@ class DocumentIndex:
         """Counts of documents, rows (a document and a non-empty field) and normalized characters."""
         n = range(len(self.schema.fields))
         row = self.prepared.agg(F.count("*").alias("documents"), sum((F.count_if(F.length(f"_n_{k}") > 0) for k in n), F.lit(0)).alias("rows"), sum((F.coalesce(F.sum(F.length(f"_n_{k}")), F.lit(0)) for k in n), F.lit(0)).alias("tokens")).first()
-        return {"documents": row.documents, "rows": row.rows, "tokens": row.tokens, "fields": [f.name for f in self.schema.fields], "filter_fields": sorted(self.schema.filters), "epoch": self.epoch, "case_sensitive": self.schema.case_sensitive, "engine": "spark", "at": time.time()}
+        return {"documents": row.documents, "rows": row.rows, "tokens": row.tokens, "fields": [f.name for f in self.schema.fields], "filter_fields": sorted(self.schema.filters), "epoch": self.epoch, "tombstones": self.version.dead, "tombstone_ratio": self.version.ratio(), "case_sensitive": self.schema.case_sensitive, "engine": "spark", "at": time.time()}
 
 
 class SearchIndex:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.operators.filters import utf16_order
 
@@ -24,19 +25,27 @@ def other_fields(hits: list[tuple[str, float, Column]], best: Column) -> Column:
     return F.when(F.size(out) > 0, out)
 
 
-def id_keys(col: Column, text: bool) -> list[Column]:
-    """Numbers before strings; strings by UTF-16 units."""
-    return [utf16_order(col).asc() if text else col.asc()]
+def mixed_id(number: Column, text: Column) -> Column:
+    """An id of a table whose ids are numbers in some rows and strings in others: number where it is one, else text."""
+    both = F.struct(number.cast("double").alias("number"), text.cast("string").alias("text"))
+    return F.when(number.isNotNull() | text.isNotNull(), both)
 
 
-def order(tie_breakers: tuple[str, ...], text_id: bool) -> list[Column]:
+def id_keys(kind: T.DataType) -> list[Column]:
+    """Numbers before strings; strings by UTF-16 units. Ids of both kinds are those of mixed_id."""
+    if isinstance(kind, T.StructType):
+        return [F.col("id.number").asc_nulls_last(), utf16_order(F.col("id.text")).asc()]
+    return [utf16_order(F.col("id")).asc() if isinstance(kind, T.StringType) else F.col("id").asc()]
+
+
+def order(tie_breakers: tuple[str, ...], id_kind: T.DataType) -> list[Column]:
     """Sort keys over columns score, field_weight, exact_match, matched_length, id, doc_index."""
     keys = {
         "score": [F.col("score").desc()],
         "field_weight": [F.col("field_weight").desc()],
         "exact_match": [F.col("exact_match").desc()],
         "matched_length": [F.col("matched_length").asc()],
-        "id": id_keys(F.col("id"), text_id),
+        "id": id_keys(id_kind),
     }
     return [k for t in tie_breakers for k in keys[t]] + [F.col("doc_index").asc()]
 

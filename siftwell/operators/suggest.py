@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwell.functions import match
 from siftwell.functions.highlight import align_highlights
@@ -28,7 +27,7 @@ def suggestions(schema: IndexSchema, prepared: DataFrame, text: str, norm: str,
         hit = match.hit(own, query)
         rows.append(F.when(hit.isNotNull() & (F.length(f"_r_{k}") > 0), F.struct(F.col(f"_r_{k}").alias("text"), match.weighted(hit["score"], weight).alias("score"), F.lit(float(weight)).alias("field_weight"), (own == norm).alias("exact_match"), F.length(own).alias("matched_length"))))
     each = prepared.select("id", "doc", "doc_index", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("id", "doc", "doc_index", "s.*")
-    first = rank.top(each, rank.order(spec.tie_breakers, isinstance(prepared.schema["id"].dataType, T.StringType)), spec.limit)
+    first = rank.top(each, rank.order(spec.tie_breakers, prepared.schema["id"].dataType), spec.limit)
     folded = schema.folded
 
     @F.pandas_udf("array<struct<start:int,end:int>>")

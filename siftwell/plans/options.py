@@ -159,12 +159,15 @@ class SearchOptions:
     budget: Budget = field(default_factory=Budget)
     diagnostics: bool = False
     scorer: str = "exact"
+    long_query: str = "error"
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
             raise IncompatibleOptionError("mode", f"one of {MODES}")
         if self.scorer != "exact":
             raise IncompatibleOptionError("scorer", "only 'exact' scores are reproducible here")
+        if self.long_query not in ("error", "scan"):
+            raise IncompatibleOptionError("long_query", "error or scan")
         if self.facet_mode not in ("auto", "approximate", "force-exact"):
             raise IncompatibleOptionError("facet_mode", "auto, approximate or force-exact; counts are exact in all")
         if isinstance(self.highlight_fields, str) and self.highlight_fields not in ("all-matched", "matched-field", "all-fields"):

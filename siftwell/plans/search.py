@@ -14,9 +14,9 @@ from functools import cached_property, reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwell.errors import CostBudgetExceededError, IncompatibleHookError, QueryTooLongError, SearchAbortedError
 from siftwell.functions import match
@@ -33,11 +33,12 @@ from siftwell.plans.schema import IndexSchema, once
 BROAD_DOCS, BROAD_TOKENS, BROAD_SHARE = 5000, 2, 0.8
 
 
-def query_text(text: str, schema: IndexSchema) -> str:
+def query_text(text: str, schema: IndexSchema, long_query: str = "error") -> str:
+    """The normalized query. One over QUERY_MAX is refused, or scanned for all the same if long_query is "scan"."""
     if not isinstance(text, str):
         raise TypeError("a query is a string")
     norm = normalize_text(text, schema.folded)
-    if len(norm) > QUERY_MAX:
+    if len(norm) > QUERY_MAX and long_query == "error":
         raise QueryTooLongError(QUERY_MAX, len(norm), schema.profile)
     return norm
 
@@ -68,7 +69,7 @@ class Search:
         o = self.options
         o.check_case(self.schema.case_sensitive)
         self.hooks = merged_hooks(self.schema.hooks, o.hooks or {})
-        self.norm = query_text(self.text, self.schema)
+        self.norm = query_text(self.text, self.schema, o.long_query)
         terms = terms_by_hook(self.hooks["tokenizer"], self.text, self.schema) if o.mode == "token" and "tokenizer" in self.hooks else None
         if o.mode == "prefix":
             o.prefix.head(self.norm)
@@ -129,14 +130,10 @@ class Search:
         out = df.withColumn("_own", own).withColumns({"score": F.col("_best.score"), "matched_field": F.col("_best.field"), "field_weight": F.col("_best.weight"), "exact_match": F.col("_own") == self.norm, "matched_length": F.length("_own")})
         return out.withColumn("matches", rank.other_fields(hits, F.col("_best"))) if len(self.places) > 1 else out.withColumn("matches", F.lit(None).cast("array<struct<field:string,score:int>>"))
 
-    @property
-    def _text_id(self) -> bool:
-        return isinstance(self.prepared.schema["id"].dataType, T.StringType)
-
     @cached_property
     def results(self) -> DataFrame:
         """The page: rank, id, doc, score, matched_field, matches, highlights (and highlighted_text under a tag)."""
-        keys = rank.order(tuple(self.options.tie_breakers), self._text_id)
+        keys = rank.order(tuple(self.options.tie_breakers), self.prepared.schema["id"].dataType)
         page = rank.top(self.matched, keys, self.options.limit)
         if self.options.highlight:
             page = self._highlighted(page)
@@ -191,7 +188,7 @@ class Search:
         """A DataFrame a facet. Matches of the query before the filter are filtered anew for each, without its own field."""
         spark = self.prepared.sparkSession
         if self.nothing or self.facet_specs and self.filter_is_empty:
-            return {f.name: facet_ops.empty(spark, f) for f in self.facet_specs}
+            return {f.name: facet_ops.empty(spark, f, self.schema.filters[f.field].kind) for f in self.facet_specs}
         return {f.name: facet_ops.facet(self.scored, f, self.expression, self.schema.filters) for f in self.facet_specs}
 
     @cached_property
@@ -232,11 +229,12 @@ class Search:
         spark.sparkContext.addJobTag(tag)
         try:
             t = time.monotonic()
-            rows = [] if self.nothing else self.results.collect()
-            scored = time.monotonic()
-            total = self.counts["total_matches"]
-            facets = {k: df.orderBy("rank").collect() for k, df in self.facets.items()}
-            faceted = time.monotonic()
+            # the page, and all counts from one more pass, side by side
+            steps: dict[str, Callable[[], Any]] = {"counts": self._tallied} if self.nothing else {"rows": self.results.collect, "counts": self._tallied}
+            if self.options.diagnostics:
+                steps["documents"] = self._documents
+            got = at_once(spark, steps)
+            rows, (total, facets), counted = got.get("rows", []), got["counts"], time.monotonic()
             suggested = self.suggestions.orderBy("rank").collect() if self.suggestions is not None else None
         except Exception as e:
             if self.aborted.is_set():
@@ -250,13 +248,53 @@ class Search:
             spark.sparkContext.removeJobTag(tag)
         out = Response(self.norm and self.text, rows, total, facets, suggested)
         if self.options.diagnostics:
-            docs = self.prepared.select("id").count()
-            kept = docs if self.condition is None else self.prepared.filter(self.condition).select("id").count()
+            docs, kept = got["documents"]
             share = total / docs if docs else 0.0
             warnings = [f"broad query: {share:.0%} of {docs} documents match"] if docs >= BROAD_DOCS and len(self.norm) <= BROAD_TOKENS and share > BROAD_SHARE else []
-            out.diagnostics = {"engine": "spark", "native": self.query.native, "documents": docs, "filter_selectivity": kept / docs if docs and self.condition is not None else 1.0, "scoring_ms": (scored - t) * 1000, "facets_ms": (faceted - scored) * 1000, "total_ms": (time.monotonic() - self.started) * 1000, "warnings": warnings}
+            out.diagnostics = {"engine": "spark", "native": self.query.native, "documents": docs, "filter_selectivity": kept / docs if docs and self.condition is not None else 1.0, "scan_ms": (counted - t) * 1000, "total_ms": (time.monotonic() - self.started) * 1000, "warnings": warnings}
         return out
 
+    def _tallied(self) -> tuple[int, dict[str, list]]:
+        """total_matches and the rows of all facets. An attribute filter that leaves no document leaves no facets; any match shows that it leaves some."""
+        if self.nothing:
+            total, facets = 0, None
+        else:
+            total, facets = facet_ops.tallies(self.scored if self.facet_specs else self.matched, self.facet_specs, self.expression if self.facet_specs else None, self.schema.filters)
+            if total:
+                self.__dict__["filter_is_empty"] = False
+        if facets is None or not total and self.facet_specs and self.filter_is_empty:
+            facets = {k: df.orderBy("rank").collect() for k, df in self.facets.items()}
+        return total, facets
+
+    def _documents(self) -> tuple[int, int]:
+        """Documents, and those that the attribute filter leaves."""
+        kept = F.count("*") if self.condition is None else F.count_if(compile_filter(self.expression, self.schema.filters))
+        row = self.prepared.agg(F.count("*").alias("docs"), kept.alias("kept")).first()
+        return row.docs, row.kept
+
+
+def at_once(spark: SparkSession, steps: dict[str, Callable[[], Any]]) -> dict[str, Any]:
+    """Runs actions side by side, each in a thread that has this one's job tags; the first failure is raised when all have ended."""
+    done: dict[str, Any] = {}
+    failed: list[Exception] = []
+
+    def run(name: str, step: Callable[[], Any]) -> None:
+        try:
+            done[name] = step()
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    first, *more = steps.items()
+    threads = [InheritableThread(target=run, args=item, session=spark) for item in more]
+    for th in threads:
+        th.start()
+    run(*first)
+    for th in threads:
+        th.join()
+    if failed:
+        raise failed[0]
+    return done
+
 
 @dataclass
 class Response:

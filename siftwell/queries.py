@@ -11,14 +11,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.highlight import align_highlights
-from siftwell.functions.match import WORD_STARTS, query_of
+from siftwell.functions.match import WORD_STARTS
 from siftwell.functions.normalize import normalized
 from siftwell.functions.tokenizers import code_tokenizer, split_terms
 from siftwell.index import DocumentIndex, SearchIndex
 from siftwell.operators.filters import FilterField
-from siftwell.operators.rank import top
-from siftwell.plans.options import Autocomplete, TokenMatch, Typo
+from siftwell.plans.options import TokenMatch, Typo
 from siftwell.plans.schema import SearchField
 from siftwell.plans.search import Search
 
@@ -229,10 +227,59 @@ def _fuzzy_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("autocomplete_fuzzy", _fuzzy_suggest, f"WITH {sql_fuzzy('part', 'p_partkey', norm('p_name'), 'rdbt', ', p_name')}, w AS (SELECT * REPLACE (CAST(floor(score * 2.0 + 0.5) AS INTEGER) AS score) FROM fuzzy), r AS (SELECT row_number() OVER (ORDER BY score DESC, s = 'rdbt' DESC, length(s), id) AS rank, * FROM w) SELECT CAST(rank AS INTEGER) AS rank, p_name AS text, score, 'did-you-mean' AS type, id AS doc_id FROM r WHERE rank <= 25")
-add("did_you_mean", _suggest("wigdet", limit=15, mode="fuzzy", fuzzy_distance=1))
-add("typo_substring", lambda s, d: part_page(s, d, "wigdet", mode="substring", typo=Typo(enabled=True), limit=100))
-add("typo_token", lambda s, d: part_page(s, d, "rde widgte", mode="token", typo=Typo(enabled=True, min_for_one=3), token=TokenMatch("or"), limit=100))
-add("typo_prefix", lambda s, d: part_page(s, d, "smal", mode="prefix", typo=Typo(enabled=True), limit=100))
+
+
+def sql_window(n: str, term: str, starts: str = "TRUE", head: int = 1) -> str:
+    """{w: start, length, distance} of the window of least distance (one edit at most), then earliest, then shortest; null without one. All windows are tried."""
+    m = len(term)
+    each = f"list_transform(range(0, length({n})), lambda a: list_transform(range({m - 1}, {m + 2}), lambda k: {{'distance': damerau_levenshtein(substr({n}, a + 1, k), {lit(term)}), 'start': a, 'length': k}}))"
+    fits = f"x.distance <= 1 AND x.start + x.length <= length({n}) AND substr({n}, x.start + 1, {head}) = {lit(term[:head])} AND ({starts})"
+    return f"list_min(list_filter(flatten({each}), lambda x: {fits}))"
+
+
+_DELIMITER = r"regexp_matches({0}, '^[\t\n\r !-/:-@\[-`{{-~]$')"
+
+
+def typo_fields(score: Callable[[str], str], fields: tuple[tuple[str, float], ...]) -> str:
+    """Rows (id, text, matched_field, place, weight, score, s) of part: the scores of each field."""
+    return "\nUNION ALL ".join(f"SELECT p_partkey AS id, {f} AS text, '{f}' AS matched_field, {k} AS place, CAST({w} AS DOUBLE) AS weight, CAST(floor(({score('s')}) * {w} + 0.5) AS INTEGER) AS score, s FROM (SELECT p_partkey, {f}, {norm(f)} AS s FROM part)" for k, (f, w) in enumerate(fields))
+
+
+_FIELDS = (("p_name", 2.0), ("p_type", 1.0), ("p_brand", 0.5))
+
+
+def typo_page(score: Callable[[str], str], q: str, limit: int = 100) -> str:
+    return f"""WITH m AS ({typo_fields(score, _FIELDS)}), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS best FROM m WHERE score IS NOT NULL),
+r AS (SELECT row_number() OVER (ORDER BY score DESC, weight DESC, s = {lit(q)} DESC, length(s), id) AS rank, id, score, matched_field FROM b WHERE best = 1)
+SELECT CAST(rank AS INTEGER) AS rank, id, score, matched_field FROM r WHERE rank <= {limit}"""
+
+
+def typo_substring_score(n: str, q: str) -> str:
+    return f"list_transform([{sql_window(n, q)}], lambda w: 1000 - 10 * w.start - (length({n}) - {len(q)}) - 100 * w.distance)[1]"
+
+
+def typo_prefix_score(n: str, q: str) -> str:
+    before, here = _DELIMITER.format(f"substr({n}, x.start, 1)"), _DELIMITER.format(f"substr({n}, x.start + 1, 1)")
+    w = sql_window(n, q, f"(x.start = 0 OR {before}) AND NOT {here}")
+    return f"list_transform([{w}], lambda w: 1000 - 10 * w.start - (length({n}) - {len(q)}) + CASE WHEN w.start = 0 THEN 40 ELSE 0 END - 100 * w.distance)[1]"
+
+
+def typo_token_score(n: str, terms: list[str], required: int) -> str:
+    found = f"list_filter([{', '.join(f'{{w: {sql_window(n, t)}, size: {len(t)}}}' for t in terms)}], lambda y: y.w IS NOT NULL)"
+    base, lens = "list_sum(list_transform(g, lambda y: 1000 - 10 * y.w.start - 100 * y.w.distance))", "list_sum(list_transform(g, lambda y: y.size))"
+    span = "list_max(list_transform(g, lambda y: y.w.start + y.w.length)) - list_min(list_transform(g, lambda y: y.w.start))"
+    return f"list_transform([{found}], lambda g: CASE WHEN len(g) >= {required} THEN {base} - (length({n}) - {lens}) - 2 * greatest(0, {span} - {lens}) END)[1]"
+
+
+add(
+    "did_you_mean",
+    _suggest("wigdet", limit=15, mode="fuzzy", fuzzy_distance=1),
+    f"""WITH m AS ({typo_fields(lambda n: typo_substring_score(n, "wigdet"), _FIELDS)}), r AS (SELECT row_number() OVER (ORDER BY score DESC, weight DESC, s = 'wigdet' DESC, length(s), id) AS rank, * FROM m WHERE score IS NOT NULL)
+SELECT CAST(rank AS INTEGER) AS rank, text, score, 'did-you-mean' AS type, id AS doc_id FROM r WHERE rank <= 15""",
+)
+add("typo_substring", lambda s, d: part_page(s, d, "wigdet", mode="substring", typo=Typo(enabled=True), limit=100), typo_page(lambda n: typo_substring_score(n, "wigdet"), "wigdet"))
+add("typo_token", lambda s, d: part_page(s, d, "rde widgte", mode="token", typo=Typo(enabled=True, min_for_one=3), token=TokenMatch("or"), limit=100), typo_page(lambda n: typo_token_score(n, ["rde", "widgte"], 1), "rde widgte"))
+add("typo_prefix", lambda s, d: part_page(s, d, "smal", mode="prefix", typo=Typo(enabled=True), limit=100), typo_page(lambda n: typo_prefix_score(n, "smal"), "smal"))
 
 
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +327,8 @@ SELECT * FROM n UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = documents(spark, sf_dir).prepared
-    return p.agg(F.count("*").alias("documents"), F.count_if(F.length("_n_0") > 0).alias("rows"), F.sum(F.length("_n_0")).alias("tokens"))
+    said = documents(spark, sf_dir).stats()
+    return spark.createDataFrame([(said["documents"], said["rows"], said["tokens"])], "documents bigint, rows bigint, tokens bigint")
 
 
 add("index_stats", _stats, f"SELECT count(*) AS documents, count(*) FILTER (WHERE length({DOC}) > 0) AS rows, CAST(sum(length({DOC})) AS BIGINT) AS tokens FROM documents")
@@ -333,5 +380,3 @@ def _query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("token_split", _query_terms, r"SELECT p_partkey, unnest(list_filter(regexp_split_to_array(p_name || '-' || p_brand, '[\t\n\r !-/:-@\[-`{-~]'), lambda x: x <> '')) AS term FROM part")
-
-__all__ = ["Q", "SQL", "Autocomplete", "align_highlights", "query_of", "top"]

@@ -1,24 +1,31 @@
-"""Named, versioned snapshots: Parquet of the documents and a JSON manifest that is switched last.
+"""Named, versioned snapshots: Parquet of the documents, deltas, and a JSON manifest that is put in place last.
 
-<root>/<name>/v-<n>/docs holds a version, <root>/<name>/manifest/<n> its manifest; the greatest complete manifest counts, so a
-reader never sees half a version. Everything goes through Spark's own file systems.
+<root>/<name>/ holds claims/<n> (made exclusively: two writers never get one number), v-<n>/docs (a whole version) or v-<n>/rows and v-<n>/ids (the rows
+that a batch wrote and the ids that it touched), and manifest/<n>.json, which names the base and the deltas of a version. The greatest manifest counts, so
+a reader never sees half a version. Everything goes through Spark's own file systems.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwell.errors import IncompatibleHookError, IncompatibleIndexError, ProfileMismatchError
+from siftwell.functions.checksum import table_sum
 from siftwell.plans.schema import IndexSchema, hook_id
+from siftwell.streaming.mutate import COMPACT, Version, last_of
 
 if TYPE_CHECKING:
     from siftwell.index import DocumentIndex
 
-FORMAT = 1
+FORMAT = 2
+#: What a manifest may hold at most; one beyond is damaged or not ours.
+MAX_MANIFEST, MAX_DELTAS, MAX_FIELDS, MAX_COUNT = 1 << 20, 10_000, 4096, 1 << 53
+_VERSION = "_version"
 
 
 def _path(spark: SparkSession, path: str):
@@ -36,20 +43,78 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     p, fs = _path(spark, f"{root}/{_checked(name)}/manifest")
     if not fs.exists(p):
         return []
-    done = [int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()]
-    return sorted(n for n in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/manifest/{n}/_SUCCESS")))
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
-def save(index: DocumentIndex, root: str, name: str, decoupled: bool = False) -> int:
-    """Writes a new version and returns its number. decoupled: the records stay out, only ids and a count are kept."""
-    spark = index.docs.sparkSession
+def _claim(spark: SparkSession, root: str, name: str) -> int:
+    """The next number, this writer's alone."""
     n = max(versions(spark, root, name), default=0) + 1
-    folder = f"{root}/{_checked(name)}/v-{n}/docs"
-    kept = index.docs.select(index.schema.id, "_version") if decoupled else index.docs
-    kept.write.mode("overwrite").parquet(folder)
-    total = spark.read.parquet(folder).count()
-    manifest = {"format": FORMAT, "version": n, "documents": total, "decoupled": decoupled, "epoch": index.epoch, "schema": index.schema.manifest()}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/manifest/{n}")
+    while True:
+        p, fs = _path(spark, f"{root}/{_checked(name)}/claims/{n}")
+        try:
+            fs.create(p, False).close()
+            return n
+        except Exception as e:
+            if "exist" not in str(e).lower():
+                raise
+            n += 1
+
+
+def _publish(spark: SparkSession, root: str, name: str, manifest: dict) -> None:
+    n = manifest["version"]
+    p, fs = _path(spark, f"{root}/{name}/manifest/.{n}.part")
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(p, _path(spark, f"{root}/{name}/manifest/{n}.json")[0]):
+        raise IncompatibleIndexError(f"a new manifest {n}", "one that is there already")
+
+
+def _written(df: DataFrame, folder: str) -> dict[str, Any]:
+    """Writes a table; what its manifest says of it."""
+    df.write.mode("overwrite").parquet(folder)
+    n, crc = table_sum(df.sparkSession.read.schema(df.schema).parquet(folder))
+    return {"rows": n, "crc32_sum": crc}
+
+
+def save(index: DocumentIndex, root: str, name: str, decoupled: bool = False, **more: Any) -> int:
+    """Writes a whole new version and returns its number. decoupled: the records stay out, only ids and versions are kept."""
+    spark = index.docs.sparkSession
+    n = _claim(spark, root, _checked(name))
+    docs = index.docs.withColumnRenamed(index.version.version, _VERSION) if index.version.version == _VERSION else index.records().withColumn(_VERSION, F.lit(0))
+    kept = docs.select(index.schema.id, _VERSION) if decoupled else docs
+    about = _written(kept, f"{root}/{name}/v-{n}/docs")
+    _publish(spark, root, name, {"format": FORMAT, "version": n, "base": n, "documents": about["rows"], "about": about, "deltas": [], "decoupled": decoupled, "epoch": index.epoch, "schema": index.schema.manifest(), **more})
+    return n
+
+
+def append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None = None, **more: Any) -> int:
+    """A new version in which rows (repeated ids: the last, see last_of) replace or join the saved ones and removed ids go. Costs what the batch is: the base stays unread.
+
+    When the rows of all deltas reach COMPACT of the base's, the version is written whole instead.
+    """
+    spark = rows.sparkSession
+    said = manifest(spark, root, name)
+    _same(said["schema"], schema)
+    if said["decoupled"]:
+        raise IncompatibleIndexError("a snapshot with its records", "a decoupled one")
+    n, epoch = _claim(spark, root, name), said["epoch"] + 1
+    plain = [c for c in spark.read.parquet(f"{root}/{name}/v-{said['base']}/docs").columns if c != _VERSION]
+    if set(rows.columns) - {"_order"} != set(plain):
+        raise IncompatibleIndexError(sorted(plain), sorted(rows.columns))
+    folder = f"{root}/{name}/v-{n}"
+    about = _written(last_of(rows, schema.id, plain).withColumn(_VERSION, F.lit(epoch)), f"{folder}/rows")
+    ids = spark.read.parquet(f"{folder}/rows").select(schema.id)
+    if removed is not None:
+        ids = ids.union(removed.toDF(schema.id)).distinct()
+    touched = _written(ids.withColumn("_number", F.lit(epoch)), f"{folder}/ids")
+    deltas = [*said["deltas"], {"version": n, "epoch": epoch, "about": about, "touched": touched}]
+    after = {**said, "version": n, "deltas": deltas, "epoch": epoch, "documents": None, **more}
+    if sum(d["touched"]["rows"] for d in deltas) >= COMPACT * max(1, said["about"]["rows"]):
+        about = _written(_read(spark, root, name, after, schema.id).docs(), f"{folder}/docs")
+        after |= {"base": n, "deltas": [], "documents": about["rows"], "about": about}
+    _publish(spark, root, name, after)
     return n
 
 
@@ -57,31 +122,75 @@ def manifest(spark: SparkSession, root: str, name: str, version: int | None = No
     known = versions(spark, root, name)
     if not known or version is not None and version not in known:
         raise FileNotFoundError(f"no snapshot {name!r} in {root}")
-    out = json.loads(spark.read.text(f"{root}/{name}/manifest/{version or known[-1]}").first()[0])
-    if out.get("format") != FORMAT:
-        raise IncompatibleIndexError(FORMAT, out.get("format"))
-    return out
-
-
-def load(spark: SparkSession, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None) -> DocumentIndex:
+    path = f"{root}/{name}/manifest/{version or known[-1]}.json"
+    p, fs = _path(spark, path)
+    if (size := fs.getFileStatus(p).getLen()) > MAX_MANIFEST:
+        raise IncompatibleIndexError(f"a manifest of at most {MAX_MANIFEST} bytes", size)
+    try:
+        out = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except (ValueError, TypeError) as e:
+        raise IncompatibleIndexError("a manifest", "no JSON") from e
+    return sane(out)
+
+
+def sane(said: Any) -> dict:
+    """A manifest whose parts are of the kinds and within the bounds that save() keeps."""
+    if not isinstance(said, dict) or said.get("format") != FORMAT:
+        raise IncompatibleIndexError(FORMAT, said.get("format") if isinstance(said, dict) else said)
+
+    def count(x: Any) -> bool:
+        return isinstance(x, int) and not isinstance(x, bool) and 0 <= x <= MAX_COUNT
+
+    def about(x: Any) -> bool:
+        return isinstance(x, dict) and count(x.get("rows")) and isinstance(x.get("crc32_sum"), int)
+
+    deltas, schema = said.get("deltas"), said.get("schema")
+    tests = {
+        "version": count(said.get("version")) and count(said.get("base")) and 0 < said["base"] <= said["version"],
+        "epoch": count(said.get("epoch")),
+        "documents": said.get("documents") is None or count(said["documents"]),
+        "about": about(said.get("about")),
+        "deltas": isinstance(deltas, list) and len(deltas) <= MAX_DELTAS and all(isinstance(d, dict) and count(d.get("version")) and count(d.get("epoch")) and about(d.get("about")) and about(d.get("touched")) for d in deltas),
+        "decoupled": isinstance(said.get("decoupled"), bool),
+        "schema": isinstance(schema, dict) and all(isinstance(schema.get(k), list) and len(schema[k]) <= MAX_FIELDS for k in ("fields", "filter_fields")),
+    }
+    if bad := [k for k, ok in tests.items() if not ok]:
+        raise IncompatibleIndexError("a sound manifest", f"unsound {', '.join(bad)}")
+    return said
+
+
+def _table(spark: SparkSession, folder: str, about: dict, verify: bool) -> DataFrame:
+    df = spark.read.parquet(folder)
+    if verify and (found := table_sum(df)) != (about["rows"], about["crc32_sum"]):
+        raise IncompatibleIndexError(f"{about['rows']} rows of checksum {about['crc32_sum']} in {folder}", found)
+    return df
+
+
+def _read(spark: SparkSession, root: str, name: str, said: dict, key: str, verify: bool = False) -> Version:
+    at = f"{root}/{name}/v-"
+    base = _table(spark, f"{at}{said['base']}/docs", said["about"], verify)
+    rows = tuple(_table(spark, f"{at}{d['version']}/rows", d["about"], verify) for d in said["deltas"])
+    touched = tuple(_table(spark, f"{at}{d['version']}/ids", d["touched"], verify) for d in said["deltas"])
+    return Version(base, key, _VERSION, rows, touched, sum(d["touched"]["rows"] for d in said["deltas"]), said["about"]["rows"] + sum(d["about"]["rows"] for d in said["deltas"]))
+
+
+def load(spark: SparkSession, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None, verify: bool = True) -> DocumentIndex:
     """The saved index under the given schema, which must say what the manifest says; getters and hooks come from it.
 
-    docs: the records of a decoupled snapshot; their ids must be the saved ones.
+    docs: the records of a decoupled snapshot; their ids must be the saved ones. verify: hold every table against its checksum, one pass of each.
     """
     from siftwell.index import DocumentIndex
 
     said = manifest(spark, root, name, version)
     _same(said["schema"], schema)
-    saved = spark.read.parquet(f"{root}/{name}/v-{said['version']}/docs")
-    if saved.count() != said["documents"]:
-        raise IncompatibleIndexError(f"{said['documents']} documents", saved.count())
+    saved = _read(spark, root, name, said, schema.id, verify)
     if said["decoupled"]:
         if docs is None:
             raise IncompatibleIndexError("the records of a decoupled snapshot", None)
-        both = docs.join(saved, schema.id)
-        if both.count() != said["documents"]:
-            raise IncompatibleIndexError(f"{said['documents']} records", both.count())
-        saved = both
+        both = docs.join(saved.base, schema.id)
+        if (n := both.count()) != said["documents"]:
+            raise IncompatibleIndexError(f"{said['documents']} records", n)
+        saved = Version(both, schema.id, _VERSION)
     return DocumentIndex(schema, saved, epoch=said["epoch"])
 
 

@@ -22,9 +22,13 @@ def ingest(stream: DataFrame, index: DocumentIndex, root: str, name: str, checkp
     snapshot.save(index, root, name)
 
     def upsert(rows: DataFrame, epoch: int) -> None:
-        now = snapshot.load(rows.sparkSession, root, name, index.schema)
-        if not rows.isEmpty():
-            snapshot.save(now.upsert(rows), root, name)
+        # a batch costs what it holds: the saved documents stay unread until deltas reach a share of them
+        rows = rows.persist()
+        try:
+            if not rows.isEmpty() and snapshot.manifest(rows.sparkSession, root, name).get("batch", -1) < epoch:
+                snapshot.append(rows, root, name, index.schema, batch=epoch)
+        finally:
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
