@@ -60,20 +60,29 @@ def main() -> None:
     facets = {"lang": {"field": "lang"}, "size": {"field": "n_chars", "type": "range", "ranges": [{"to": 500}, {"from": 500, "to": 5000}, {"from": 5000}]}}
     page = {"highlight": False, "limit": 20}
 
-    def facet_rows(s) -> None:
-        s.results.collect()
-        for df in s.facets.values():
-            df.collect()
+    events = None
 
+    def build_events() -> None:
+        """Short rows in great number, in the shape of logs."""
+        nonlocal events
+        events = index("events", [SearchField("props", 2.0), SearchField("event_type", 1.5)], "event_id", [FilterField("event_type"), FilterField("value", "number")])
+        events.prepared.count()
+
+    timed("index_build_events", build_events, 1)
+    assert events is not None
     timed("fuzzy_documents", lambda: docs.plan("thing", **page).results.collect())
     timed("fuzzy_filter_documents", lambda: docs.plan("thing", filter={"lang": "en", "n_chars": {"lt": 1000}}, **page).results.collect())
-    timed("fuzzy_facets_documents", lambda: facet_rows(docs.plan("thing", facets=facets, **page)))
+    timed("fuzzy_facets_documents", lambda: docs.search("thing", facets=facets, **page))
+    timed("whole_search_documents", lambda: docs.search("thing", filter={"lang": "en"}, facets=facets, diagnostics=True, limit=20, tag="mark"))
+    timed("fuzzy_events", lambda: events.plan("click", **page).results.collect())
+    timed("fuzzy_filter_events", lambda: events.plan("click", filter={"value": {"lt": 10}}, **page).results.collect())
+    timed("fuzzy_facets_events", lambda: events.search("click", facets={"event_type": {}}, **page))
     timed("substring_documents", lambda: docs.plan("thing", mode="substring", **page).results.collect())
     timed("token_documents", lambda: docs.plan("the and of", mode="token", **page).results.collect())
     timed("highlight_documents", lambda: docs.plan("thing", mode="substring", limit=20, tag="mark").results.collect())
     timed("prefix_parts", lambda: parts.plan("wid", mode="prefix", **page).results.collect())
     timed("prefix_filter_parts", lambda: parts.plan("wid", mode="prefix", filter={"p_type": "SMALL"}, **page).results.collect())
-    timed("fuzzy_facet_parts", lambda: facet_rows(parts.plan("wdgt", facets={"p_type": {}}, **page)))
+    timed("fuzzy_facet_parts", lambda: parts.search("wdgt", facets={"p_type": {}}, **page))
     timed("autocomplete_parts", lambda: parts.autocomplete("wid", limit=5).collect())
     timed("typo_parts", lambda: parts.plan("wigdet", mode="substring", typo=Typo(enabled=True), **page).results.collect())
     with tempfile.TemporaryDirectory() as root:

@@ -1,6 +1,6 @@
 """Text normalization: trim, NFC, full case folding, NFC. Queries on the driver, columns in Spark.
 
-ASCII rows stay in the JVM (trim and lower are the whole of it there); only other rows travel to an Arrow UDF.
+Rows of ASCII, western letters and common signs stay in the JVM (trim and lower are the whole of it there, but for ß); only other rows travel to an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 TRIMMED = "\t\n\x0b\x0c\r                  　﻿"
 #: Folds of Unicode 16 that older tables of str.casefold lack.
 NEWER_FOLDS = {0x1C89: "ᲊ", 0xA7CB: "ɤ", 0xA7CC: "ꟍ", 0xA7DA: "ꟛ", 0xA7DC: "ƛ"} | {c: chr(c + 0x20) for c in range(0x10D50, 0x10D66)}
-_ASCII = r"^[\x00-\x7F]*$"
+_ASCII = r"^[\x00-\x7F]*\z"
+#: Beside ASCII: characters up to U+017E and signs that are composed already and whose lower case is their fold (ß apart). Left out: no-break space, soft hyphen,
+#: micro sign, dotted I, n with apostrophe.
+_NATIVE = r"^[\x00-\x7F\u00A1-\u00AC\u00AE-\u00B4\u00B6-\u012F\u0131-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201E\u2026\u20AC]*\z"
 
 
 def fold(text: str) -> str:
@@ -41,14 +44,14 @@ def _udf(folded: bool):
 
 
 def ascii_normalized(text: Column, folded: bool = True) -> Column:
-    """normalize_text for columns known to be ASCII: JVM only."""
-    bare = F.regexp_replace(text, r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$", "")
-    return F.lower(bare) if folded else bare
+    """normalize_text for columns known to be ASCII (or of the characters of _NATIVE): JVM only."""
+    bare = F.btrim(text, F.lit("\t\n\x0b\f\r "))
+    return F.replace(F.lower(bare), F.lit("ß"), F.lit("ss")) if folded else bare
 
 
 def normalized(text: Column, folded: bool = True) -> Column:
     """normalize_text of a column; null stays null."""
-    plain = text.rlike(_ASCII)
+    plain = text.rlike(_NATIVE)
     return F.when(plain, ascii_normalized(text, folded)).otherwise(_udf(folded)(F.when(~plain, text)))
 
 

@@ -105,3 +105,13 @@ def test_tokenizers():
 def test_weights_round_half_up(spark):
     df = spark.createDataFrame([(-5,), (5,), (3,)], "s int")
     assert [r[0] for r in df.select(match.weighted(F.col("s"), 0.5)).collect()] == [-2, 3, 2]
+
+
+def test_native_normalization_is_the_plain_one(spark):
+    """Every character below U+2100, alone, doubled, in capitals' company and behind blanks."""
+    chars = [chr(c) for c in range(1, 0x2100) if not 0xD800 <= c < 0xE000]
+    rows = [(f"{before}{c}{after}",) for c in chars for before, after in (("", ""), (" A", "B\t"), ("\u00a0", "\u0301"))]
+    df = spark.createDataFrame(rows, "t string").repartition(4)
+    for folded in (True, False):
+        for r in df.select("t", normalized(F.col("t"), folded).alias("n")).collect():
+            assert r.n == normalize_text(r.t, folded), ascii(r.t)
