@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from itertools import pairwise
 
 import regex
 
@@ -17,7 +18,9 @@ from siftwell.functions.normalize import TRIMMED, fold, normalize_text
 
 Range = tuple[int, int]
 _CLUSTERS = regex.compile(r"\X")
+#: How an element's name begins a tag, and how an apostrophe is escaped.
 _TAG = re.compile(r"[a-zA-Z][a-zA-Z0-9_-]*")
+APOSTROPHE = "&#39;"
 
 
 def _units(text: str) -> int:
@@ -68,31 +71,24 @@ def align_highlights(text: str | None, query: Query, folded: bool = True) -> lis
     return merge_ranges([(spans[a][0], spans[a + n - 1][1]) for a, n in found[1] if n])
 
 
+def _marks(tag: str) -> tuple[str, str]:
+    """What opens and closes an element of this tag, whose name attributes may follow."""
+    bare = tag.strip()
+    if (name := _TAG.match(bare)) is None:
+        raise TypeError(f"{tag!r} is no tag of an element")
+    return f"<{bare}>", f"</{name[0]}>"
+
+
 def render_highlighted(text: str | None, ranges: list[Range], tag: str = "mark", escape_html: bool = False) -> str:
     """text with each range in a tag (attributes allowed after its name)."""
-    if not text:
-        return ""
-
-    def shown(part: bytes) -> str:
-        s = part.decode("utf-16-le", "surrogatepass")
-        return html.escape(s).replace("&#x27;", "&#39;") if escape_html else s
-
-    raw = text.encode("utf-16-le", "surrogatepass")
-    if not ranges:
-        return shown(raw)
-    tag = tag.strip()
-    name = _TAG.match(tag)
-    if not name:
-        raise TypeError(f"{tag!r} is no tag of an element")
-    out, at, size = [], 0, len(raw) // 2
-    for a, b in merge_ranges(ranges):
-        a, b = min(a, size), min(b, size)
-        out.append(shown(raw[2 * at : 2 * a]))
-        if b > a:
-            out.append(f"<{tag}>{shown(raw[2 * a : 2 * b])}</{name[0]}>")
-        at = b
-    out.append(shown(raw[2 * at :]))
-    return "".join(out)
+    units = (text or "").encode("utf-16-le", "surrogatepass")
+    edges = [min(2 * x, len(units)) for r in merge_ranges(ranges) for x in r]
+    pieces = [units[a:b].decode("utf-16-le", "surrogatepass") for a, b in pairwise([0, *edges, len(units)])]
+    if escape_html:
+        pieces = [html.escape(p).replace("&#x27;", APOSTROPHE) for p in pieces]
+    # pieces lie outside and inside of ranges by turns
+    before, after = _marks(tag) if text and ranges else ("", "")
+    return "".join(f"{before}{p}{after}" if k % 2 and p else p for k, p in enumerate(pieces))
 
 
 def guard_cluster_boundary(text: str, end: int) -> int:
