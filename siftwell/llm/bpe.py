@@ -3,7 +3,7 @@
 A byte-level BPE encodes every pre-token by itself, so the ids of a text are those of its pre-tokens in a row. The
 split into pre-tokens is computed in numpy from character classes; a text with a character outside the alphabet whose
 classes are certain here, or with the text of a special token, goes to the library whole. Results are the library's own in
-both cases (see tests/llm/test_tokens.py).
+both cases (tests/llm/test_operators.py).
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def pretoken_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes Arrow string columns; holds at most max_words distinct pre-tokens, then starts afresh."""
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

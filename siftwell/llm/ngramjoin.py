@@ -535,5 +535,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """docs, all their columns, with one document of each component: that of the least doc_id; rows of a null doc_id all stay."""
-    gone = jaccard_components(docs, text, doc_id, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = jaccard_components(docs, text, doc_id, words, percent)
+    gone = _hinted(keep(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    drop(found)
     return unboxed(boxed(docs, _key=F.col(doc_id).cast("long")).join(gone, F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)
