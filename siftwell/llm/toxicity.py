@@ -24,6 +24,7 @@ from siftwell.llm.textbatch import HashTable, slices, words_of
 SEED_TERMS = ("asshole", "bastard", "clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "worthless")
 #: Digits and signs that stand for letters in disguised words.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_LOOKALIKE_TABLE = str.maketrans(LOOKALIKES)
 #: Words that report another's words.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes quoting word words term terms slur insult insults phrase".split())
 QUOTES = frozenset("\"'“”„‘’«»`")
@@ -31,20 +32,24 @@ QUOTES = frozenset("\"'“”„‘’«»`")
 WINDOW = 4
 #: Most labelled rows the model is fitted on, those of the smallest hashes of their ids.
 MAX_LABELLED = 20_000
-#: A learned term is in this share of toxic training documents, and at most that share of clean ones.
-TERM_SHARE, CLEAN_SHARE = 0.1, 0.002
+#: A learned term is in this share of distinct toxic training texts, in at most that share of clean ones, and so many times likelier in toxic ones.
+TERM_SHARE, CLEAN_SHARE, TERM_LIFT = 0.02, 0.002, 20.0
 #: A learned stem has so many letters, is in this share of toxic training documents, and is so many times likelier there.
 STEM_LETTERS, STEM_SHARE, STEM_LIFT = (4, 9), 0.01, 8.0
 #: Distinct words of toxic training documents that a stem begins: copies of one document repeat words but bring no new ones.
 STEM_WORDS = 6
-#: Most distinct words whose verdict a worker remembers.
-MAX_WORDS = 1_500_000
+#: Most distinct words whose verdict a worker remembers, some 30 bytes each; beyond, it starts afresh.
+MAX_WORDS = 500_000
 FEATURES = ("abuse", "misspelt", "quoted", "dense", "stems")
 #: Prior means of the model: bias, then FEATURES. Rows pull the weights away from these; without rows these hold.
 PRIOR = np.array([-3.0, 5.0, 3.5, 0.5, 1.0, 1.5])
 
 EXACT, FUZZY, STEM = 1, 2, 3
 
+#: Signs around a word that don't count, and what parts the words of one run of characters.
+SIGNS = "\t .,;:!?\"'()[]{}<>*_-#%&|/\\`~“”„‘’«»…\u00a0"
+PARTS = re.compile(r"[^\w]+|_+")
+
 
 def fuzz(term: str) -> int:
     """Edits allowed in a term: none up to 3 letters, 1 up to 7, else 2."""
@@ -59,18 +64,27 @@ def letters(word: str) -> int:
     return out
 
 
+@dataclass
+class Node:
+    """A node of the trie: its branches, the edits allowed in the term that ends here (-1: none ends), and the most allowed in any below."""
+
+    branches: dict[str, Node] = field(default_factory=dict)
+    fuzz: int = -1
+    most: int = 0
+
+
 class Lexicon:
-    """A trie of terms; match() walks it in step with the Levenshtein automaton of a word (its states are rows of edit distances)."""
+    """A trie of terms; match() intersects it with the Levenshtein automaton of a word."""
 
     def __init__(self, terms: Iterable[str], veto: Iterable[str] = (), stems: Iterable[str] = ()):
         self.terms, self.veto, self.stems = frozenset(terms), frozenset(veto), frozenset(stems)
-        self.root: dict = {}
+        self.root = Node()
         for term in sorted(self.terms):
             node = self.root
             for c in term:
-                node = node.setdefault(c, {})
-                node[None] = max(node.get(None, 0), fuzz(term))  # the largest fuzz below
-            node[""] = fuzz(term)
+                node = node.branches.setdefault(c, Node())
+                node.most = max(node.most, fuzz(term))
+            node.fuzz = fuzz(term)
         self.longest = max(map(len, self.terms), default=0) + 2
         self.shortest = min(map(len, self.terms), default=0) - 2
         #: By length of a word: letters (as bits) and fuzz of the terms that so long a word can be near.
@@ -78,35 +92,58 @@ class Lexicon:
 
     def match(self, word: str) -> int:
         """EXACT, STEM, FUZZY or 0. The word is in lower case; signs around it don't count, look-alikes inside it count as letters."""
-        bare = word.strip("\t .,;:!?\"'()[]{}<>*_-#%&|/\\`~“”„‘’«»…")
+        bare = word.strip(SIGNS)
         if bare in self.terms:
             return EXACT
-        if any(bare[:k] in self.stems for k in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1)):
-            return STEM
+        for k in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(bare)) + 1):
+            if bare[:k] in self.stems:
+                return STEM
         if not self.shortest <= len(bare) <= self.longest or bare in self.veto:
             return 0
-        plain = "".join(LOOKALIKES.get(c, c) for c in bare)
+        plain = bare.translate(_LOOKALIKE_TABLE)
         if plain in self.terms:
             return FUZZY
         # an edit brings in one letter at most and takes out one: no term is near a word whose letters differ more
         own = letters(plain)
-        if not any((t & ~own).bit_count() <= k and (own & ~t).bit_count() <= k for t, k in self.near[len(plain)]):
-            return 0
-        row = list(range(len(plain) + 1))
-        return FUZZY if any(self._walk(child, c, "", plain, row, None) for c, child in self.root.items()) else 0
-
-    def _walk(self, node: dict, c: str, before: str, word: str, row: list[int], older: list[int] | None) -> bool:
-        new = [row[0] + 1]
-        for j, x in enumerate(word, 1):
-            d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (x != c))
-            if older is not None and j > 1 and x == before and word[j - 2] == c:
-                d = min(d, older[j - 2] + 1)  # neighbours swapped
-            new.append(d)
-        if "" in node and new[-1] <= node[""]:
-            return True
-        if min(new) > node[None]:
-            return False
-        return any(self._walk(child, k, c, word, new, row) for k, child in node.items() if k)
+        for t, k in self.near[len(plain)]:
+            if (t & ~own).bit_count() <= k and (own & ~t).bit_count() <= k:
+                return FUZZY if self.accepts(plain) else 0
+        return 0
+
+    def accepts(self, word: str) -> bool:
+        """Is a term within its edits of the word (insert, delete, replace, swap of neighbours)?
+
+        The automaton's state is a bitmap for each number of edits up to two: bit j is set if the branch so far can be the word's first j letters.
+        """
+        at: dict[str, int] = {}
+        for j, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << j
+        end = 1 << len(word)
+        bits = 2 * end - 1
+        # node, states of 0, 1, 2 edits, those one letter before (of 0 and 1 edits), places of that letter
+        todo = [(self.root, 1, 3 & bits, 7 & bits, 0, 0, 0)]
+        while todo:
+            node, d0, d1, d2, o0, o1, before = todo.pop()
+            for c, child in node.branches.items():
+                m = at.get(c, 0)
+                swap = m & before >> 1
+                n0 = (d0 & m) << 1
+                n1 = ((d1 & m) << 1 | d0 | (d0 | n0) << 1 | (o0 & swap) << 2) & bits
+                n2 = ((d2 & m) << 1 | d1 | (d1 | n1) << 1 | (o1 & swap) << 2) & bits if child.most > 1 else 0
+                if child.fuzz >= 0 and (n0, n1, n2)[child.fuzz] & end:
+                    return True
+                if (n0, n1, n2)[child.most]:
+                    todo.append((child, n0, n1, n2, d0, d1, m))
+        return False
+
+    def hits(self, run: str) -> tuple[int, int, int]:
+        """Of a run of characters between blanks, in lower case: numbers of exact, misspelt and stem hits.
+
+        The run as a whole counts first (signs inside it may stand for letters); if that is no term, its words between signs do, however many.
+        """
+        kind = self.match(run)
+        kinds = [kind] if kind or run.isalpha() else [self.match(w) for w in parts] if len(parts := [w for w in PARTS.split(run) if w]) > 1 else []
+        return kinds.count(EXACT), kinds.count(FUZZY), kinds.count(STEM)
 
 
 @dataclass
@@ -127,7 +164,7 @@ class Scanner:
         self._reset()
 
     def _reset(self) -> None:
-        self.table, self.kinds = HashTable(MAX_WORDS), np.zeros(1 << 14, np.uint8)
+        self.table, self.kinds = HashTable(MAX_WORDS), np.zeros((1 << 14, 3), np.uint8)
 
     def features(self, column: pa.Array) -> np.ndarray:
         """FEATURES of each row; a row without hits (empty, null) has zeros."""
@@ -148,12 +185,12 @@ class Scanner:
             number = self.table.find(words.hashes)
         kind = self.kinds[number]
         out = np.zeros((len(words.first) - 1, len(FEATURES)))
-        hits = np.flatnonzero(kind)
+        hits = np.flatnonzero(kind.any(axis=1))
         for i, d in zip(hits.tolist(), (np.searchsorted(words.first, hits, "right") - 1).tolist(), strict=True):
             if self._quoted(words, i, int(words.first[d]), int(words.first[d + 1])):
-                out[d, 2] += 1
+                out[d, 2] += int(kind[i].sum())
             else:
-                out[d, 4 if kind[i] == STEM else int(kind[i]) - 1] += 1
+                out[d, [0, 1, 4]] += kind[i]
         size = np.diff(words.first)
         out[:, 3] = np.minimum(1, 20 * out[:, :2].sum(axis=1) / np.maximum(size, 1))
         out[:, :3] = np.minimum(out[:, :3], 3)
@@ -161,11 +198,10 @@ class Scanner:
         return out
 
     def _judge(self, words, where: np.ndarray) -> np.ndarray:
-        lo, hi = min(self.lexicon.shortest, STEM_LETTERS[0]), 96  # a longer run of signs is no word
         length = words.ends[where] - words.starts[where]
-        kinds = np.zeros(len(where), np.uint8)
-        for k in np.flatnonzero((length >= lo) & (length <= hi)).tolist():
-            kinds[k] = self.lexicon.match(words.text(where[k]).decode("utf-8", "replace").lower())
+        kinds = np.zeros((len(where), 3), np.uint8)
+        for k in np.flatnonzero(length >= min(self.lexicon.shortest, STEM_LETTERS[0])).tolist():
+            kinds[k] = np.minimum(self.lexicon.hits(words.text(where[k]).decode("utf-8", "replace").lower()), 255)
         return kinds
 
     def _quoted(self, words, i: int, lo: int, hi: int) -> bool:
@@ -185,13 +221,18 @@ def _rows(docs: DataFrame, text: str, doc_id: str, *more: str) -> DataFrame:
 def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """From a bounded table of (text, toxic): terms that labels show, words of clean documents that look like terms (vetoes), and stems.
 
-    Only words over TERM_SHARE of the toxic documents, or near a term, reach the driver.
+    Only words over TERM_SHARE of the toxic documents (at most their mean distinct words / TERM_SHARE), or near a term, reach the driver.
     """
+    labelled = labelled.dropDuplicates(["text", "toxic"])  # copies of one text show a word once
     n = labelled.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
     words = labelled.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"))).alias("word"))
     counts = words.filter(F.length("word").between(3, 24)).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    shown = counts.filter((F.col("t") >= max(5, TERM_SHARE * n.toxic)) & (F.col("c") <= CLEAN_SHARE * n.clean))
-    terms = sorted({r.word for r in shown.collect()} | set(SEED_TERMS)) if n.toxic else sorted(SEED_TERMS)
+    lift = F.col("t") * max(n.clean, 1) >= F.col("c") * (TERM_LIFT * max(n.toxic, 1))
+    shown = counts.filter((F.col("t") >= max(5, TERM_SHARE * n.toxic)) & (F.col("c") <= CLEAN_SHARE * n.clean) & lift & F.col("word").rlike(r"^\p{L}+$"))
+    stems = learn_stems(labelled, n.toxic, n.clean)
+    # a word that begins with a stem is found by that
+    own = {r.word for r in shown.collect()} if n.toxic else set()
+    terms = sorted({w for w in own if not any(w.startswith(s) for s in stems)} | set(SEED_TERMS))
     near = Lexicon(terms)
 
     def look_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +242,7 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str], list[str]]:
     # a word near a term is vetoed if clean documents use it and toxic ones don't use it more often in proportion
     often = F.col("c") * F.lit(max(n.toxic, 1)) >= F.col("t") * F.lit(max(n.clean, 1))
     veto = counts.filter((F.col("c") >= 1) & often).select("word").mapInArrow(look_alike, "word string")
-    return terms, sorted(r.word for r in veto.collect()), learn_stems(labelled, n.toxic, n.clean)
+    return terms, sorted(r.word for r in veto.collect()), stems
 
 
 def learn_stems(labelled: DataFrame, toxic: int, clean: int) -> list[str]:
@@ -272,7 +313,10 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", keep_columns: Iterable[str] = ()) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (score >= 0.5) of every row; null texts score as empty ones. One pass, no shuffle."""
+    """doc_id, score (0 to 1), predicted (score >= 0.5) of every row; null texts score as empty ones. One pass, no shuffle.
+
+    Texts of any length are read whole, repeated rows score alike, other columns are left aside; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.lexicon.stems, model.weights))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from siftwell.llm import toxicity
@@ -28,6 +29,15 @@ def test_first_letter_may_be_wrong(word):
     assert toxicity.Lexicon(toxicity.SEED_TERMS, veto=[word.strip("#*")]).match(word) == 0
 
 
+def test_runs_of_signs_and_words():
+    lex = toxicity.Lexicon(toxicity.SEED_TERMS, stems=["vile"])
+    assert lex.hits("idiot" + "!" * 200) == (1, 0, 0) and lex.hits("*" * 300 + "oron") == (0, 1, 0)
+    assert lex.hits("idiot/moron,vilest...you") == (2, 0, 1) and lex.hits("a\u00a0stupid\u00a0text\u00a0set\u00a0with\u00a0hard\u00a0blanks") == (1, 0, 0)
+    assert lex.hits("id!ot") == (0, 1, 0) and lex.hits("e-mail") == lex.hits("") == lex.hits("---") == (0, 0, 0)
+    column = pa.array(["you " + "x" * 500 + "-idiot", "so st\u00fcpid\u2014scum", None, ""])
+    assert toxicity.Scanner(lex).features(column)[:, [0, 1, 4]].tolist() == [[1, 0, 0], [1, 1, 0], [0, 0, 0], [0, 0, 0]]
+
+
 def test_walk_finds_all_that_is_near():
     rng, lex = random.Random(7), toxicity.Lexicon([*toxicity.SEED_TERMS, "ass"])
     for _ in range(4000):
