@@ -23,6 +23,8 @@ if TYPE_CHECKING:
     from siftwell.index import DocumentIndex
 
 FORMAT = 2
+#: Snapshots of this format have a manifest in a folder of its number, no checksums and no deltas; they are read, not written.
+OLDER = 1
 #: What a manifest may hold at most; one beyond is damaged or not ours.
 MAX_MANIFEST, MAX_DELTAS, MAX_FIELDS, MAX_COUNT = 1 << 20, 10_000, 4096, 1 << 53
 _VERSION = "_version"
@@ -44,7 +46,8 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+    older = [int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/manifest/{n}/_SUCCESS"))]
+    return sorted(older + [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()])
 
 
 def _claim(spark: SparkSession, root: str, name: str) -> int:
@@ -122,14 +125,17 @@ def manifest(spark: SparkSession, root: str, name: str, version: int | None = No
     known = versions(spark, root, name)
     if not known or version is not None and version not in known:
         raise FileNotFoundError(f"no snapshot {name!r} in {root}")
-    path = f"{root}/{name}/manifest/{version or known[-1]}.json"
-    p, fs = _path(spark, path)
-    if (size := fs.getFileStatus(p).getLen()) > MAX_MANIFEST:
+    path = f"{root}/{name}/manifest/{version or known[-1]}"
+    p, fs = _path(spark, path + ".json")
+    path = path + ".json" if fs.exists(p) else path
+    if (size := fs.getContentSummary(_path(spark, path)[0]).getLength()) > MAX_MANIFEST:
         raise IncompatibleIndexError(f"a manifest of at most {MAX_MANIFEST} bytes", size)
     try:
         out = json.loads(spark.read.text(path, wholetext=True).first()[0])
     except (ValueError, TypeError) as e:
         raise IncompatibleIndexError("a manifest", "no JSON") from e
+    if isinstance(out, dict) and out.get("format") == OLDER:
+        out = {**out, "format": FORMAT, "base": out.get("version"), "deltas": [], "about": {"rows": out.get("documents"), "crc32_sum": None}}
     return sane(out)
 
 
@@ -142,7 +148,7 @@ def sane(said: Any) -> dict:
         return isinstance(x, int) and not isinstance(x, bool) and 0 <= x <= MAX_COUNT
 
     def about(x: Any) -> bool:
-        return isinstance(x, dict) and count(x.get("rows")) and isinstance(x.get("crc32_sum"), int)
+        return isinstance(x, dict) and count(x.get("rows")) and isinstance(x.get("crc32_sum"), int | None)
 
     deltas, schema = said.get("deltas"), said.get("schema")
     tests = {
@@ -161,8 +167,10 @@ def sane(said: Any) -> dict:
 
 def _table(spark: SparkSession, folder: str, about: dict, verify: bool) -> DataFrame:
     df = spark.read.parquet(folder)
-    if verify and (found := table_sum(df)) != (about["rows"], about["crc32_sum"]):
-        raise IncompatibleIndexError(f"{about['rows']} rows of checksum {about['crc32_sum']} in {folder}", found)
+    if verify:
+        rows, crc = table_sum(df)
+        if rows != about["rows"] or about["crc32_sum"] not in (None, crc):
+            raise IncompatibleIndexError(f"{about['rows']} rows of checksum {about['crc32_sum']} in {folder}", (rows, crc))
     return df
 
 

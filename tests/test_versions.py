@@ -102,13 +102,24 @@ def test_two_writers_get_two_versions(spark, index, tmp_path):
     assert all(DocumentIndex.restore(spark, root, "both", index.schema, version=k).docs.count() == 40 for k in (1, 2, 3))
 
 
+def test_an_older_snapshot_is_read(spark, index, tmp_path):
+    root = str(tmp_path)
+    index.docs.write.parquet(f"{root}/old/v-1/docs")
+    said = {"format": 1, "version": 1, "documents": 40, "decoupled": False, "epoch": 3, "schema": index.schema.manifest()}
+    spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{root}/old/manifest/1")
+    now = DocumentIndex.restore(spark, root, "old", index.schema)
+    assert now.docs.count() == 40 and now.epoch == 3
+    now.save(root, "old")
+    assert snapshot.versions(spark, root, "old") == [1, 2] and DocumentIndex.restore(spark, root, "old", index.schema).docs.count() == 40
+
+
 def test_damage_is_seen(spark, index, tmp_path):
     root = str(tmp_path)
     index.save(root, "one")
     (path,) = glob.glob(f"{root}/one/manifest/*.json")
     (crc,) = glob.glob(f"{root}/one/manifest/.*.json.crc")
     said = json.loads(open(path).read())
-    for change in ({"format": 1}, {"about": {"rows": -1, "crc32_sum": 0}}, {"deltas": {}}, {"base": 9}, {"epoch": "0"}, {"schema": {}}, {"about": {**said["about"], "crc32_sum": 5}}):
+    for change in ({"format": 3}, {"about": {"rows": -1, "crc32_sum": 0}}, {"deltas": {}}, {"base": 9}, {"epoch": "0"}, {"schema": {}}, {"about": {**said["about"], "crc32_sum": 5}}):
         open(path, "w").write(json.dumps({**said, **change}))
         glob.glob(crc) and __import__("os").remove(crc)
         with pytest.raises(IncompatibleIndexError):
