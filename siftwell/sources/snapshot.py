@@ -1,16 +1,18 @@
 """Named, versioned snapshots: Parquet of the documents, deltas, and a JSON manifest that is put in place last.
 
-<root>/<name>/ holds claims/<n> (made exclusively: two writers never get one number), v-<n>/docs (a whole version) or v-<n>/rows and v-<n>/ids (the rows
-that a batch wrote and the ids that it touched), and manifest/<n>.json, which names the base and the deltas of a version. The greatest manifest counts, so
-a reader never sees half a version. Everything goes through Spark's own file systems.
+<root>/<name>/ holds folders that are one writer's alone (docs, a whole version; or rows and ids, the rows that a batch wrote and the ids that it touched), and
+manifest/<n>.json, which names the base and the deltas of version n. A manifest is renamed into place and never over another: of two writers one
+gets the number and the other goes on to the next. The greatest manifest counts, so a reader never sees half a version. Everything goes through Spark's own file systems.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from typing import TYPE_CHECKING, Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,28 +52,22 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(older + [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()])
 
 
-def _claim(spark: SparkSession, root: str, name: str) -> int:
-    """The next number, this writer's alone."""
-    n = max(versions(spark, root, name), default=0) + 1
-    while True:
-        p, fs = _path(spark, f"{root}/{_checked(name)}/claims/{n}")
-        try:
-            fs.create(p, False).close()
-            return n
-        except Exception as e:
-            if "exist" not in str(e).lower():
-                raise
-            n += 1
-
-
-def _publish(spark: SparkSession, root: str, name: str, manifest: dict) -> None:
-    n = manifest["version"]
-    p, fs = _path(spark, f"{root}/{name}/manifest/.{n}.part")
-    out = fs.create(p, True)
+def _publish(spark: SparkSession, root: str, name: str, manifest: dict) -> bool:
+    """Puts a manifest in place by renaming, which fails if another writer has taken its number."""
+    fs, at = _path(spark, root)[1], f"{root}/{name}/manifest"
+    part, target = (_path(spark, f"{at}/{x}")[0] for x in (f".{uuid.uuid4().hex}.part", f"{manifest['version']}.json"))
+    out = fs.create(part, True)
     out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
     out.close()
-    if not fs.rename(p, _path(spark, f"{root}/{name}/manifest/{n}.json")[0]):
-        raise IncompatibleIndexError(f"a new manifest {n}", "one that is there already")
+    try:
+        done = not fs.exists(target) and bool(fs.rename(part, target))
+    except Py4JJavaError as e:
+        if "exist" not in str(e.java_exception).lower():
+            raise
+        done = False
+    if not done:
+        fs.delete(part, False)
+    return done
 
 
 def _written(df: DataFrame, folder: str) -> dict[str, Any]:
@@ -84,12 +80,18 @@ def _written(df: DataFrame, folder: str) -> dict[str, Any]:
 def save(index: DocumentIndex, root: str, name: str, decoupled: bool = False, **more: Any) -> int:
     """Writes a whole new version and returns its number. decoupled: the records stay out, only ids and versions are kept."""
     spark = index.docs.sparkSession
-    n = _claim(spark, root, _checked(name))
+    n, folder = max(versions(spark, root, _checked(name)), default=0) + 1, _folder()
     docs = index.docs.withColumnRenamed(index.version.version, _VERSION) if index.version.version == _VERSION else index.records().withColumn(_VERSION, F.lit(0))
     kept = docs.select(index.schema.id, _VERSION) if decoupled else docs
-    about = _written(kept, f"{root}/{name}/v-{n}/docs")
-    _publish(spark, root, name, {"format": FORMAT, "version": n, "base": n, "documents": about["rows"], "about": about, "deltas": [], "decoupled": decoupled, "epoch": index.epoch, "schema": index.schema.manifest(), **more})
-    return n
+    about = _written(kept, f"{root}/{name}/{folder}/docs")
+    said = {"format": FORMAT, "version": n, "base": folder, "documents": about["rows"], "about": about, "deltas": [], "decoupled": decoupled, "epoch": index.epoch, "schema": index.schema.manifest(), **more}
+    while not _publish(spark, root, name, said):
+        said["version"] += 1
+    return said["version"]
+
+
+def _folder() -> str:
+    return f"v-{uuid.uuid4().hex}"
 
 
 def append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None = None, **more: Any) -> int:
@@ -97,28 +99,34 @@ def append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed:
 
     When the rows of all deltas reach COMPACT of the base's, the version is written whole instead.
     """
+    while (n := _append(rows, root, name, schema, removed, more)) is None:
+        pass  # another writer was first: again, upon what it wrote
+    return n
+
+
+def _append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None, more: dict) -> int | None:
     spark = rows.sparkSession
     said = manifest(spark, root, name)
     _same(said["schema"], schema)
     if said["decoupled"]:
         raise IncompatibleIndexError("a snapshot with its records", "a decoupled one")
-    n, epoch = _claim(spark, root, name), said["epoch"] + 1
-    plain = [c for c in spark.read.parquet(f"{root}/{name}/v-{said['base']}/docs").columns if c != _VERSION]
+    n, epoch = said["version"] + 1, said["epoch"] + 1
+    plain = [c for c in spark.read.parquet(f"{root}/{name}/{said['base']}/docs").columns if c != _VERSION]
     if set(rows.columns) - {"_order"} != set(plain):
         raise IncompatibleIndexError(sorted(plain), sorted(rows.columns))
-    folder = f"{root}/{name}/v-{n}"
+    own = _folder()
+    folder = f"{root}/{name}/{own}"
     about = _written(last_of(rows, schema.id, plain).withColumn(_VERSION, F.lit(epoch)), f"{folder}/rows")
     ids = spark.read.parquet(f"{folder}/rows").select(schema.id)
     if removed is not None:
         ids = ids.union(removed.toDF(schema.id)).distinct()
     touched = _written(ids.withColumn("_number", F.lit(epoch)), f"{folder}/ids")
-    deltas = [*said["deltas"], {"version": n, "epoch": epoch, "about": about, "touched": touched}]
+    deltas = [*said["deltas"], {"folder": own, "epoch": epoch, "about": about, "touched": touched}]
     after = {**said, "version": n, "deltas": deltas, "epoch": epoch, "documents": None, **more}
     if sum(d["touched"]["rows"] for d in deltas) >= COMPACT * max(1, said["about"]["rows"]):
         about = _written(_read(spark, root, name, after, schema.id).docs(), f"{folder}/docs")
-        after |= {"base": n, "deltas": [], "documents": about["rows"], "about": about}
-    _publish(spark, root, name, after)
-    return n
+        after |= {"base": own, "deltas": [], "documents": about["rows"], "about": about}
+    return n if _publish(spark, root, name, after) else None
 
 
 def manifest(spark: SparkSession, root: str, name: str, version: int | None = None) -> dict:
@@ -135,7 +143,7 @@ def manifest(spark: SparkSession, root: str, name: str, version: int | None = No
     except (ValueError, TypeError) as e:
         raise IncompatibleIndexError("a manifest", "no JSON") from e
     if isinstance(out, dict) and out.get("format") == OLDER:
-        out = {**out, "format": FORMAT, "base": out.get("version"), "deltas": [], "about": {"rows": out.get("documents"), "crc32_sum": None}}
+        out = {**out, "format": FORMAT, "base": f"v-{out.get('version')}", "deltas": [], "about": {"rows": out.get("documents"), "crc32_sum": None}}
     return sane(out)
 
 
@@ -147,16 +155,19 @@ def sane(said: Any) -> dict:
     def count(x: Any) -> bool:
         return isinstance(x, int) and not isinstance(x, bool) and 0 <= x <= MAX_COUNT
 
+    def folder(x: Any) -> bool:
+        return isinstance(x, str) and re.fullmatch("v-[0-9a-f]+", x) is not None
+
     def about(x: Any) -> bool:
         return isinstance(x, dict) and count(x.get("rows")) and isinstance(x.get("crc32_sum"), int | None)
 
     deltas, schema = said.get("deltas"), said.get("schema")
     tests = {
-        "version": count(said.get("version")) and count(said.get("base")) and 0 < said["base"] <= said["version"],
+        "version": count(said.get("version")) and folder(said.get("base")),
         "epoch": count(said.get("epoch")),
         "documents": said.get("documents") is None or count(said["documents"]),
         "about": about(said.get("about")),
-        "deltas": isinstance(deltas, list) and len(deltas) <= MAX_DELTAS and all(isinstance(d, dict) and count(d.get("version")) and count(d.get("epoch")) and about(d.get("about")) and about(d.get("touched")) for d in deltas),
+        "deltas": isinstance(deltas, list) and len(deltas) <= MAX_DELTAS and all(isinstance(d, dict) and folder(d.get("folder")) and count(d.get("epoch")) and about(d.get("about")) and about(d.get("touched")) for d in deltas),
         "decoupled": isinstance(said.get("decoupled"), bool),
         "schema": isinstance(schema, dict) and all(isinstance(schema.get(k), list) and len(schema[k]) <= MAX_FIELDS for k in ("fields", "filter_fields")),
     }
@@ -175,10 +186,10 @@ def _table(spark: SparkSession, folder: str, about: dict, verify: bool) -> DataF
 
 
 def _read(spark: SparkSession, root: str, name: str, said: dict, key: str, verify: bool = False) -> Version:
-    at = f"{root}/{name}/v-"
+    at = f"{root}/{name}/"
     base = _table(spark, f"{at}{said['base']}/docs", said["about"], verify)
-    rows = tuple(_table(spark, f"{at}{d['version']}/rows", d["about"], verify) for d in said["deltas"])
-    touched = tuple(_table(spark, f"{at}{d['version']}/ids", d["touched"], verify) for d in said["deltas"])
+    rows = tuple(_table(spark, f"{at}{d['folder']}/rows", d["about"], verify) for d in said["deltas"])
+    touched = tuple(_table(spark, f"{at}{d['folder']}/ids", d["touched"], verify) for d in said["deltas"])
     return Version(base, key, _VERSION, rows, touched, sum(d["touched"]["rows"] for d in said["deltas"]), said["about"]["rows"] + sum(d["about"]["rows"] for d in said["deltas"]))
 
 
