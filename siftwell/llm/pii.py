@@ -41,20 +41,48 @@ START = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn":
 ADDS, LEAST = 0.2, 0.6
 
 
+#: Matches that are placed together: sums run inside a group, then over groups, so that no array is copied once a match.
+GROUP = 512
+_FOUND = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def _sums(sizes: Column) -> Column:
+    """Sums of an array up to each element (without it), in steps that grow as the array's length times GROUP at most."""
+    whole = F.array().cast("array<int>")
+
+    def running(xs: Column) -> Column:
+        """Sums before each element, and over all."""
+        return F.aggregate(xs, F.struct(F.lit(0).alias("sum"), whole.alias("out")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")))
+
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(sizes) - 1) / GROUP), F.lit(0)).cast("int")), lambda g: running(F.slice(sizes, g * GROUP + 1, F.lit(GROUP))))
+    starts = running(F.transform(groups, lambda g: g["sum"]))["out"]
+    many = F.flatten(F.zip_with(groups, starts, lambda g, s: F.transform(g["out"], lambda x: x + s)))
+    return F.when(F.size(sizes) <= GROUP, running(sizes)["out"]).otherwise(many)
+
+
 def _spans(text: str, kind: str) -> Column:
-    """array<struct<start, end, match>> of the pattern's matches, leftmost first, in code points."""
+    """array<struct<start, end, match, before, after>> of the pattern's matches, leftmost first, in code points.
+
+    before and after: up to CONTEXT code points, cut from the pieces between matches (those before the match before are left out).
+    """
     pattern = PATTERNS[kind]
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    held = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        more = F.when(x["match"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))))
-        return F.struct(end.alias("at"), more.alias("out"))
+    def placed(x: Column) -> Column:
+        both = F.zip_with(x["p"], x["m"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+        return F.struct(x["p"].alias("p"), x["m"].alias("m"), _sums(both).alias("at"))
+
+    def spans(x: Column) -> Column:
+        def one(m: Column, k: Column) -> Column:
+            piece, start = F.get(x["p"], k), F.get(x["at"], k) + F.length(F.get(x["p"], k))
+            before = F.concat(F.right(F.coalesce(F.get(x["p"], k - 1), F.lit("")), F.lit(CONTEXT)), F.lit(" "), F.right(piece, F.lit(CONTEXT)))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(F.get(x["p"], k + 1), F.lit(CONTEXT)).alias("after"))
+
+        return F.transform(x["m"], one)
 
-    found = F.aggregate(both, start, step, lambda a: a["out"])
+    # arrays of one element stand for names, so that each part is computed once
+    found = F.flatten(F.transform(F.transform(F.array(held), placed), spans))
+    empty = F.array().cast(_FOUND)
     maybe = F.contains(F.col(text), F.lit(_NEEDS[kind])) if kind in _NEEDS else F.col(text).rlike(_TRIES[kind])
     return F.when(maybe, found).otherwise(empty)
 
@@ -102,16 +130,15 @@ def _valid(kind: str, m: Column) -> Column:
 def find(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """docs with the column pii (one of docs so named is replaced): array of (kind, start, end, score), by kind as listed, then start.
 
-    Null and empty texts have none. Spans of different kinds may overlap. One stage, no shuffle.
+    Null and empty texts have none. Spans of different kinds may overlap. Repeated rows each have their own; very long texts are searched whole,
+    in time that grows with their length and number of matches. One stage, no shuffle.
     """
     out = boxed(docs, _t=F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({f"_{k}": _spans("_t", k) for k in kinds})
 
     def scored(kind: str) -> Column:
         def one(x: Column) -> Column:
-            lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            before, after = F.substr(F.col("_t"), lo + 1, x["start"] - lo), F.substr(F.col("_t"), x["end"] + 1, F.lit(CONTEXT))
-            near = F.concat(before, F.lit(" "), after).rlike("(?i)" + NEARBY[kind])
+            near = F.concat(x["before"], F.lit(" "), x["after"]).rlike("(?i)" + NEARBY[kind])
             score = F.lit(START[kind]) + F.when(near, F.lit(ADDS)).otherwise(F.lit(0.0))
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
