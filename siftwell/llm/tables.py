@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, read from the session; LOCAL_SHARED only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder of spark.checkpoint.dir, read from the session. Where it is unset LOCAL_SHARED will do on one machine; several would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or LOCAL_SHARED
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
