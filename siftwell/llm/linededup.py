@@ -54,8 +54,11 @@ def dedup_lines(pages: DataFrame, text: str, host: str, page_id: str, ratio: flo
     else:
         salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = held.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
-    stay = F.filter("_lines", lambda x: F.coalesce(~F.array_contains(F.col("_bad"), _key(x)), F.lit(True)))
-    met = met.withColumn("_stay", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(stay))
+    # what of the list the page holds is found by hash; lines are then looked up among that alone
+    own = F.array_compact(F.transform("_lines", _key))
+    met = met.withColumn("_held", F.when(F.col("_bad").isNotNull(), F.array_intersect(own, F.col("_bad"))))
+    stay = F.filter("_lines", lambda x: F.coalesce(~F.array_contains(F.col("_held"), _key(x)), F.lit(True)))
+    met = met.withColumn("_stay", F.when(F.coalesce(F.size("_held"), F.lit(0)) <= 0, F.col("_lines")).otherwise(stay))
     new = F.when(F.col("_text").isNotNull(), F.when(F.size("_stay") == F.size("_lines"), F.col("_text")).otherwise(F.array_join("_stay", "\n")))
     return unboxed(met, pages.columns, **{text: new, "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_stay")).cast("long")})
 

@@ -61,7 +61,6 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("at"))
     covered = F.aggregate("_again", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["at"])).alias("n"), i.alias("at")))["n"]
     n = F.col("_n").cast("long")
-    stop = r"(?<![\p{L}\p{N}])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + r")(?![\p{L}\p{N}])"
 
     def some(x: Column) -> Column:
         return F.size(x).cast("long")
@@ -76,7 +75,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_bullet_lines": some(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•‣]"))),
         "n_ellipsis_lines": some(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
         "n_alpha_words": some(F.filter("_words", lambda w: w.rlike(r"\p{L}"))),
-        "n_stop_words": F.regexp_count(F.lower("_t"), F.lit(stop)).cast("long"),
+        "n_stop_words": some(F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{N}]+"), lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))),
         "n_words_if_long": F.when(n >= 200, n).otherwise(F.lit(0)).cast("long"),
     }
     return unboxed(out, docs.columns, quality=F.struct(*(c.alias(k) for k, c in counts.items())))
@@ -89,7 +88,10 @@ def verdict(q: str = "quality", rules: tuple = RULES) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame:
-    """docs with quality (counts), base_failed, failed_rules and kept; columns of docs so named are replaced. Null and empty texts have no words and fail the base."""
+    """docs with quality (counts), base_failed, failed_rules and kept; columns of docs so named are replaced. Null and empty texts have no words and fail the base.
+
+    Texts of any length are counted whole; repeated rows are judged each; an empty table gives no rows.
+    """
     out = measures(docs, text)
     base = (F.col("quality.n_words") < 10) | (F.col("quality.n_repeat_words") * 100 > F.col("quality.n_words") * 20)
     return out.withColumns({"base_failed": base, "failed_rules": verdict(rules=rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
