@@ -1,18 +1,18 @@
 """Media columns: baseline JPEG streams held in binary columns, read with numpy.
 
 decode() parses markers and Huffman-decodes the scans of any baseline (SOF0) JPEG into quantised coefficients; thumbnail() makes the
-DC-only luminance picture of them (one pixel a block), and features() sizes and thumbnail hashes.
+DC-only luminance picture of them (one pixel a block), and features() sizes and thumbnail hashes. Scans are walked by tables and in step: every
+restart segment of every stream of a batch is a lane, and one round of array operations takes the next code and value of each lane.
 
-encode_payload() stores bytes losslessly in the format's own unit, the quantised coefficient: each 64 bytes make a block in zig-zag
-order. Byte b becomes DC value b - 128, or as an AC value b - 128 below 128 and b - 127 from 128 on, so no AC value is zero. The
-Huffman tables written with it give a value of s bits a code of 9 - s bits, so every coefficient takes 9 bits in all. The stream is
-an ordinary baseline JPEG; decode() reads any scan whose tables have that property (code length + value bits constant) in whole-array steps, and
-every other scan bit by bit.
+encode_many() stores bytes losslessly in the format's own unit, the quantised coefficient: each 64 bytes make a block in zig-zag
+order. Byte b becomes DC value b - 128, or as an AC value b - 128 below 128 and b - 127 from 128 on, so no AC value is zero. Each stream has Huffman tables
+built from its own counts of value sizes and restarts every RESTART blocks. It is an ordinary baseline JPEG.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from siftwell.llm.textbatch import slices
 
 BLOCK = 64
-#: Blocks to a slice of a uniform scan decoded at a time.
-_STEP = 1 << 14
+#: Blocks between restarts of streams written here; a segment is a lane of the walk.
+RESTART = 16
+#: Bytes of streams decoded together.
+BATCH_BYTES = 4 << 20
 #: Widest picture, in blocks: 16 bits of pixels.
 _WIDEST = 65535 // 8
 
@@ -56,58 +58,18 @@ class Picture:
     comment: bytes = b""
 
 
-def _codes(counts: list[int], symbols: bytes) -> list[tuple[int, int, int]]:
-    """Canonical (length, code, symbol) of a DHT table."""
-    out, code, at = [], 0, 0
+def _lookup(counts: list[int], symbols: bytes) -> tuple[int, np.ndarray]:
+    """Of a DHT table: its longest code, and for every pattern of so many bits 256 * length + symbol of the code that begins it (0: none)."""
+    width = max((k for k, n in enumerate(counts, 1) if n), default=1)
+    out, code, at = np.zeros(1 << width, np.uint16), 0, 0
     for length, n in enumerate(counts, 1):
         for _ in range(n):
-            out.append((length, code, symbols[at]))
+            if code >> length:
+                raise JpegError("a Huffman table has too many codes")
+            out[code << (width - length) : (code + 1) << (width - length)] = length << 8 | symbols[at]
             code, at = code + 1, at + 1
         code <<= 1
-    return out
-
-
-def _uniform(codes: list[tuple[int, int, int]], dc: bool) -> np.ndarray | None:
-    """If every symbol takes the same number of bits with its value, and none skips coefficients: the value of each bit pattern."""
-    widths = {length + (symbol & 15) for length, _, symbol in codes}
-    if len(widths) != 1 or not dc and any(symbol >> 4 or not symbol & 15 for _, _, symbol in codes) or (w := widths.pop()) > 16:
-        return None
-    values = np.full(1 << w, np.iinfo(np.int16).min, np.int16)
-    for _, code, s in codes:
-        bits = np.arange(1 << s)
-        values[(code << s) + bits] = np.where(bits >> max(s - 1, 0) & 1, bits, bits - (1 << s) + 1) if s else 0
-    return values
-
-
-class _Bits:
-    """Bits of one entropy-coded segment, stuffing already removed."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.hold, self.n = data, 0, 0, 0
-
-    def take(self, k: int) -> int:
-        while self.n < k:
-            self.hold = self.hold << 8 | (self.data[self.at] if self.at < len(self.data) else 0xFF)
-            self.at += 1
-            self.n += 8
-            if self.at > len(self.data) + 8:
-                raise JpegError("scan ends early")
-        self.n -= k
-        out = self.hold >> self.n
-        self.hold &= (1 << self.n) - 1
-        return out
-
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (length, code) in table:
-                return table[length, code]
-        raise JpegError("no such Huffman code")
-
-    def value(self, s: int) -> int:
-        v = self.take(s) if s else 0
-        return v if not s or v >> (s - 1) else v - (1 << s) + 1
+    return width, out
 
 
 def _unstuff(scan: bytes) -> list[bytes]:
@@ -121,11 +83,23 @@ def _unstuff(scan: bytes) -> list[bytes]:
     return parts
 
 
-def decode(data: bytes) -> Picture:
-    """Markers and coefficients of a baseline JPEG. Progressive, arithmetic, lossless and 12-bit streams raise JpegError."""
+@dataclass
+class _Scan:
+    """A scan to be walked: its blocks in order (component, place among the component's blocks), tables by component, segments, blocks to a segment."""
+
+    picture: Picture
+    which: np.ndarray
+    place: np.ndarray
+    tables: dict[int, tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]]
+    segments: list[bytes]
+    interval: int
+
+
+def _parse(data: bytes) -> tuple[Picture, list[_Scan]]:
+    """Markers of a stream; its coefficients are still zero."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("no SOI marker")
-    at, quant, tables, restart, pic, comment = 2, {}, {}, 0, None, b""
+    at, quant, tables, restart, pic, comment, scans = 2, {}, {}, 0, None, b"", []
     while at < len(data):
         if data[at] != 0xFF:
             raise JpegError(f"no marker at byte {at}")
@@ -140,24 +114,28 @@ def decode(data: bytes) -> Picture:
             continue
         n = int.from_bytes(data[at : at + 2])
         body = data[at + 2 : at + n]
+        if n < 2 or len(body) != n - 2:
+            raise JpegError("a marker segment ends early")
         at += n
         if mark == 0xDB:
             while body:
                 wide, k = body[0] >> 4, body[0] & 15
                 quant[k] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int32)
+                if len(quant[k]) != 64:
+                    raise JpegError("a quantiser table ends early")
                 body = body[65 + 64 * wide :]
         elif mark == 0xC4:
             while body:
                 total = sum(body[1:17])
-                tables[body[0]] = _codes(list(body[1:17]), body[17 : 17 + total])
+                tables[body[0]] = _lookup(list(body[1:17]), body[17 : 17 + total])
                 body = body[17 + total :]
         elif mark == 0xC0:
-            if body[0] != 8:
-                raise JpegError("not 8-bit")
+            if pic is not None or body[0] != 8:
+                raise JpegError("not one 8-bit frame")
             pic = Picture(int.from_bytes(body[3:5]), int.from_bytes(body[1:3]), [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])], quant, comment)
-            if not pic.width or not pic.height:
+            if not pic.width or not pic.height or not pic.components or not all(1 <= c.h <= 4 and 1 <= c.v <= 4 for c in pic.components):
                 raise JpegError("no size")
-            _lay_out(pic)
+            _lay_out(pic, len(data))
         elif 0xC1 <= mark <= 0xCF:
             raise JpegError(f"SOF {mark:02x} is not baseline")
         elif mark == 0xDD:
@@ -171,9 +149,8 @@ def decode(data: bytes) -> Picture:
                 raise JpegError("scan before frame")
             chosen = []
             for i in range(body[0]):
-                part = next(c for c in pic.components if c.id == body[1 + 2 * i])
-                part.dc, part.ac = body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15
-                chosen.append(part)
+                part = next(k for k, c in enumerate(pic.components) if c.id == body[1 + 2 * i])
+                chosen.append((part, tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15]))
             end = at
             while True:  # the next marker that is neither stuffing nor a restart
                 end = data.find(b"\xff", end)
@@ -183,83 +160,161 @@ def decode(data: bytes) -> Picture:
                 if data[end + 1] and not 0xD0 <= data[end + 1] <= 0xD7:
                     break
                 end += 2
-            _scan(pic, chosen, tables, restart, data[at:end])
+            scans.append(_order(pic, chosen, restart, data[at:end]))
             at = end
     if pic is None:
         raise JpegError("no frame")
-    return pic
+    return pic, scans
 
 
-def _lay_out(pic: Picture) -> None:
+def _lay_out(pic: Picture, size: int) -> None:
     most_h, most_v = max(c.h for c in pic.components), max(c.v for c in pic.components)
     wide, high = -(-pic.width // (8 * most_h)), -(-pic.height // (8 * most_v))
+    # a block takes two bits at least: no room is made that the stream cannot fill
+    if wide * high * sum(c.h * c.v for c in pic.components) * 2 > 8 * size:
+        raise JpegError("more blocks than the stream can hold")
     for c in pic.components:
         c.blocks = np.zeros((high * c.v, wide * c.h, 64), np.int16)
 
 
-def _scan(pic: Picture, chosen: list[Component], tables: dict, restart: int, scan: bytes) -> None:
-    one = chosen[0]
+def _order(pic: Picture, chosen: list[tuple], restart: int, scan: bytes) -> _Scan:
+    """The blocks of a scan in the order of its codes."""
+    if not chosen:
+        raise JpegError("a scan of no component")
     if len(chosen) == 1:
+        k = chosen[0][0]
+        one = pic.components[k]
         most_h, most_v = max(c.h for c in pic.components), max(c.v for c in pic.components)
         wide, high = -(-(-(-pic.width * one.h // most_h)) // 8), -(-(-(-pic.height * one.v // most_v)) // 8)
-        dc, ac = _uniform(tables[one.dc], True), _uniform(tables[one.ac], False)
-        if not restart and dc is not None and ac is not None and len(dc) == len(ac):
-            grid = _scan_uniform(scan, wide * high, dc, ac)
-            one.blocks[:high, :wide] = grid.reshape(high, wide, 64)
-            return
-        order = [[(one, y, x)] for y in range(high) for x in range(wide)]
-    else:
-        high, wide = one.blocks.shape[0] // one.v, one.blocks.shape[1] // one.h
-        order = [[(c, my * c.v + y, mx * c.h + x) for c in chosen for y in range(c.v) for x in range(c.h)] for my in range(high) for mx in range(wide)]
-    look = {k: {(length, code): s for length, code, s in t} for k, t in tables.items()}
-    segments = _unstuff(scan)
-    for k in range(0, len(order), restart or len(order)):
-        if not segments:
-            raise JpegError("a restart interval is missing")
-        bits, before = _Bits(segments.pop(0)), dict.fromkeys((c.id for c in chosen), 0)
-        for unit in order[k : k + (restart or len(order))]:
-            for c, y, x in unit:
-                before[c.id] += bits.value(bits.symbol(look[c.dc]))
-                block = c.blocks[y, x]
-                block[0] = before[c.id]
-                i = 1
-                while i < 64:
-                    s = bits.symbol(look[c.ac])
-                    if not s & 15:
-                        if s != 0xF0:
-                            break
-                        i += 16
-                        continue
-                    i += s >> 4
-                    if i > 63:
-                        raise JpegError("too many coefficients")
-                    block[i] = bits.value(s & 15)
-                    i += 1
-
-
-def _scan_uniform(scan: bytes, n: int, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
-    """n blocks of a scan whose every coefficient takes w bits."""
-    w = len(dc).bit_length() - 1
-    raw = np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), np.uint8)
-    if len(raw) * 8 < n * 64 * w:
-        raise JpegError("scan ends early")
-    out = np.empty((n, 64), np.int16)
-    bits = np.arange(64) * w  # a block is 8 * w whole bytes
-    byte, shift = bits // 8, (24 - w - bits % 8).astype(np.uint32)
-    for a in range(0, n, _STEP):
-        b = min(n, a + _STEP)
-        rows = np.zeros((b - a, 8 * w + 2), np.uint8)
-        rows[:, : 8 * w] = raw[a * 8 * w : b * 8 * w].reshape(b - a, 8 * w)
-        field_ = (rows[:, byte].astype(np.uint32) << 16) | (rows[:, byte + 1].astype(np.uint32) << 8) | rows[:, byte + 2]
-        field_ = (field_ >> shift) & np.uint32((1 << w) - 1)
-        out[a:b, 1:] = ac[field_[:, 1:]]
-        out[a:b, 0] = dc[field_[:, 0]]
-    if (out == np.iinfo(np.int16).min).any():
-        raise JpegError("no such Huffman code")
-    out[:, 0] = np.cumsum(out[:, 0])
+        place = (np.arange(high)[:, None] * one.blocks.shape[1] + np.arange(wide)).ravel()
+        return _Scan(pic, np.full(len(place), k), place, {k: chosen[0][1:]}, _unstuff(scan), restart or len(place))
+    first = pic.components[chosen[0][0]]
+    high, wide = first.blocks.shape[0] // first.v, first.blocks.shape[1] // first.h
+    y, x = np.divmod(np.arange(high * wide), wide)
+    which, place = [], []
+    for k, *_ in chosen:
+        c = pic.components[k]
+        for dy in range(c.v):
+            for dx in range(c.h):
+                which.append(np.full(len(y), k))
+                place.append((y * c.v + dy) * c.blocks.shape[1] + x * c.h + dx)
+    return _Scan(pic, np.stack(which, 1).ravel(), np.stack(place, 1).ravel(), {k: t for k, *t in chosen}, _unstuff(scan), (restart or high * wide) * len(which))
+
+
+def _walk(scans: list[_Scan]) -> np.ndarray:
+    """Decodes all scans in step and fills in their blocks; which of them are broken."""
+    lut_width = max(t[0] for s in scans for pair in s.tables.values() for t in pair)
+    luts: list[np.ndarray] = []
+    bases, target, dc_of, ac_of, key = {}, [], [], [], []
+    lane_scan, lane_from, lane_to, start, stop, parts = [], [], [], [], [], []
+    n_blocks, n_units, n_bytes = 0, 0, 0
+    broken = np.zeros(len(scans), bool)
+    for i, s in enumerate(scans):
+        number = {}
+        for k, pair in s.tables.items():
+            if (id(s.picture), k) not in bases:
+                bases[id(s.picture), k] = n_blocks
+                n_blocks += s.picture.components[k].blocks.shape[0] * s.picture.components[k].blocks.shape[1]
+            number[k] = len(luts)
+            luts += [np.repeat(t, 1 << (lut_width - w)) for w, t in pair]
+        n = len(s.place)
+        kinds = list(s.tables)
+        base, first = (np.zeros(max(kinds) + 1, np.int64) for _ in range(2))
+        base[kinds], first[kinds] = [bases[id(s.picture), k] for k in kinds], [number[k] for k in kinds]
+        target.append(base[s.which] + s.place)
+        dc_of.append(first[s.which])
+        key.append((n_units + np.arange(n) // s.interval * s.interval) * 4 + s.which % 4)
+        lanes = -(-n // s.interval)
+        if len(s.segments) < lanes:
+            broken[i] = True
+        for k in range(min(lanes, len(s.segments))):
+            lane_scan.append(i)
+            lane_from.append(n_units + k * s.interval)
+            lane_to.append(n_units + min(n, (k + 1) * s.interval))
+            start.append(8 * n_bytes)
+            n_bytes += len(s.segments[k])
+            stop.append(8 * n_bytes)
+            parts.append(s.segments[k])
+        n_units += n
+    buf = b"".join(parts) + bytes(16)
+    view = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))
+    lut = np.concatenate(luts)
+    target, dc_of, key = np.concatenate(target), np.concatenate(dc_of), np.concatenate(key)
+    coefs = np.zeros((n_blocks, 64), np.int16)
+    flat = coefs.reshape(-1)
+    scan, u, to, pos, stop = (np.array(x, np.int64) for x in (lane_scan, lane_from, lane_to, start, stop))
+    k = np.zeros(len(u), np.int64)
+    shift = np.uint64(64 - lut_width)
+    while len(u):
+        window = view[pos >> 3].astype(np.uint64) << (pos & 7).astype(np.uint64)
+        is_dc = k == 0
+        code = lut[((dc_of[u] + ~is_dc) << lut_width) + (window >> shift).astype(np.int64)].astype(np.int64)
+        length, size = code >> 8, code & 15
+        run = np.where(is_dc, 0, code >> 4 & 15)
+        bits = ((window << length.astype(np.uint64)) >> (np.uint64(63) - size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        value = bits - np.where(bits >> np.maximum(size - 1, 0) & 1, 0, (1 << size) - 1)
+        pos = pos + length + size
+        place = k + run
+        writes = is_dc | (size > 0)
+        bad = (length == 0) | (pos > stop) | writes & (place > 63)
+        at = target[u] * 64 + np.minimum(place, 63)
+        if writes.all():
+            flat[at] = value
+            k = place + 1
+        else:
+            flat[at[writes]] = value[writes]
+            k = np.where(writes | (run == 15), place + 1, 64)
+        done = k >= 64
+        if done.any() or bad.any():
+            u = u + done
+            k[done] = 0
+            if bad.any():
+                broken[scan[bad]] = True
+            go = (u < to) & ~bad
+            if not go.all():
+                u, to, pos, stop, k, scan = (x[go] for x in (u, to, pos, stop, k, scan))
+    # DC values are differences within a segment and component
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    total = np.cumsum(coefs[target[order], 0], dtype=np.int64)
+    before = np.concatenate([[0], total])[first]
+    coefs[target[order], 0] = total - np.repeat(before, np.diff(np.append(first, len(order))))
+    for s in scans:
+        for k in s.tables:
+            c, at = s.picture.components[k], bases[id(s.picture), k]
+            c.blocks = coefs[at : at + c.blocks.shape[0] * c.blocks.shape[1]].reshape(c.blocks.shape)
+    return broken
+
+
+def decode_many(streams: list[bytes | None]) -> list[Picture | None]:
+    """Pictures of baseline JPEGs; None for what is none, is damaged, or is null."""
+    out: list[Picture | None] = []
+    scans, owner = [], []
+    for data in streams:
+        try:
+            pic, mine = _parse(data or b"")
+            scans += mine
+            owner += [len(out)] * len(mine)
+            out.append(pic)
+        except (JpegError, IndexError, KeyError, StopIteration, ValueError, OverflowError, MemoryError):
+            out.append(None)
+    if scans:
+        for i in np.array(owner)[_walk(scans)].tolist():
+            out[i] = None
     return out
 
 
+def decode(data: bytes) -> Picture:
+    """Markers and coefficients of a baseline JPEG. Progressive, arithmetic, lossless, 12-bit and damaged streams raise JpegError."""
+    try:
+        pic, scans = _parse(data)
+    except (IndexError, KeyError, StopIteration, OverflowError, MemoryError) as e:
+        raise JpegError(f"damaged: {e!r}") from e
+    if scans and _walk(scans).any():
+        raise JpegError("a scan ends early or has no such code")
+    return pic
+
+
 def thumbnail(pic: Picture) -> np.ndarray:
     """One luminance pixel (0 to 255) a block of the first component, from its DC coefficients alone."""
     c = pic.components[0]
@@ -286,63 +341,103 @@ def _segment(mark: int, body: bytes) -> bytes:
     return bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2) + body
 
 
-def _tables() -> bytes:
-    """Quantisers of one, and tables in which a value of s bits has a code of 9 - s bits (DC: s from 0, AC: s from 1)."""
-    out = _segment(0xDB, bytes([0]) + bytes([1] * 64))
-    for kind, sizes in ((0x00, range(8, -1, -1)), (0x10, range(8, 0, -1))):
-        counts = [0] * 16
-        for s in sizes:
-            counts[9 - s - 1] += 1
-        out += _segment(0xC4, bytes([kind, *counts, *sizes]))
-    return out
+def code_lengths(counts: list[int]) -> list[int]:
+    """Lengths of a Huffman code for symbols of these counts (0: no code), in which the code of ones alone stays free, as JPEG asks."""
+    heap = [(n, k, [k]) for k, n in enumerate(counts) if n]
+    heap.append((0, len(counts), [len(counts)]))
+    heapq.heapify(heap)
+    out = [0] * (len(counts) + 1)
+    while len(heap) > 1:
+        (a, i, x), (b, j, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for k in x + y:
+            out[k] += 1
+        heapq.heappush(heap, (a + b, max(i, j), x + y))
+    # the free code is among the longest
+    return out[:-1]
 
 
-def _patterns(dc: bool) -> np.ndarray:
-    """9-bit patterns by value + 256, from the tables above."""
-    out = np.zeros(513, np.uint16)
-    for value in range(-255, 256):
-        s = abs(value).bit_length()
-        code = (1 << (9 - s)) - 2 if s else 0x1FE  # ones and a zero: codes of lengths 1, 2, ... in order
-        if s or dc:
-            bits = value if value >= 0 else value + (1 << s) - 1
-            out[value + 256] = (code << s | bits) if s else 0x1FE
-    return out
+def _table(kind: int, counts: list[int], codes: np.ndarray, lengths: np.ndarray) -> bytes:
+    """A DHT segment of symbols 0 to 8 by their counts; fills in their codes and lengths."""
+    got = code_lengths(counts)
+    order = sorted((n, s) for s, n in enumerate(got) if n)
+    numbers, code, before = [0] * 16, 0, 0
+    for n, s in order:
+        code <<= n - before
+        codes[s], lengths[s], before = code, n, n
+        code += 1
+        numbers[n - 1] += 1
+    return _segment(0xC4, bytes([kind, *numbers, *(s for _, s in order)]))
 
 
-_DC, _AC = _patterns(True), _patterns(False)
-_TABLES = _tables()
-#: AC value of each payload byte, and the payload byte of each AC value + 128.
-_AC_VALUE = np.array([b - 128 if b < 128 else b - 127 for b in range(256)], np.int16)
-_AC_FIELD = _AC[_AC_VALUE + 256]
+#: Size in bits of each value + 255, and AC value of each payload byte.
+_SIZE = np.array([abs(v).bit_length() for v in range(-255, 256)], np.int64)
+_AC_VALUE = np.array([b - 128 if b < 128 else b - 127 for b in range(256)], np.int64)
+_QUANT = _segment(0xDB, bytes([0]) + bytes([1] * 64)) + _segment(0xDD, RESTART.to_bytes(2))
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """A baseline greyscale JPEG whose coefficients are the payload's bytes; len(payload) is a positive multiple of 64.
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """Baseline greyscale JPEGs whose coefficients are the payloads' bytes; each length is a positive multiple of 64.
 
     The picture is about square; blocks after the payload's last (fewer than a row) are of zero bytes, and a comment tells the length.
     """
-    n = len(payload) // BLOCK
-    if not n or len(payload) % BLOCK:
-        raise ValueError("a payload is a positive multiple of 64 bytes")
-    wide = min(_WIDEST, max(1, int(np.ceil(np.sqrt(n)))))
-    high = -(-n // wide)
-    if high > _WIDEST:
-        raise ValueError("a payload of more than 4 GB is beyond a JPEG's size")
-    data = np.zeros((wide * high, BLOCK), np.uint8)
-    data[:n] = np.frombuffer(payload, np.uint8).reshape(n, BLOCK)
-    dc = data[:, 0].astype(np.int16) - 128
-    fields = _AC_FIELD[data]
-    fields[:, 0] = _DC[np.diff(dc, prepend=np.int16(0)) + 256]
-    # eight 9-bit fields are nine bytes; byte k has the last bits of field k - 1 and the first of field k
-    f = fields.reshape(-1, 8)
-    out = np.empty((len(f), 9), np.uint8)
-    out[:, 0] = f[:, 0] >> 1
-    for k in range(1, 8):
-        out[:, k] = (f[:, k - 1] << (8 - k)) | (f[:, k] >> (k + 1))
-    out[:, 8] = f[:, 7]
-    scan = out.tobytes().replace(b"\xff", b"\xff\x00")
-    frame = bytes([8]) + (high * 8).to_bytes(2) + (wide * 8).to_bytes(2) + bytes([1, 1, 0x11, 0])
-    return b"\xff\xd8" + _segment(0xFE, f"payload_bytes={len(payload)}".encode()) + _TABLES + _segment(0xC0, frame) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+    shapes = []
+    for p in payloads:
+        n = len(p) // BLOCK
+        if not n or len(p) % BLOCK:
+            raise ValueError("a payload is a positive multiple of 64 bytes")
+        wide = min(_WIDEST, max(1, int(np.ceil(np.sqrt(n)))))
+        if (high := -(-n // wide)) > _WIDEST:
+            raise ValueError("a payload of more than 4 GB is beyond a JPEG's size")
+        shapes.append((wide, high))
+    if not payloads:
+        return []
+    blocks = np.array([w * h for w, h in shapes])
+    data = np.frombuffer(b"".join(p + bytes(int(b) * BLOCK - len(p)) for p, b in zip(payloads, blocks, strict=True)), np.uint8).reshape(-1, BLOCK)
+    of = np.repeat(np.arange(len(payloads)), blocks)
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    restarts = inside % RESTART == 0
+    values = _AC_VALUE[data]
+    dc = data[:, 0].astype(np.int64) - 128
+    values[:, 0] = dc - np.where(restarts, 0, np.concatenate([[0], dc[:-1]]))
+    size = _SIZE[values + 255]
+    # tables of each stream, from its own counts of sizes
+    kind = of[:, None] * 2 + (np.arange(BLOCK) > 0)
+    counts = np.bincount((kind * 9 + size).ravel(), minlength=len(payloads) * 18).reshape(-1, 9)
+    codes, lengths = np.zeros_like(counts), np.zeros_like(counts)
+    heads = [_table(0x10 * (k % 2), c, codes[k], lengths[k]) for k, c in enumerate(counts.tolist())]
+    # codes and values as bits one after another, each segment from a whole byte on
+    n_bits = lengths[kind, size] + size
+    word = (codes[kind, size] << size) | np.where(values < 0, values + (1 << size) - 1, values)
+    each = n_bits.sum(axis=1)
+    seg = np.flatnonzero(restarts)
+    seg_bits = np.add.reduceat(each, seg)
+    seg_bytes = (seg_bits + 7) >> 3
+    seg_from = np.cumsum(seg_bytes) - seg_bytes
+    before = np.cumsum(n_bits.ravel()) - n_bits.ravel()
+    base = before.reshape(-1, BLOCK)[seg, 0]
+    per = np.diff(np.append(seg, len(of))) * BLOCK
+    pos = before + np.repeat(8 * seg_from - base, per)
+    shifted = word.ravel() << (32 - n_bits.ravel() - (pos & 7))
+    total = int(seg_bytes.sum())
+    out = np.zeros(total + 4)
+    for k in range(4):
+        out += np.bincount((pos >> 3) + k, weights=shifted >> (24 - 8 * k) & 255, minlength=total + 4)
+    raw = out[:total].astype(np.uint8)
+    raw[seg_from + seg_bytes - 1] |= ((1 << (8 * seg_bytes - seg_bits)) - 1).astype(np.uint8)  # ones up to the byte's end
+    scan, streams, at = raw.tobytes(), [], 0
+    ends = (seg_from + seg_bytes).tolist()
+    for d, ((wide, high), p) in enumerate(zip(shapes, payloads, strict=True)):
+        n = -(-wide * high // RESTART)
+        pieces = [scan[ends[k] - int(seg_bytes[k]) : ends[k]].replace(b"\xff", b"\xff\x00") for k in range(at, at + n)]
+        at += n
+        body = pieces[0] + b"".join(bytes([0xFF, 0xD0 + (k % 8)]) + x for k, x in enumerate(pieces[1:]))
+        frame = bytes([8]) + (high * 8).to_bytes(2) + (wide * 8).to_bytes(2) + bytes([1, 1, 0x11, 0])
+        streams.append(b"\xff\xd8" + _segment(0xFE, f"payload_bytes={len(p)}".encode()) + _QUANT + heads[2 * d] + heads[2 * d + 1] + _segment(0xC0, frame) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + body + b"\xff\xd9")
+    return streams
+
+
+def encode_payload(payload: bytes) -> bytes:
+    return encode_many([payload])[0]
 
 
 def decode_payload(pic: Picture) -> bytes:
@@ -358,37 +453,42 @@ def decode_payload(pic: Picture) -> bytes:
 
 
 def media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, media: every text (null: empty) as UTF-8 in a JPEG, zero bytes up to a positive multiple of 64 behind it."""
+    """doc_id, n_bytes, media: every text (null: empty) as UTF-8 in a JPEG, zero bytes up to a positive multiple of 64 behind it.
+
+    Texts of any length up to 4 GB go in whole; repeated rows have a stream each; other columns are left aside; an empty table gives no rows.
+    """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                raw = raw or b""
-                out.append((len(raw), encode_payload(raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK)))))
-            sizes, streams = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", "media"])
+            raw = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            streams = encode_many([x + bytes(-len(x) % BLOCK or (0 if x else BLOCK)) for x in raw])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def _payload_of(pic: Picture | None) -> bytes | None:
+    try:
+        return None if pic is None else decode_payload(pic)
+    except (JpegError, ValueError):
+        return None
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Reads a media column back: sizes, hashes of payload and stream, crc32 of the payload's last 64 bytes, and features.
 
-    A stream that is no baseline JPEG with a payload gets nulls (general pictures: see picture_features).
+    A stream that is no sound baseline JPEG with a payload gets nulls beside its own size and hash, a null stream nulls alone (general pictures: see picture_features).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media"):
+        for batch in slices(batches, "media", BATCH_BYTES):
+            streams = batch.column(2).to_pylist()
             out = []
-            for stream in batch.column(2).to_pylist():
-                try:
-                    pic = decode(stream)
-                    payload = decode_payload(pic)
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), features(pic)))
-                except JpegError:
-                    out.append((None, None, None, len(stream), hashlib.sha256(stream).hexdigest(), None))
+            for stream, pic in zip(streams, decode_many(streams), strict=True):
+                own = (None, None) if stream is None else (len(stream), hashlib.sha256(stream).hexdigest())
+                payload = _payload_of(pic)
+                out.append((None, None, None, *own, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, features(pic)))
             cols = zip(*out, strict=True)
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -397,19 +497,13 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def picture_features(pictures: DataFrame, media: str = "media") -> DataFrame:
-    """All columns of pictures with width, height, thumb_hash of each stream of the column `media`; nulls for what is no baseline JPEG."""
-
-    def _of(stream: bytes | None) -> tuple[int | None, int | None, str | None]:
-        try:
-            pic = decode(stream or b"")
-            return pic.width, pic.height, features(pic)
-        except (JpegError, IndexError, KeyError, StopIteration):
-            return None, None, None
+    """All columns of pictures with width, height, thumb_hash of each stream of the column `media` as struct picture; nulls for what is no sound baseline JPEG."""
 
     @F.pandas_udf("width int, height int, thumb_hash string")
     def look(streams):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.DataFrame([_of(s) for s in streams], columns=["width", "height", "thumb_hash"]).astype({"width": "Int32", "height": "Int32"})
+        rows = [(None, None, None) if p is None else (p.width, p.height, features(p)) for p in decode_many(list(streams))]
+        return pd.DataFrame(rows, columns=["width", "height", "thumb_hash"]).astype({"width": "Int32", "height": "Int32"})
 
     return pictures.withColumn("picture", look(F.col(media)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import jpeg, linededup, mixing, ngramjoin, packing, pii, quality, secrets, tokenio, toxicity
-from siftwell.llm.tables import shared_dir, table
+from siftwell.llm.tables import drop, keep, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -57,7 +57,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/siftwell/ids-{uuid.uuid4().hex}"
     tokenio.write_ids(table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
-    return tokenio.read_index(spark.read.parquet(out))
+    found = keep(tokenio.read_index(spark.read.parquet(out)), "index")
+    drop(spark.read.parquet(out))
+    return found
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +72,27 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.media_features(jpeg.media(table(spark, sf_dir, "documents")))
+    stored = keep(jpeg.media(table(spark, sf_dir, "documents")), "media")
+    found = keep(jpeg.media_features(stored), "features")
+    drop(stored)
+    return found
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media, op10_ngram_join)}
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op4_secrets, which SQL can say."""
+    return op4_secrets(spark, sf_dir).drop("spans")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_pii, which SQL can say."""
+    return op8_pii(spark, sf_dir).drop("spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media, op10_ngram_join, secret_base_spans, pii_base_spans)}
 
 def _sql_list(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in dict.fromkeys(words))
@@ -124,5 +139,33 @@ reach AS (SELECT a AS doc_id, a AS seen FROM both_ways UNION SELECT r.doc_id, e.
 SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(seen), documents.doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY documents.doc_id, n.n
 """
 
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str]], order: str) -> str:
+    """Base spans of documents: each kind's pattern and test of a match m; places from the lengths of the pieces between matches."""
+    parts = []
+    for k, (kind, (pattern, test)) in enumerate(kinds.items()):
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {k} AS rank, start, start + length(m) AS stop, m FROM (SELECT doc_id, m, sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(string_split_regex(t, '{pattern}')) AS p, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i FROM d) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE m IS NOT NULL AND {test}""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in kinds)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY {order}), '')) AS base_sha256 FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRETS_SQL = _spans_sql({"assign": (_ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 8"), "access": ("AKIA[A-Z0-9]+", "length(m) >= 16"), "hex": ("[0-9a-f]+", "length(m) >= 32")}, "start, rank")
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr({_DIGITS}, -k, 1) AS INTEGER) ELSE (2 * CAST(substr({_DIGITS}, -k, 1) AS INTEGER)) // 10 + (2 * CAST(substr({_DIGITS}, -k, 1) AS INTEGER)) % 10 END)) % 10 = 0"
+PII_SQL = _spans_sql(
+    {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS HUGEINT), 999) > 255)) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    },
+    "rank, start",
+)
+
 #: The other queries are beyond SQL (models, iterations, codecs, sequential packing) and are held against plain versions in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_quality": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_ngram_join": OP10_SQL, "secret_base_spans": SECRETS_SQL, "pii_base_spans": PII_SQL}

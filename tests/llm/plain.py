@@ -94,3 +94,41 @@ def secrets(text):
 
 def joined(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def grey_jpeg(stream):
+    """Blocks (in zig-zag order), width and height of a greyscale baseline JPEG, read bit by bit."""
+    at, tables, restart, shape = 2, {}, 0, None
+    while True:
+        mark, n = stream[at + 1], int.from_bytes(stream[at + 2 : at + 4])
+        body, at = stream[at + 4 : at + 2 + n], at + 2 + n
+        if mark == 0xC4:
+            code, k, codes = 0, 17, {}
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    codes[format(code, f"0{length}b")] = body[k]
+                    code, k = code + 1, k + 1
+                code *= 2
+            tables[body[0]] = codes
+        elif mark == 0xDD:
+            restart = int.from_bytes(body)
+        elif mark == 0xC0:
+            shape = int.from_bytes(body[3:5]), int.from_bytes(body[1:3])
+        elif mark == 0xDA:
+            break
+    blocks = []
+    for segment in re.split(rb"\xff[\xd0-\xd7]", stream[at:-2]):
+        bits, i, before = "".join(format(b, "08b") for b in segment.replace(b"\xff\x00", b"\xff")), 0, 0
+        for _ in range(min(restart, shape[0] * shape[1] // 64 - len(blocks))):
+            block, k = [], 0
+            while k < 64:
+                code = ""
+                while code not in tables[0x10 if k else 0]:
+                    code, i = code + bits[i], i + 1
+                size = tables[0x10 if k else 0][code]
+                v = int(bits[i : i + size] or "0", 2)
+                i, k = i + size, k + 1
+                block.append(v if not size or bits[i - size] == "1" else v - (1 << size) + 1)
+            before = block[0] = block[0] + before
+            blocks.append(block)
+    return blocks, *shape
