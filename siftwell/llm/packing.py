@@ -98,29 +98,32 @@ def _packer(capacity: int):
         pdf = pdf.sort_values(["doc_id", "piece", "start", "ids_crc32"], na_position="first", ignore_index=True)
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        return pdf.assign(bin=bins, offset=offsets, fill=fill[bins], gap=len(fill) > lower_bound(lengths, capacity))
+        return pdf.assign(bin=bins, offset=offsets, fill=fill[bins], bins=len(fill), bound=lower_bound(lengths, capacity))
 
     return pack
 
 
 def pack(rows: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """The rows (of PIECES, lengths 1 to capacity) with sequence_id and offset.
+    """The rows (of PIECES, lengths 1 to capacity; a kept table) with sequence_id, offset, and the certificate of the partition that packed them last:
+    part_bins, its number of sequences, and part_bound, below which no packing of its pieces can go. Sequences of a partition of equal numbers are as few as can be.
 
-    Partitions are of a bounded size (part_pieces on average, dealt by hash, so equal documents spread). Repeated rows are placed
-    each on their own; an empty table gives an empty result.
+    Partitions are of a bounded size (part_pieces on average), dealt by hash of the piece and its place in the table, so rows of one id or equal rows
+    spread. Repeated rows are placed each on their own; an empty table gives an empty result.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def packed(df: DataFrame, k: int, n: int) -> DataFrame:
         parts = max(1, round(n / part_pieces))
-        dealt = df.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), F.lit(parts)).alias("part"))
-        out = dealt.groupBy("part").applyInPandas(_packer(capacity), PIECES + ", part bigint, bin bigint, offset bigint, fill bigint, gap boolean")
+        # a row's place in a table of files is the same whenever a task is run again
+        place = F.xxhash64("doc_id", "piece", F.lit(k), F.monotonically_increasing_id())
+        dealt = df.select(*columns, F.pmod(place, F.lit(parts)).alias("part"))
+        out = dealt.groupBy("part").applyInPandas(_packer(capacity), PIECES + ", part bigint, bin bigint, offset bigint, fill bigint, bins bigint, bound bigint")
         return keep(out, f"packed{k}").withColumn("round", F.lit(k))
 
     now, done = packed(rows, 0, rows.count()), []
     for k in range(1, rounds + 2):
         # what is nearly full or certified stays; the emptier bins of partitions with a gap exchange their pieces
-        again = F.col("gap") & (F.col("fill") < int(CLOSED * capacity))
+        again = (F.col("bins") > F.col("bound")) & (F.col("fill") < int(CLOSED * capacity))
         got = now.agg(F.count_if(again).alias("n"), F.sum(F.when(again, F.col("length"))).alias("tokens"), F.count_if(again & (F.col("offset") == 0)).alias("bins")).first()
         if k > rounds or not got.n or got.bins <= -(-got.tokens // capacity):
             break
@@ -134,9 +137,17 @@ def pack(rows: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds:
         now = now.unionByName(df)
     # a partition has below 2**31 bins, and there are below 2**28 partitions
     sequence = F.shiftleft(F.col("round").cast("long"), 60) + F.shiftleft(F.col("part"), 31) + F.col("bin")
-    return now.select(*columns, sequence.alias("sequence_id"), "offset")
+    out = keep(now.select(*columns, sequence.alias("sequence_id"), "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound")), "sequences")
+    drop(now)  # the tables of all rounds
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, **how) -> DataFrame:
-    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(keep(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, **how)
+    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound.
+
+    Texts of any length are encoded whole. The kept table of pieces is read by the result's plan no more once it is packed, and is dropped.
+    """
+    cut = keep(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    out = pack(cut, capacity, **how)
+    drop(cut)
+    return out

@@ -48,4 +48,4 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
-    assert P.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert P.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound"]
