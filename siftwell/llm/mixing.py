@@ -22,6 +22,8 @@ MOST = 3
 STEPS, TOLERANCE = 60, 1e-7
 #: Documents that are rounded together, on average.
 GROUP = 1_000
+#: Sources up to which their row each (some 100 bytes) is broadcast; beyond, they meet the documents by (source, salt).
+BROADCAST_SOURCES, SALTS = 10_000, 64
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,29 +110,37 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     """doc_id, source, size, source_size, target, rate, copies and taken (copies times size) of every row.
 
     Null texts have size 0; a null source is one of its own and comes last. Repeated rows are documents of their own. No sources: no rows.
-    Texts are read once; what is shuffled is (doc_id, source, size). Rounding groups are a source's documents dealt by hash of
-    doc_id, about GROUP in each, so no source meets in one task.
+    Texts are read once, whole; what is shuffled is (doc_id, source, size). Rounding groups are a source's documents dealt by hash of
+    doc_id and text, about GROUP in each, so no source meets in one task, nor do the rows of a null or repeated id unless their texts are equal too.
     """
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"))
+    spot = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), spot.alias("spot"))
     sized = keep(sized.withColumn("name", _name("source")), "sized")
     sources = plan(sized, weights, most)
     spark = docs.sparkSession
     rows = [(s.name, s.size, s.target, s.tilt, s.mean, max(1, round(s.docs / GROUP))) for s in sources]
     known = spark.createDataFrame(rows, "name string, source_size bigint, target double, tilt double, mean double, groups int")
-    # a row a source: small by count, but the join falls back to shuffling if the sources are too many to send
-    out = sized.join(known, "name")
+    if len(rows) <= BROADCAST_SOURCES:
+        out = sized.join(F.broadcast(known), "name")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = sized.withColumn("salt", F.pmod(F.col("spot"), F.lit(SALTS)).cast("int")).join(salted, ["name", "salt"]).drop("salt")
     power = F.least(F.greatest(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(-700.0)), F.lit(700.0))
     full = F.col("target") >= most * F.col("source_size")
     rate = F.when(F.col("size") == 0, 1.0).when(full, float(most)).otherwise(F.round(F.least(F.exp(power), F.lit(float(most))), 9))
-    out = out.withColumn("rate", rate).withColumn("group", F.pmod(F.xxhash64("doc_id"), F.col("groups")))
+    out = out.withColumn("rate", rate).withColumn("group", F.pmod(F.xxhash64("spot"), F.col("groups")))
+    # a large source goes to many tasks, whatever the join dealt by
+    out = out.repartition("name", "group")
     frac = F.col("rate") - F.floor("rate")
     # systematic rounding in order of size: the sum of copies follows the sum of rates step by step
-    upto = Window.partitionBy("name", "group").orderBy("size", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("name", "group").orderBy("size", "spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("frac", frac).withColumn("after", F.sum(F.col("frac").cast("decimal(20,9)")).over(upto).cast("decimal(30,9)"))
     start = (F.pmod(F.xxhash64("name", "group"), F.lit(1_000_003)) / F.lit(1_000_003)).cast("decimal(10,9)")
     up = F.floor(F.col("after") + start) - F.floor(F.col("after") - F.col("frac").cast("decimal(20,9)") + start)
     out = out.withColumn("copies", F.least(F.floor("rate") + up, F.lit(most)).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    out = keep(out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")), "mixed")
+    drop(sized)
+    return out
 
 
 def sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
