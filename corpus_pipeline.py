@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, mixing to target weights, best-fit packing.
 
-Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; run() writes each result as Parquet in the shared folder and reads it
-back as the next stage's documents. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; run() writes each result as Parquet in the shared folder, reads it
+back as the next stage's documents, and deletes it when that stage is written. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import linededup, mixing, ngramjoin, packing, toxicity
 from siftwell.llm.queries import tokenizer_path, training_labels
-from siftwell.llm.tables import keep, table
+from siftwell.llm.tables import drop, keep, table
 
 #: A line is boilerplate of a source if over 2 % of its documents hold it, five at least.
 LINE_RATIO, LINE_MIN = 0.02, 5
@@ -60,7 +60,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            drop(before)  # the next stage's table is whole
+        before = docs
+    return docs
