@@ -5,8 +5,8 @@ DC-only luminance picture of them (one pixel a block), and features() sizes and
 restart segment of every stream of a batch is a lane, and one round of array operations takes the next code and value of each lane.
 
 encode_many() stores bytes losslessly in the format's own unit, the quantised coefficient: each 64 bytes make a block in zig-zag
-order. Byte b becomes DC value b - 128, or as an AC value b - 128 below 128 and b - 127 from 128 on, so no AC value is zero. Each stream has Huffman tables
-built from its own counts of value sizes and restarts every RESTART blocks. It is an ordinary baseline JPEG.
+order. Bytes become values in an order in which those common in text are near zero and none is zero; blocks that only fill up the picture are zero. Each stream
+has Huffman tables built from its own counts of value sizes and restarts every RESTART blocks. It is an ordinary baseline JPEG.
 """
 
 from __future__ import annotations
@@ -369,16 +369,22 @@ def _table(kind: int, counts: list[int], codes: np.ndarray, lengths: np.ndarray)
     return _segment(0xC4, bytes([kind, *numbers, *(s for _, s in order)]))
 
 
-#: Size in bits of each value + 255, and AC value of each payload byte.
+#: Characters common in western text, frequent ones first. They get the values 1, -1, 2, -2, ... and all other bytes, in order, those that follow.
+COMMON = " etaonirshdlucmfgpwybvkxjqz.,\n0123456789-'TASIEDCMWBPHLNRFOGUVJKYQXZ:;!?()/_"
+_BYTES = [*COMMON.encode(), *(b for b in range(256) if b not in COMMON.encode())]
+#: Value of each payload byte (the DC values beside it are one less where positive), and the byte of each value + 128.
+_VALUE, _BYTE = np.zeros(256, np.int64), np.zeros(257, np.uint8)
+_VALUE[_BYTES] = [k // 2 + 1 if k % 2 == 0 else -(k // 2 + 1) for k in range(256)]
+_BYTE[_VALUE + 128] = np.arange(256)
+#: Size in bits of each value + 255.
 _SIZE = np.array([abs(v).bit_length() for v in range(-255, 256)], np.int64)
-_AC_VALUE = np.array([b - 128 if b < 128 else b - 127 for b in range(256)], np.int64)
 _QUANT = _segment(0xDB, bytes([0]) + bytes([1] * 64)) + _segment(0xDD, RESTART.to_bytes(2))
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
     """Baseline greyscale JPEGs whose coefficients are the payloads' bytes; each length is a positive multiple of 64.
 
-    The picture is about square; blocks after the payload's last (fewer than a row) are of zero bytes, and a comment tells the length.
+    The picture is about square; blocks after the payload's last (fewer than a row) are zero, and a comment tells the length.
     """
     shapes = []
     for p in payloads:
@@ -392,21 +398,24 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     if not payloads:
         return []
     blocks = np.array([w * h for w, h in shapes])
-    data = np.frombuffer(b"".join(p + bytes(int(b) * BLOCK - len(p)) for p, b in zip(payloads, blocks, strict=True)), np.uint8).reshape(-1, BLOCK)
     of = np.repeat(np.arange(len(payloads)), blocks)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     restarts = inside % RESTART == 0
-    values = _AC_VALUE[data]
-    dc = data[:, 0].astype(np.int64) - 128
+    held = inside < np.repeat([len(p) // BLOCK for p in payloads], blocks)
+    values = np.zeros((len(of), BLOCK), np.int64)
+    values[held] = _VALUE[np.frombuffer(b"".join(payloads), np.uint8)].reshape(-1, BLOCK)
+    dc = values[:, 0] - (values[:, 0] > 0)
     values[:, 0] = dc - np.where(restarts, 0, np.concatenate([[0], dc[:-1]]))
+    # of a zero block: its DC value, and the code that ends it
+    coded = held[:, None] | (np.arange(BLOCK) < 2)
     size = _SIZE[values + 255]
     # tables of each stream, from its own counts of sizes
     kind = of[:, None] * 2 + (np.arange(BLOCK) > 0)
-    counts = np.bincount((kind * 9 + size).ravel(), minlength=len(payloads) * 18).reshape(-1, 9)
+    counts = np.bincount((kind * 9 + size)[coded], minlength=len(payloads) * 18).reshape(-1, 9)
     codes, lengths = np.zeros_like(counts), np.zeros_like(counts)
     heads = [_table(0x10 * (k % 2), c, codes[k], lengths[k]) for k, c in enumerate(counts.tolist())]
     # codes and values as bits one after another, each segment from a whole byte on
-    n_bits = lengths[kind, size] + size
+    n_bits = np.where(coded, lengths[kind, size] + size, 0)
     word = (codes[kind, size] << size) | np.where(values < 0, values + (1 << size) - 1, values)
     each = n_bits.sum(axis=1)
     seg = np.flatnonzero(restarts)
@@ -417,7 +426,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     base = before.reshape(-1, BLOCK)[seg, 0]
     per = np.diff(np.append(seg, len(of))) * BLOCK
     pos = before + np.repeat(8 * seg_from - base, per)
-    shifted = word.ravel() << (32 - n_bits.ravel() - (pos & 7))
+    shifted = np.where(coded, word, 0).ravel() << (32 - n_bits.ravel() - (pos & 7))
     total = int(seg_bytes.sum())
     out = np.zeros(total + 4)
     for k in range(4):
@@ -445,11 +454,12 @@ def decode_payload(pic: Picture) -> bytes:
     if not pic.comment.startswith(b"payload_bytes="):
         raise JpegError("no payload in this picture")
     blocks = pic.components[0].blocks.reshape(-1, 64)
-    out = np.empty(blocks.shape, np.uint8)
-    ac = blocks[:, 1:]
-    out[:, 1:] = np.where(ac < 0, ac + 128, ac + 127)
-    out[:, 0] = blocks[:, 0] + 128
-    return out.tobytes()[: int(pic.comment[14:])]
+    values = blocks.astype(np.int64)
+    values[:, 0] += values[:, 0] >= 0
+    n = int(pic.comment[14:])
+    if not 0 <= n <= values.size or (np.abs(values) > 128).any():
+        raise JpegError("no payload in this picture")
+    return _BYTE[values.ravel()[:n] + 128].tobytes()
 
 
 def media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

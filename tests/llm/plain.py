@@ -122,13 +122,16 @@ def grey_jpeg(stream):
         for _ in range(min(restart, shape[0] * shape[1] // 64 - len(blocks))):
             block, k = [], 0
             while k < 64:
+                if k and block[-1] is None:
+                    break
                 code = ""
                 while code not in tables[0x10 if k else 0]:
                     code, i = code + bits[i], i + 1
                 size = tables[0x10 if k else 0][code]
                 v = int(bits[i : i + size] or "0", 2)
                 i, k = i + size, k + 1
-                block.append(v if not size or bits[i - size] == "1" else v - (1 << size) + 1)
+                block.append(None if k > 1 and not size else v if not size or bits[i - size] == "1" else v - (1 << size) + 1)
+            block = [x for x in block if x is not None] + [0] * (64 - sum(x is not None for x in block))
             before = block[0] = block[0] + before
             blocks.append(block)
     return blocks, *shape
