@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.components import connected
 from siftwell.llm.tables import boxed, drop, keep, unboxed
-from siftwell.llm.textbatch import mix, slices, words_of
+from siftwell.llm.textbatch import lean, mix, slices, words_of
 
 #: Least bits of a signature; larger sets have four times as many for each factor of four. Long signatures fold onto short ones.
 BITS, BITS_FOR = 2048, 1024
@@ -213,6 +213,7 @@ def _lists(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
 def _profile(words: int):
     """A row a document (n, digests, bands), and rows (h, c) of shingles that are frequent in a partition."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, often = 0, {}
         for batch in slices(batches):
@@ -250,6 +251,7 @@ def _profile(words: int):
 def _sets(words: int, heavy: np.ndarray | None = None):
     """Sets (rep, grams) of documents; with heavy also the rest of the set (light)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             flat, starts = shingle_sets(batch.column(1), words)
@@ -266,6 +268,7 @@ def _sampled(words: int, percent: int, heavy: np.ndarray):
     """Of every document with shingles: those of the sample that are not heavy, and how many of them may be shared before it needs a closer look."""
     cut = np.uint64(min(1.0, SAMPLE * (100 - percent) / 100) * float((1 << 64) - 2048))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             flat, starts = shingle_sets(batch.column(1), words)
@@ -297,6 +300,7 @@ def _heads(percent: int, heavy: np.ndarray):
     The order: shingles of no other component, shared ones as listed (rare ones first), heavy ones.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -353,6 +357,7 @@ def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 def _verified(percent: int):
     """First pass: links within blocks (key, chunk), a spanning forest of them, each verified on whole sets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, ("key", "chunk")):
             n = rows.num_rows
@@ -383,6 +388,7 @@ def _verified(percent: int):
 def _possible(percent: int):
     """Second pass: pairs of the blocks of a bucket that the trees leave. A row has a signature and its places: block, and chunk on the side of a pair of chunks."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, ("bucket",)):
             rep, comp, sizes = (rows.column(rows.schema.get_field_index(k)).to_numpy() for k in ("rep", "comp", "n"))

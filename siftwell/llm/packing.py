@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import bpe
 from siftwell.llm.tables import drop, keep
-from siftwell.llm.textbatch import slices
+from siftwell.llm.textbatch import lean, slices
 
 #: Pieces to a partition, on average.
 PART_PIECES = 4_000
@@ -32,6 +32,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 def _cutter(path: str, end_id: int, capacity: int):
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.encoder(path)
         for batch in slices(batches):

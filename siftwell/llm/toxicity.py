@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.tables import drop, keep
-from siftwell.llm.textbatch import HashTable, slices, words_of
+from siftwell.llm.textbatch import HashTable, lean, slices, words_of
 
 #: General English insults.
 SEED_TERMS = ("asshole", "bastard", "clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "worthless")
@@ -235,6 +235,7 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str], list[str]]:
     terms = sorted({w for w in own if not any(w.startswith(s) for s in stems)} | set(SEED_TERMS))
     near = Lexicon(terms)
 
+    @lean
     def look_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([near.match(w) == FUZZY for w in batch.column(0).to_pylist()], pa.bool_()))
@@ -280,6 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = keep(_rows(docs, text, doc_id).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
     lexicon = Lexicon(*learn_terms(rows))
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
         for batch in slices(batches):
@@ -320,6 +322,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.lexicon.stems, model.weights))
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *words, weights = shared.value
         own = Model(Lexicon(*words), weights)
@@ -336,6 +339,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.terms, model.lexicon.veto, model.lexicon.stems, model.weights))
     at = docs.columns.index(text)
 
+    @lean
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *words, weights = shared.value
         own = Model(Lexicon(*words), weights)
