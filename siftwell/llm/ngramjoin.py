@@ -275,7 +275,7 @@ def _sampled(words: int, percent: int, heavy: np.ndarray):
             n = np.diff(starts)
             some = np.flatnonzero(n)
             inside = (mix(flat.view(np.uint64) * _ODD[60]) < cut) & ~is_in(flat, heavy)
-            m = np.add.reduceat(inside, starts[:-1][some], dtype=np.int64) if len(some) else n
+            m = np.add.reduceat(inside, starts[:-1][some], dtype=np.int64) if len(some) else np.zeros(0, np.int64)
             slack = m - prefix_length(n[some], percent)
             rep = batch.column(0).to_numpy(zero_copy_only=False)[some]
             # one without sampled shingles goes on by a number of its own

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -35,12 +36,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: By number of bytes left, what of a lane of eight bytes belongs to a span.
 _LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes than this are hashed one by one by BLAKE2.
+LONG_SPAN = 256
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end] (end > start), equal for equal contents wherever they stand.
 
-    A sum over lanes of eight bytes, each mixed with its place first: unlike a polynomial modulo 2**64, no pattern makes two contents equal.
+    Up to seven bytes are one lane with the size above them, mixed by a bijection: no two such spans collide. Longer ones run through two chains of lanes, one
+    by addition and one by exclusive or, with the size at the end; a change in one lane cannot be undone in both by any rule. They
+    could still meet by chance, one pair in 2**64.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -48,15 +53,23 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     raw = np.concatenate([np.ascontiguousarray(values).view(np.uint8), np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
     at, size = starts * unit, (ends - starts) * unit
-    out = mix((lanes[at] & _LANE[np.minimum(size, 8)]) + np.uint64(1)) + size.astype(np.uint64)
-    long = np.flatnonzero(size > 8)
-    if len(long):  # the lanes after the first
-        count = (size[long] - 1) >> 3
-        before = np.cumsum(count) - count
-        place = np.arange(1, int(before[-1] + count[-1]) + 1) - np.repeat(before, count)
-        part = lanes[np.repeat(at[long], count) + 8 * place] & _LANE[np.minimum(np.repeat(size[long], count) - 8 * place, 8)]
-        out[long] += np.add.reduceat(mix(part + mix(place.astype(np.uint64) + np.uint64(1))), before)
-    return mix(out)
+    first = lanes[at] & _LANE[np.minimum(size, 8)]
+    out = mix(first | (np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)))
+    left = np.flatnonzero((size >= 8) & (size <= LONG_SPAN))
+    if len(left):
+        left = left[np.argsort(-size[left], kind="stable")]  # those with more lanes first: who goes on is always a head of the array
+        much, where = size[left], at[left]
+        a, b = out[left], mix(first[left] ^ np.uint64(0x9E3779B97F4A7C15))
+        for k in range(1, LONG_SPAN // 8):
+            n = int(np.searchsorted(-much, -8 * k, "left"))  # of more than 8 k bytes
+            if not n:
+                break
+            lane = lanes[where[:n] + 8 * k] & _LANE[np.minimum(much[:n] - 8 * k, 8)]
+            a[:n], b[:n] = mix(a[:n] + lane), mix(b[:n] ^ lane)
+        out[left] = mix(a + mix(b ^ much.astype(np.uint64)))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[at[i] : at[i] + size[i]].data, digest_size=8).digest(), "little")
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,20 +149,26 @@ class Words:
         return self.raw[self.starts[i] : self.ends[i]].tobytes()
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
+def runs_of(column: pa.Array, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs within rows of the bytes that the table `inside` marks: all bytes (A-Z lower-cased), starts and ends in them, and first[d]:first[d+1], the runs of row d."""
     raw, off = buffers(column)
     if lower:
         raw = _LOWER[raw]
-    inside = ~_WS[raw]
+    marked = inside[raw]
     before = np.zeros(len(raw), bool)
-    before[1:] = inside[:-1]
+    before[1:] = marked[:-1]
     before[off[:-1][off[:-1] < len(raw)]] = False
-    starts = np.flatnonzero(inside & ~before)
+    starts = np.flatnonzero(marked & ~before)
     after = np.zeros(len(raw), bool)
-    after[:-1] = inside[1:]
+    after[:-1] = marked[1:]
     after[off[1:][off[1:] > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return Words(raw, starts, ends, span_hash(raw, starts, ends), np.searchsorted(starts, off))
+    ends = np.flatnonzero(marked & ~after) + 1
+    return raw, starts, ends, np.searchsorted(starts, off)
+
+
+def words_of(column: pa.Array, lower: bool = True) -> Words:
+    raw, starts, ends, first = runs_of(column, ~_WS, lower)
+    return Words(raw, starts, ends, span_hash(raw, starts, ends), first)
 
 
 def give_back() -> None:
