@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over a scale folder and, where SQL can say the same, their SQL."""
+"""The queries op1 to op13 over a scale folder and, where SQL can say the same, their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import jpeg, linededup, mixing, ngramjoin, packing, pii, quality, secrets, tokenio, toxicity
+from siftwell.llm import importance, jpeg, lexical, linededup, mixing, ngramjoin, packing, pii, quality, secrets, sharding, tokenio, toxicity
 from siftwell.llm.tables import drop, keep, shared_dir, table
 
 
@@ -82,6 +82,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, corpus = lexical.build(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, corpus, table(spark, sf_dir, "benchmark"), k=20)
+    drop(index)
+    return found
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", sharding.size_of("text").alias("size"), sharding.crc_of("text").alias("text_crc32"))
+    law = F.lit("rows").alias("law")
+    return sharding.interleave(rows).select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op4_secrets, which SQL can say."""
     return op4_secrets(spark, sf_dir).drop("spans")
@@ -92,7 +110,7 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pii(spark, sf_dir).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media, op10_ngram_join, secret_base_spans, pii_base_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_secrets, op5_line_dedup, op6_token_files, op7_packing, op8_pii, op9_media, op10_ngram_join, op11_importance, op12_lexical, op13_sharding, secret_base_spans, pii_base_spans)}
 
 def _sql_list(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in dict.fromkeys(words))
@@ -141,6 +159,57 @@ SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(seen), doc
 
 
 
+#: crc32 of a column of text in SQL: a table of 256 entries, then a step a byte.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"
+
+
+def _crc_sql(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER_SQL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT list_filter(string_split_regex({_LOWER_SQL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+f AS (SELECT doc_id, array_to_string(w[i:i + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) + 1 - k)) AS i FROM d, range(3) AS r(k))),
+fq AS (SELECT array_to_string(w[i:i + k], ' ') AS g FROM (SELECT w, k, unnest(range(1, len(w) + 1 - k)) AS i FROM q, range(3) AS r(k))),
+g AS (SELECT g, {_crc_sql("g")} % 10000 AS b FROM (SELECT g FROM f UNION SELECT g FROM fq), crc),
+s AS (SELECT b, count(*) AS s FROM f JOIN g USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM fq JOIN g USING (g) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM fq) AS t_all),
+gain AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * (s_all + 10000)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM range(10000) AS r(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b), n),
+w AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN g USING (g) JOIN gain USING (b) GROUP BY doc_id),
+e AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS can,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY can ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER (PARTITION BY can) // 100 AS k FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN can AND r <= k THEN r END AS rank FROM o
+"""
+
+OP12_SQL = rf"""
+WITH dt AS (SELECT doc_id, unnest(list_filter(string_split_regex({_LOWER_SQL}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM documents),
+qt AS (SELECT item_id, unnest(list_filter(string_split_regex({_LOWER_SQL}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+p AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+q AS (SELECT item_id, term, count(*) AS c FROM qt GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+OP13_SQL = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || source, '-') AS name, strlen(coalesce(text, '')) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents, crc),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY name ORDER BY k) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY name)) AS f FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY f, name, k) - 1 AS i, count(*) OVER () AS total FROM r),
+s AS (SELECT *, i * 16 // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, i - (shard * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+
 def _spans_sql(kinds: dict[str, tuple[str, str]], order: str) -> str:
     """Base spans of documents: each kind's pattern and test of a match m; places from the lengths of the pieces between matches."""
     parts = []
@@ -168,4 +237,4 @@ PII_SQL = _spans_sql(
 )
 
 #: The other queries are beyond SQL (models, iterations, codecs, sequential packing) and are held against plain versions in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_quality": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_ngram_join": OP10_SQL, "secret_base_spans": SECRETS_SQL, "pii_base_spans": PII_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_ngram_join": OP10_SQL, "op11_importance": OP11_SQL, "op12_lexical": OP12_SQL, "op13_sharding": OP13_SQL, "secret_base_spans": SECRETS_SQL, "pii_base_spans": PII_SQL}

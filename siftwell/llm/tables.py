@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where intermediate tables go if the cluster names no shared folder (tests on one machine).
@@ -48,3 +48,29 @@ def unboxed(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
     """The columns of `_row` with the new ones: one of an old name stands in its place, others follow."""
     cols = [new.pop(c).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in names]
     return df.select(*cols, *(c.alias(n) for n, c in new.items()))
+
+
+#: Entries (some 40 bytes each) of a table of partitions up to which it is broadcast; beyond, rows meet it by shuffle.
+BROADCAST_PARTS = 250_000
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, within: str | None = None) -> DataFrame:
+    """df as a kept table with `_at`, each row's place from 0 in the given order, or its place among the rows that share `within`, which must lead the order then.
+
+    A range shuffle deals rows by the order and a sort numbers them within their partition; what meets in one place is a count for each partition and value of
+    `within` in it. No value of `within`, however frequent, is gathered. Rows equal in all of order are numbered in any way; they may fill one partition.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_own_id", F.monotonically_increasing_id())
+    # the id holds the partition above 33 bits and the row in it below
+    ranged = ranged.withColumn("_own_part", F.shiftright("_own_id", 33).cast("int")).withColumn("_own_row", F.col("_own_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = keep(ranged.drop("_own_id"), name)
+    keys = ["_own_part"] + ([within] if within else [])
+    parts = ranged.groupBy(*keys).agg(F.count("*").alias("_own_n"), F.min("_own_row").alias("_own_first"))
+    before = Window.partitionBy(*([within] if within else [])).orderBy("_own_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keep(parts.select(*keys, (F.coalesce(F.sum("_own_n").over(before), F.lit(0)) - F.col("_own_first")).alias("_own_before")), f"{name}-parts")
+    met = F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts
+    out = ranged.join(met, keys).withColumn("_at", F.col("_own_row") + F.col("_own_before")).drop("_own_part", "_own_row", "_own_before")
+    out = keep(out, f"{name}-numbered")
+    drop(ranged)
+    drop(parts)
+    return out
