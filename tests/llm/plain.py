@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import collections
+import hashlib
+import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -135,3 +138,45 @@ def grey_jpeg(stream):
             before = block[0] = block[0] + before
             blocks.append(block)
     return blocks, *shape
+
+
+def hashed_runs(text, n=3):
+    """Runs of 1 to n words in which A-Z are lower-cased and words are digits, letters and characters beyond ASCII."""
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW)) if x]
+    return [" ".join(w[i : i + k]) for k in range(1, n + 1) for i in range(len(w) - k + 1)], len(w)
+
+
+def resampled(rows, target, percent=5, least=20, buckets=10_000):
+    """rows: (doc_id, text). A list of (doc_id, n_features, weight, score, rank), in any order."""
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    every = [(d, *hashed_runs(t)) for d, t in rows]
+    s, t = collections.Counter(bucket(f) for _, fs, _ in every for f in fs), collections.Counter(bucket(f) for x in target for f in hashed_runs(x)[0])
+    gain = [math.floor(1000 * math.log((float(t[b] + 1) * (s.total() + buckets)) / (float(s[b] + 1) * (t.total() + buckets)))) for b in range(buckets)]
+    out = []
+    for d, fs, n in every:
+        h = int(hashlib.sha256(f"42:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[bucket(f)] for f in fs)
+        out.append([d, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    can = sorted((x for x in out if x[5] >= least), key=lambda x: (-x[3], x[0] is not None, x[0] or 0))
+    for r, x in enumerate(can[: percent * len(can) // 100], 1):
+        x[4] = r
+    return [tuple(x[:5]) for x in out]
+
+
+def ranked(rows, items, k=20):
+    """rows: (doc_id, text), items: (item_id, text). A list of (item_id, rank, doc_id, score)."""
+    terms = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOW)) if x]
+    docs = [(d, collections.Counter(terms(t))) for d, t in rows]
+    docs = [(d, c) for d, c in docs if c]
+    df = collections.Counter(x for _, c in docs for x in c)
+    size, total = len(docs), sum(c.total() for _, c in docs)
+    out = []
+    for item, text in items:
+        found = []
+        for d, c in docs:
+            m = 75 + 25 * c.total() * size // total
+            score = sum(math.floor(1000 * math.log((2 * size + 2) / (2 * df[x] + 1))) * (1_000_000_000 * c[x] // (1000 * c[x] + 12 * m)) for x in terms(text) if x in c)
+            if score:
+                found.append((-score, d is not None, d or 0, d))
+        out += [(item, r, d, -s) for r, (s, _, _, d) in enumerate(sorted(found)[:k], 1)]
+    return out
