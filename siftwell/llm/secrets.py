@@ -1,9 +1,10 @@
 """Secret scans: base patterns, and strings whose content nothing around them explains.
 
 For each candidate in a sensitive context the marginal cost is measured: the compressed bytes of its surroundings with it, less those without it,
-by zstandard primed with a dictionary that is trained on lines of code. A trained dictionary brings its own tables of letter frequencies, so even a short
-string is entropy-coded: names, slugs and paths, of known words or not, cost some 4 to 6 bits a character, random keys 6.6 and more. Candidates from
-NOVEL_BITS on are reported as kind `novel`.
+by zstandard primed with a dictionary that is trained on lines of code. A trained dictionary brings its own tables of letter frequencies, and lines of the same
+kind lead both frames, so that the compressor codes the letters of either with those tables. What is measured is held against what drawing the characters at
+random would take, and against random strings of the candidate's own shape (a small letter for a small letter, a digit for a digit) measured at the same place, so that
+the sentence around takes no part: names, slugs and paths, of known words or not, take clearly less. What reaches both is reported as kind `novel`.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ import functools
 import hashlib
 import importlib
 import inspect
+import math
 import random
 import re
+import string
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,18 +38,22 @@ KINDS = ("assign", "access", "hex", "novel")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: What may be a secret by its form (signs at its end left out), and what makes a context sensitive, in up to CONTEXT characters before.
-CANDIDATE = re.compile(r"[A-Za-z0-9!@#$%^&*_.+/=~-]{12,}")
+#: What may be a secret by its form (signs at its end left out), and what makes a context sensitive, in up to CONTEXT characters before. What stands before
+#: an equals sign is context, and the next name of a query string is no part of a value.
+CANDIDATE = re.compile(r"(?:[A-Za-z0-9!@#$%^*_.+/~-]|&(?![A-Za-z_]+=)){12,}={0,2}")
 TAIL = ".,!?*"
-#: A plain word, capitalised or not, is none.
-_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^A-Za-z]+")
+_CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
 _LONG_RUN = re.compile(r"[A-Za-z0-9!@#$%^&*_.+/=~-]{24,}")
 SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api.?key|credential|auth|bearer|private|access.?key|signature|session|cookie", re.ASCII | re.IGNORECASE)
 CONTEXT, AROUND = 48, 160
-#: Compressed bits a character from which a candidate is novel. Over held-out names, slugs and paths about 1 in 50 costs as much, of random keys nearly all (tests/llm/test_secrets.py).
-NOVEL_BITS = 6.2
-#: Lines the dictionary is trained on, its bytes, and the compressor's level; lines that stand before the surroundings, as a short text alone would be stored as it is.
-SAMPLES, DICTIONARY_BYTES, LEVEL, LEAD = 3000, 1 << 15, 19, 6
+#: Cost over that of random strings of the same shape from which a candidate is novel, and how many of those are measured; rates over names and keys are in tests/llm/test_secrets.py.
+NOVEL, REFERENCES = 0.9, 6
+#: What is put before the surroundings in turn: the costs of these differ by parts of a byte.
+PADDINGS = ("", "e", "te", "k7")
+#: Signs that a candidate with any is taken to draw from.
+SIGNS = 8
+#: Lines the dictionary is trained on, its bytes, and the compressor's level; lines that lead a frame: with few of them the compressor codes a frame's letters now one way, now another.
+SAMPLES, DICTIONARY_BYTES, LEVEL, LEAD = 3000, 1 << 15, 19, 48
 #: Where the words of those lines come from: public names and documentation of these modules of Python's standard library.
 MODULES = (
     "argparse", "ast", "asyncio", "calendar", "collections", "configparser", "csv", "datetime", "decimal", "email.message", "functools", "gettext", "hashlib", "hmac", "http.client", "inspect", "itertools", "json", "locale", "logging",
@@ -100,17 +108,41 @@ class Novelty:
         primed, self.lead = primed
         self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_FULLDICT), write_content_size=False, write_dict_id=False)
 
-    def bits(self, before: str, candidate: str, after: str) -> float:
-        """Bits a character that the candidate adds to its surroundings; its own repetitions among them make it cheap.
+    def cost(self, before: str, candidates: list[str], after: str) -> list[float]:
+        """Bits that each candidate adds to the surroundings; its own repetitions among them make it cheap.
 
-        Words in capitals say as much in lower case: the cheaper form counts. Other long runs of signs around it are left out: many random ones would have the
-        compressor fit its codes to them.
+        Frames are whole bytes, so the mean is taken over paddings that shift where the last one ends. Words in capitals say as much in lower case: the cheaper form
+        counts. Other long runs of signs around the first are left out: many random ones would have the compressor fit its codes to them.
         """
-        after, before = (_LONG_RUN.sub(lambda m: m[0] if candidate in m[0] else " ", x) for x in (after, before))
-        around = self.lead + (after + "\n" + before).encode("utf-8", "replace")
-        alone = len(self.press.compress(around))
-        forms = {candidate, re.sub("[A-Z]{3,}", lambda m: m[0].lower(), candidate)}
-        return min(8 * (len(self.press.compress(around + x.encode("utf-8", "replace"))) - alone) / len(x) for x in forms)
+        after, before = (_LONG_RUN.sub(lambda m: m[0] if candidates[0] in m[0] else " ", x) for x in (after, before))
+        around = [self.lead + (pad + after + "\n" + before).encode("utf-8", "replace") for pad in PADDINGS]
+        alone = sum(len(self.press.compress(x)) for x in around)
+
+        def one(candidate: str) -> float:
+            forms = {candidate, re.sub("[A-Z]{3,}", lambda m: m[0].lower(), candidate)}
+            return 8 * (min(sum(len(self.press.compress(x + form.encode("utf-8", "replace"))) for x in around) for form in forms) - alone) / len(PADDINGS)
+
+        return [one(x) for x in candidates]
+
+    def novel(self, before: str, candidate: str, after: str) -> bool:
+        """Does it cost what drawing its characters at random from their classes takes, and about as much as random strings of its shape at its place? Deterministic: the strings follow from the candidate."""
+        own = self.cost(before, [candidate], after)[0]
+        if own < drawn(candidate):
+            return False
+        rng = random.Random(zlib.crc32(candidate.encode("utf-8", "replace")))
+        others = self.cost(before, [alike(candidate, rng) for _ in range(REFERENCES)], after)
+        return own * len(others) >= NOVEL * sum(others)
+
+
+def drawn(candidate: str) -> float:
+    """Bits of drawing each character at random from all classes that the candidate's characters are of."""
+    known = [kind for kind in _CLASSES if any(c in kind for c in candidate)]
+    return len(candidate) * math.log2(sum(map(len, known)) + SIGNS * any(not c.isalnum() for c in candidate))
+
+
+def alike(candidate: str, rng: random.Random) -> str:
+    """A random string of the candidate's shape: small letters, capitals and digits are drawn anew, signs stay."""
+    return "".join(rng.choice(next((kind for kind in _CLASSES if c in kind), c)) for c in candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -133,9 +165,9 @@ def novel_spans(text: str, novelty: Novelty) -> list[tuple[int, int, str]]:
     for m in CANDIDATE.finditer(text):
         s = m[0].rstrip(TAIL)
         a, b = m.start(), m.start() + len(s)
-        if len(s) < 12 or _PLAIN.fullmatch(s) or not (out and out[-1][1] >= a - 2 or SENSITIVE.search(text, max(0, a - CONTEXT), a)):
+        if len(s) < 12 or not (out and out[-1][1] >= a - 2 or SENSITIVE.search(text, max(0, a - CONTEXT), a)):
             continue
-        if novelty.bits(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVEL_BITS:
+        if novelty.novel(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]):
             out.append((a, b, "novel"))
     return out
 
