@@ -7,6 +7,8 @@ host is at most (mean lines of its pages) / ratio lines, so those lists are join
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +29,58 @@ def host_of(url: str) -> Column:
     return F.lower(F.when(host != "", host))
 
 
+#: Marks an opening that nothing closes; where a text holds it already it is doubled while the mark is in use.
+_MARK = "\ue000"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _tail(text: Column, size: Column) -> Column:
+    return F.substr(text, size + 1, F.length(text))
+
+
+def _upto(text: Column, closer: str, body: Callable[[Column], Column]) -> Column:
+    """body of the text through its last closer, and the rest as it is. Whatever opens there finds a closer, so a search that goes from opening to closer reads the text once."""
+    return _let(text, lambda t: _let(F.length(t) - F.length(F.substring_index(t, closer, -1)), lambda n: F.concat(body(F.substr(t, F.lit(1), n)), _tail(t, n))))
+
+
+def _marked(text: Column, head: Callable[[Column], Column], opening: str) -> Column:
+    """The text with a mark in each opening behind its head, through which every opening is closed."""
+    return _let(text, lambda t: _let(F.length(head(t)), lambda n: F.concat(F.substr(t, F.lit(1), n), F.regexp_replace(_tail(t, n), opening, "$1" + _MARK))))
+
+
+def _element_head(name: str) -> Callable[[Column], Column]:
+    """Through the last `>` before the last closing tag: an opening tag that ends later has no closing tag behind it."""
+    return lambda t: F.regexp_extract(t, f"(?is)^.*>(?=[^>]*</{name}>)", 0)
+
+
+def _comment_head(t: Column) -> Column:
+    return F.substr(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, "-->", -1)))
+
+
 def lines_of_html(html: str) -> Column:
-    """Visible text with a line for each block element; scripts, styles, comments and tags go."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _HIDDEN, " "), _BLOCK, "\n")
-    return F.regexp_replace(text, r"<[^>]*>", "")
+    """Visible text with a line for each block element; scripts, styles, comments and tags go.
+
+    An opening that nothing closes stays as text. Its time grows with the length of the page, however many openings are unclosed: before a search from openings to closers,
+    those behind the last closer are set aside or marked.
+    """
+    text = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _MARK, _MARK * 2)
+    for name in ("script", "style"):
+        text = _marked(text, _element_head(name), f"(?i)(<)(?={name})")
+    text = _marked(text, _comment_head, "(<!)(?=--)")
+    text = F.regexp_replace(F.regexp_replace(text, _HIDDEN, " "), f"{_MARK}({_MARK}?)", "$1")
+    text = _upto(text, ">", lambda t: F.regexp_replace(t, _BLOCK, "\n"))
+    return _upto(text, ">", lambda t: F.regexp_replace(t, r"<[^>]*>", ""))
 
 
 def dedup_lines(pages: DataFrame, text: str, host: str, page_id: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages, all their columns, with text without boilerplate lines, and n_lines and n_dropped (columns so named are replaced).
 
     Lines are split at \\n and compared without blanks around them; blank lines stay and never count. A null text stays null; a null host is one of its own.
-    Repeated pages count each. A page may lose all its lines; its text is empty then.
+    Repeated pages count each; very long pages are split whole, in time that grows with their length. A page may lose all its lines; its text is empty then.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-"))
     held = boxed(pages, _host=name, _text=F.col(text), _id=F.col(page_id), _lines=F.split(F.coalesce(F.col(text), F.lit("")), "\n"))

@@ -74,11 +74,12 @@ def balance(counts: DataFrame, sources: list[Source], most: float = MOST) -> Non
             return
         # one short row a source: its number is that of distinct sources
         now = spark.createDataFrame([(s.name, s.tilt, s.mean) for s in todo], "name string, tilt double, mean double")
+        met = F.broadcast(now) if len(todo) <= BROADCAST_SOURCES else now
         x = F.col("size") / F.col("mean")
         raw = F.exp(F.least(F.greatest(F.col("tilt") * x, F.lit(-700.0)), F.lit(700.0)))
         taken = F.col("n") * F.col("size") * F.least(raw, F.lit(float(most)))
         slope = F.when(raw < most, F.col("n") * F.col("size") * x * raw).otherwise(0.0)
-        got = {r.name: r for r in counts.join(now, "name").groupBy("name").agg(F.sum(taken).alias("taken"), F.sum(slope).alias("slope")).collect()}
+        got = {r.name: r for r in counts.join(met, "name").groupBy("name").agg(F.sum(taken).alias("taken"), F.sum(slope).alias("slope")).collect()}
         for s in list(todo):
             r = got[s.name]
             gap = r.taken - s.target

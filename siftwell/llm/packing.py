@@ -106,7 +106,8 @@ def _packer(capacity: int):
 
 def pack(rows: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """The rows (of PIECES, lengths 1 to capacity; a kept table) with sequence_id, offset, and the certificate of the partition that packed them last:
-    part_bins, its number of sequences, and part_bound, below which no packing of its pieces can go. Sequences of a partition of equal numbers are as few as can be.
+    part_bins, its number of sequences, and part_bound, below which no packing of its pieces can go (both null for nearly full
+    sequences that stayed while the rest of their partition was packed anew, at most `rounds` times). Sequences of a partition of equal numbers are as few as can be.
 
     Partitions are of a bounded size (part_pieces on average), dealt by hash of the piece and its place in the table, so rows of one id or equal rows
     spread. Repeated rows are placed each on their own; an empty table gives an empty result.
@@ -132,7 +133,9 @@ def pack(rows: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds:
         if new.filter("offset = 0").count() >= got.bins:
             drop(new)
             break
-        done.append(now.filter(~again))
+        # bins that stay closed where others are packed anew have no certificate any more: theirs was for both
+        gap = F.col("bins") > F.col("bound")
+        done.append(now.filter(~again).withColumns({c: F.when(~gap, F.col(c)) for c in ("bins", "bound")}))
         now = new
     for df in done:
         now = now.unionByName(df)

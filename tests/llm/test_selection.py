@@ -289,3 +289,25 @@ def test_short_spans_never_collide_and_place_does_not_matter():
     h = textbatch.span_hash(raw, np.array([a for a, _ in spans]), np.array([b for _, b in spans])).tolist()
     assert h[1] == h[2] and h[5] == h[6]
     assert len(set(h)) == len(spans) - 2
+
+
+# --- pages of many unclosed openings ------------------------------------------------------------------------------------------
+
+
+def test_lines_of_html_with_unclosed_openings(spark):
+    import time
+
+    mark = ""
+    pages = ["a<!-- b", "<!-- x --> y <!-- z", "<script>1</script>2<script>3", "<script a<b>c</script>d<script", "<style>x</STYLE>y<style z", "<!--<script>--></script>x", "<<p>a<p", "<p a", f"{mark}<!--{mark}{mark}-", f"<!{mark}-- a", "<a <b>c<", "x<SCRIPT >a</script ></script>b", "<script></script><!-->--> <!-- --> t", None, ""]
+    import re
+
+    hidden, block = re.compile(r"<script(?:\s[^>]*)?>.*?</script>|<style(?:\s[^>]*)?>.*?</style>|<!--.*?-->", re.I | re.S), re.compile(linededup._BLOCK)
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {r.page_id: r.t for r in rows.select("page_id", linededup.lines_of_html("html").alias("t")).collect()}
+    for i, p in enumerate(pages):
+        assert got[i] == re.sub(r"<[^>]*>", "", block.sub("\n", hidden.sub(" ", p or ""))), p
+    long = [x * (1_000_000 // len(x)) for x in ("<", "<!--", "<script>", "<script ", "<style x", "<p ", "<!-- </script>", "<script <style> <!--", "<p>")] + ["<!--" * 100_000 + "</script></style>", "<script " * 100_000 + "</script>", "<" * 500_000 + "<p>"]
+    rows = spark.createDataFrame([(x,) for x in long], "html string").coalesce(1)
+    begun = time.time()
+    assert len(rows.select(F.length(linededup.lines_of_html("html"))).collect()) == len(long)
+    assert time.time() - begun < 2 * len(long)
