@@ -1,7 +1,7 @@
 """Byte-pair ids of whole texts by the tokenizers library, each distinct pre-token encoded once per worker.
 
 A byte-level BPE encodes every pre-token by itself, so the ids of a text are those of its pre-tokens in a row. The
-split into pre-tokens is computed in numpy from character classes; a text with a character outside the alphabet whose
+split into pre-tokens is computed in numpy from character classes, and what is remembered is found by hash and compared by its characters; a text with a character outside the alphabet whose
 classes are certain here, or with the text of a special token, goes to the library whole. Results are the library's own in
 both cases (tests/llm/test_operators.py).
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from siftwell.llm.textbatch import HashTable, buffers, span_hash
+from siftwell.llm.textbatch import LANE, HashTable, buffers, span_hash
 
 #: Code points whose classes (letter, number, space, other) are taken from unicodedata; other texts go to the library whole.
 _KNOWN = 0x250
@@ -69,6 +69,11 @@ def pretoken_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _lanes(chars: np.ndarray) -> np.ndarray:
+    """The four characters from each place on, as one number."""
+    return np.ndarray((len(chars) - 3,), "<u8", np.ascontiguousarray(chars).data, strides=(2,))
+
+
 class Encoder:
     """Encodes Arrow string columns; holds at most max_words distinct pre-tokens, then starts afresh."""
 
@@ -93,6 +98,10 @@ class Encoder:
         self.size = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
         self.n_ids = 0
+        self.chars_at = np.zeros(1024, np.int64)
+        self.length = np.zeros(1024, np.int64)
+        self.chars = np.zeros(4096, np.uint16)
+        self.n_chars = 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -131,13 +140,38 @@ class Encoder:
         while len(self.ids) < self.n_ids + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.at) < n + m:
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.chars_at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.chars_at, self.length))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.at[n : n + m] = self.n_ids + np.cumsum(size) - size
         self.size[n : n + m] = size
         self.n_ids += len(flat)
+        length = stops - starts
+        done = np.cumsum(length)
+        own = chars[np.arange(int(done[-1])) + np.repeat(starts - (done - length), length)]
+        while len(self.chars) < self.n_chars + len(own) + 4:
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        self.chars[self.n_chars : self.n_chars + len(own)] = own
+        self.chars_at[n : n + m] = self.n_chars + done - length
+        self.length[n : n + m] = length
+        self.n_chars += len(own)
         self.table.insert(keys)
 
+    def _others(self, chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Pre-tokens that are not the remembered ones of their hashes. Up to three characters are told apart by the hash itself."""
+        length = stops - starts
+        other = self.length[slot] != length
+        some = np.flatnonzero((length > 3) & ~other)
+        if len(some):
+            here = _lanes(np.concatenate([chars, np.zeros(4, np.uint16)]))
+            there = _lanes(self.chars)
+            count = (length[some] + 3) >> 2
+            done = np.cumsum(count)
+            k = 4 * (np.arange(int(done[-1])) - np.repeat(done - count, count))
+            left = np.minimum(np.repeat(length[some], count) - k, 4)
+            differ = ((here[np.repeat(starts[some], count) + k] ^ there[np.repeat(self.chars_at[slot[some]], count) + k]) & LANE[2 * left]) != 0
+            other[some] = np.logical_or.reduceat(differ, done - count)
+        return np.flatnonzero(other)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another (uint32), and the number of ids of each row."""
         raw, off = buffers(column)
@@ -207,12 +241,17 @@ class Encoder:
                 where = np.flatnonzero(slot < 0)[where]
             self._learn(keys, chars, starts[where], stops[where])
             slot = self.table.find(hashes)
-        each, src = self.size[slot], self.at[slot]
+        each, src, ids = self.size[slot], self.at[slot], self.ids
+        other = self._others(chars, starts, stops, slot)
+        if len(other):  # a hash that two share: the second is encoded wherever it stands
+            more, size = self._encode_words(chars, starts[other], stops[other])
+            each[other], src[other] = size, len(ids) + np.cumsum(size) - size
+            ids = np.concatenate([ids, more])
         done = np.cumsum(each)
         index = np.arange(int(done[-1])) + np.repeat(src - (done - each), each)
         bounds = np.searchsorted(starts, np.append(doc_starts, len(chars)))
         before = np.concatenate([[0], done])
-        return self.ids[index], np.diff(before[bounds])
+        return ids[index], np.diff(before[bounds])
 
 
 _encoders: dict[str, Encoder] = {}

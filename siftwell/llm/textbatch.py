@@ -35,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: By number of bytes left, what of a lane of eight bytes belongs to a span.
-_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Spans of more bytes than this are hashed one by one by BLAKE2.
 LONG_SPAN = 256
 
@@ -53,7 +53,7 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     raw = np.concatenate([np.ascontiguousarray(values).view(np.uint8), np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
     at, size = starts * unit, (ends - starts) * unit
-    first = lanes[at] & _LANE[np.minimum(size, 8)]
+    first = lanes[at] & LANE[np.minimum(size, 8)]
     out = mix(first | (np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)))
     left = np.flatnonzero((size >= 8) & (size <= LONG_SPAN))
     if len(left):
@@ -64,7 +64,7 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             n = int(np.searchsorted(-much, -8 * k, "left"))  # of more than 8 k bytes
             if not n:
                 break
-            lane = lanes[where[:n] + 8 * k] & _LANE[np.minimum(much[:n] - 8 * k, 8)]
+            lane = lanes[where[:n] + 8 * k] & LANE[np.minimum(much[:n] - 8 * k, 8)]
             a[:n], b[:n] = mix(a[:n] + lane), mix(b[:n] ^ lane)
         out[left] = mix(a + mix(b ^ much.astype(np.uint64)))
     for i in np.flatnonzero(size > LONG_SPAN).tolist():
