@@ -61,13 +61,19 @@ def _comment_head(t: Column) -> Column:
     return F.substr(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, "-->", -1)))
 
 
-def lines_of_html(html: str) -> Column:
-    """Visible text with a line for each block element; scripts, styles, comments and tags go.
+#: Openings times characters of a page up to which the patterns run over it as it is: at worst each opening that nothing closes reads the page to its end.
+PLAIN_STEPS = 1 << 24
 
-    An opening that nothing closes stays as text. Its time grows with the length of the page, however many openings are unclosed: before a search from openings to closers,
-    those behind the last closer are set aside or marked.
-    """
-    text = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _MARK, _MARK * 2)
+
+def _visible(text: Column) -> Column:
+    text = F.regexp_replace(F.regexp_replace(text, _HIDDEN, " "), _BLOCK, "\n")
+    return F.regexp_replace(text, r"<[^>]*>", "")
+
+
+def _visible_by_heads(text: Column) -> Column:
+    """The same in time that grows with the length of the page, however many openings are unclosed: before a search from openings to closers, those behind the last
+    closer are set aside or marked."""
+    text = F.regexp_replace(text, _MARK, _MARK * 2)
     for name in ("script", "style"):
         text = _marked(text, _element_head(name), f"(?i)(<)(?={name})")
     text = _marked(text, _comment_head, "(<!)(?=--)")
@@ -76,6 +82,17 @@ def lines_of_html(html: str) -> Column:
     return _upto(text, ">", lambda t: F.regexp_replace(t, r"<[^>]*>", ""))
 
 
+def lines_of_html(html: str) -> Column:
+    """Visible text with a line for each block element; scripts, styles, comments and tags go. An opening that nothing closes stays as text.
+
+    Pages of many openings, for which PLAIN_STEPS are too few, take a longer way to the same text, in time that grows with their length alone.
+    """
+    text = F.coalesce(F.col(html), F.lit(""))
+    size = F.octet_length(text).cast("long")
+    few = (size - F.octet_length(F.replace(text, F.lit("<"), F.lit("")))) * size <= PLAIN_STEPS
+    return F.when(few, _visible(text)).otherwise(_visible_by_heads(text))
+
+
 def dedup_lines(pages: DataFrame, text: str, host: str, page_id: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages, all their columns, with text without boilerplate lines, and n_lines and n_dropped (columns so named are replaced).
 

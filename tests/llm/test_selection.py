@@ -304,6 +304,8 @@ def test_lines_of_html_with_unclosed_openings(spark):
     hidden, block = re.compile(r"<script(?:\s[^>]*)?>.*?</script>|<style(?:\s[^>]*)?>.*?</style>|<!--.*?-->", re.I | re.S), re.compile(linededup._BLOCK)
     rows = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
     got = {r.page_id: r.t for r in rows.select("page_id", linededup.lines_of_html("html").alias("t")).collect()}
+    slow = {r.page_id: r.t for r in rows.select("page_id", linededup._visible_by_heads(F.coalesce("html", F.lit(""))).alias("t")).collect()}
+    assert got == slow
     for i, p in enumerate(pages):
         assert got[i] == re.sub(r"<[^>]*>", "", block.sub("\n", hidden.sub(" ", p or ""))), p
     long = [x * (1_000_000 // len(x)) for x in ("<", "<!--", "<script>", "<script ", "<style x", "<p ", "<!-- </script>", "<script <style> <!--", "<p>")] + ["<!--" * 100_000 + "</script></style>", "<script " * 100_000 + "</script>", "<" * 500_000 + "<p>"]
