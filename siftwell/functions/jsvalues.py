@@ -82,6 +82,8 @@ def text_column(col: Column, kind: T.DataType) -> Column:
 
 def number_column(col: Column, kind: T.DataType) -> Column:
     """A column as finite doubles; everything else is null (missing)."""
+    if isinstance(kind, T.IntegralType | T.DecimalType):  # always finite: a bare cast, which a comparison with a number can be taken through to the scan
+        return col.cast("double")
     if isinstance(kind, T.NumericType):
         out = col.cast("double")
     elif isinstance(kind, T.StringType):

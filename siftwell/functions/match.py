@@ -198,7 +198,7 @@ def matches(norm: Column, q: Query) -> Column:
         out = _may_hold(norm, q, q.text)
     elif q.mode == "prefix":
         head = q.prefix.head(q.text)
-        out = norm.rlike(_prefix_pattern(_head(q, head)))
+        out = norm.rlike(_prefix_pattern(exact_head(q, head)))
         if q.typo.allowed(len(head)):
             out = out & _may_hold(norm, q, head)
     else:
@@ -208,22 +208,28 @@ def matches(norm: Column, q: Query) -> Column:
 
 
 def _may_hold(norm: Column, q: Query, term: str) -> Column:
-    """Native test that every text with a match of the term passes: it holds the exact head and, of 2 d + 1 pieces of the term, one as it is
-    (each of d edits changes one piece, or two if it swaps characters across a cut)."""
-    d = q.typo.allowed(len(term))
-    head = F.contains(norm, F.lit(_head(q, term)))
-    n = 2 * d + 1
-    if not d or len(term) < n:
-        return head
-    cuts = [k * len(term) // n for k in range(n + 1)]
-    return head & reduce(lambda a, b: a | b, (F.contains(norm, F.lit(term[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)))
+    """Native test that every text with a match of the term passes: it holds the exact head and one of its pieces as it is."""
+    head = F.contains(norm, F.lit(exact_head(q, term)))
+    some = pieces(q, term)
+    return head & reduce(lambda a, b: a | b, (F.contains(norm, F.lit(p)) for p in some)) if some else head
 
 
-def _head(q: Query, term: str) -> str:
+def exact_head(q: Query, term: str) -> str:
     """What of a term every match holds as it is."""
     return term[: q.typo.prefix_exact_length] if q.typo.allowed(len(term)) else term
 
 
+def pieces(q: Query, term: str) -> list[str]:
+    """Where d edits are allowed, 2 d + 1 pieces of the term of which every match holds one as it is: an edit changes one piece, or two if it swaps characters
+    across a cut. None if the term is to be held whole or is too short."""
+    d = q.typo.allowed(len(term))
+    n = 2 * d + 1
+    if not d or len(term) < n:
+        return []
+    cuts = [k * len(term) // n for k in range(n + 1)]
+    return [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def hit(norm: Column, q: Query) -> Column:
     """struct<score, start, length> of a match, else null."""
     if not q.text or q.mode == "token" and not q.terms:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.errors import DuplicateIdError
+from siftwell.functions.match import Query
 from siftwell.operators.filters import FilterField
 from siftwell.operators.suggest import suggestions
 from siftwell.plans.options import Autocomplete, SearchOptions
@@ -33,14 +35,24 @@ class DocumentIndex:
                 name += "_"
             self.version = Version(docs.withColumn(name, F.lit(0)), schema.id, name)
         self.docs = self.version.docs()
-        mark = self.version.version
-        plain = [c for c in self.docs.columns if c != mark]
-        prepared = schema.prepare(self.docs)
-        # the record without the version; the version first in the order of documents
-        self.prepared = prepared.withColumn("doc_index", F.struct(F.col(f"doc.{mark}"), F.col("doc_index.place"))).withColumn("doc", F.struct(*(F.col(f"doc.`{c}`") for c in plain)))
+        self.prepared, self._kept = self._prepared(self.docs), False
         #: One for all versions of an index: batches run one after another.
         self._lock = lock or threading.Lock()
 
+    def _prepared(self, docs: DataFrame) -> DataFrame:
+        mark = self.version.version
+        plain = [c for c in docs.columns if c != mark]
+        # the record without the version; the version first in the order of documents
+        return self.schema.prepare(docs).withColumn("doc_index", F.struct(F.col(f"doc.{mark}"), F.col("doc_index.place"))).withColumn("doc", F.struct(*(F.col(f"doc.`{c}`") for c in plain)))
+
+    def narrowed(self, query: Query | None, places: list[int], expression: Any) -> DataFrame:
+        """The prepared documents, or those of the stored files alone that may match a query in those fields under a filter expression."""
+        now, spark = self.version, self.docs.sparkSession
+        if now.segment is None or self._kept:
+            return self.prepared
+        names = now.segment.chosen(spark, self.schema, query, places, expression)
+        return self.prepared if names is None else self._prepared(replace(now, base=now.segment.read(now.base, names)).docs())
+
     @classmethod
     def create(cls, docs: DataFrame, fields: list[SearchField | str], id: str = "id", filter_fields: list[FilterField] | tuple = (), case_sensitive: bool = False, hooks: Mapping[str, Callable] | None = None, validate: bool = True, **more: Any) -> DocumentIndex:
         """validate: look for repeated ids, one shuffle of the ids."""
@@ -52,15 +64,16 @@ class DocumentIndex:
 
     def persist(self) -> DocumentIndex:
         """Keeps normalized texts in memory for repeated queries."""
-        self.prepared = self.prepared.persist()
+        self.prepared, self._kept = self.prepared.persist(), True
         return self
 
     def destroy(self) -> None:
         self.prepared.unpersist()
+        self._kept = False
 
     def plan(self, query: str, **options: Any) -> Search:
         """A validated search, not yet run: its results, matched, facets and suggestions are lazy DataFrames."""
-        return Search(self.schema, self.prepared, query, SearchOptions(**options))
+        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed)
 
     def search(self, query: str, **options: Any) -> Response:
         return self.plan(query, **options).collect()
@@ -96,13 +109,13 @@ class DocumentIndex:
         """The same documents without the log of past batches, rewritten to the shared folder."""
         return DocumentIndex(self.schema, compact(self.version), self.epoch, self._lock)
 
-    def save(self, root: str, name: str, decoupled: bool = False) -> int:
+    def save(self, root: str, name: str, decoupled: bool = False, files: int | None = None, cluster: list[str] | None = None) -> int:
         from siftwell.sources import snapshot
 
-        return snapshot.save(self, root, name, decoupled)
+        return snapshot.save(self, root, name, decoupled, files, cluster)
 
     @staticmethod
-    def restore(spark, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None, verify: bool = True) -> DocumentIndex:
+    def restore(spark, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None, verify: bool | str = True) -> DocumentIndex:
         from siftwell.sources import snapshot
 
         return snapshot.load(spark, root, name, schema, version, docs, verify)

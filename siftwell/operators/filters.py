@@ -185,6 +185,66 @@ def _range(field: FilterField, op: str, bound: Any, col: Column, sure: Sure) ->
     return sure({"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op])
 
 
+def implied(expr: Any, names: set[str]) -> dict:
+    """Conjunctive comparisons of an expression with values on the named number fields: what passes the expression passes them on the columns as they are, too,
+    whatever these hold beside finite numbers."""
+    out: list[dict] = []
+    for key, value in expr.items():
+        if key == "and":
+            out += [e for x in value if (e := implied(x, names))]
+        elif key in names:
+            tests = value if isinstance(value, Mapping) else {"in" if isinstance(value, list | tuple) else "eq": value}
+            some = {op: x for op, x in tests.items() if op in ("gt", "gte", "lt", "lte") or op == "eq" and x is not None or op == "in" and None not in x}
+            if some:
+                out.append({key: some})
+    return {"and": out} if out else {}
+
+
+def compile_bounds(expr: Any, fields: Fields, bounds: Callable[[str], tuple[Column, Column, Column]]) -> Column:
+    """Whether rows of given bounds (least value, greatest value, number of nulls of each field) may pass a valid filter: true where any might.
+
+    Negations, lists of tags, and orders that differ from the columns' own are in doubt, and so true.
+    """
+    parts = []
+    for key, value in expr.items():
+        if key in ("and", "or"):
+            inner = [compile_bounds(x, fields, bounds) for x in value]
+            parts.append(reduce((lambda a, b: a & b) if key == "and" else (lambda a, b: a | b), inner) if inner else F.lit(key == "and"))
+        elif key != "not" and fields[key].kind != "string[]":
+            parts.append(_bounded(fields[key], value, *bounds(key)))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+
+
+def _bounded(field: FilterField, value: Any, lo: Column, hi: Column, nulls: Column) -> Column:
+    def among(x: Any) -> Column:
+        if x is None:
+            return nulls > 0
+        known = J.number_of(x) if field.kind == "number" else _boolean(field, x) if field.kind == "boolean" else J.text_of(x)
+        return F.lit(False) if known is None else _sure((lo <= F.lit(known)) & (hi >= F.lit(known)))
+
+    def one_of(values: Any) -> Column:
+        return reduce(lambda a, b: a | b, map(among, values)) if values else F.lit(False)
+
+    if isinstance(value, list | tuple):
+        return one_of(value)
+    if not isinstance(value, Mapping):
+        return among(value)
+    parts = []
+    for op, operand in value.items():
+        if op == "eq":
+            parts.append(among(operand))
+        elif op == "in":
+            parts.append(one_of(operand))
+        elif op == "exists":
+            parts.append(lo.isNotNull() if operand else nulls > 0)
+        elif op in ("gt", "gte", "lt", "lte"):
+            x = J.number_of(operand) if field.kind == "number" else J.text_of(operand)
+            if field.kind == "number" or all(c < "\ud800" for c in x):
+                edge = hi if op in ("gt", "gte") else lo
+                parts.append(_sure({"gt": edge > F.lit(x), "gte": edge >= F.lit(x), "lt": edge < F.lit(x), "lte": edge <= F.lit(x)}[op]))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+
+
 def references(expr: Any, field: str) -> bool:
     """Does any condition of the expression stand on the field?"""
     if isinstance(expr, list | tuple):

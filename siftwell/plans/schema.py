@@ -82,16 +82,27 @@ class IndexSchema:
         if self.id not in docs.columns:
             raise IncompatibleIndexError(f"an id column {self.id!r}", docs.columns)
         kinds = {f.name: f.dataType for f in docs.schema.fields}
-        both = docs.select(*[s.source().alias(f"_{k}") for k, s in enumerate(self.fields)], *[f.source().alias(f"_f{k}") for k, f in enumerate(self.filter_fields)]).schema
+        both = docs.select(*[s.source().alias(f"_{k}") for k, s in enumerate(self.fields)]).schema
         raw = [text_column(s.source(), both[f"_{k}"].dataType) for k, s in enumerate(self.fields)]
         norm = ascii_normalized if self.ascii_only else normalized
         key = F.col(f"`{self.id}`")
         bad = key.isNull() | (key.cast("string") == "") if isinstance(kinds[self.id], T.StringType) else key.isNull()
         checked = F.when(bad, F.raise_error(F.lit("a document has no id")).cast(kinds[self.id])).otherwise(key)
         place = F.struct(F.lit(batch).alias("batch"), (F.col(f"`{self.order_by}`") if self.order_by else key).alias("place"))
-        first = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), checked.alias("id"), place.alias("doc_index"), *[c.alias(f"_r_{k}") for k, c in enumerate(raw)], *[f.column(both[f"_f{k}"].dataType).alias(f"_a_{f.name}") for k, f in enumerate(self.filter_fields)])
+        first = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), checked.alias("id"), place.alias("doc_index"), *[c.alias(f"_r_{k}") for k, c in enumerate(raw)], *self.typed(docs))
         return once(first, {f"_n_{k}": norm(F.col(f"_r_{k}"), self.folded) for k in range(len(raw))})
 
+    def typed(self, docs: DataFrame) -> list[Column]:
+        """The typed value of each filter field, as _a_ and its name."""
+        kinds = docs.select(*[f.source().alias(f"_f{k}") for k, f in enumerate(self.filter_fields)]).schema
+        return [f.column(kinds[f"_f{k}"].dataType).alias(f"_a_{f.name}") for k, f in enumerate(self.filter_fields)]
+
+    def doubles(self, prepared: DataFrame) -> dict[str, str]:
+        """Number fields that are columns of doubles of the record, and those columns."""
+        kinds = {f.name: f.dataType for f in prepared.schema["doc"].dataType.fields}
+        own = {f.name: f.name if f.getter is None else f.getter for f in self.filter_fields if f.kind == "number" and isinstance(f.getter, str | None)}
+        return {k: c for k, c in own.items() if isinstance(kinds.get(c), T.DoubleType | T.FloatType)}
+
     def manifest(self) -> dict:
         return {
             "profile": self.profile, "id": self.id, "case_sensitive": self.case_sensitive, "ascii_only": self.ascii_only, "order_by": self.order_by,

@@ -24,7 +24,7 @@ from siftwell.functions.highlight import align_highlights, render_highlighted
 from siftwell.functions.normalize import normalize_text
 from siftwell.operators import facets as facet_ops
 from siftwell.operators import rank
-from siftwell.operators.filters import compile_filter
+from siftwell.operators.filters import compile_filter, implied, without_field
 from siftwell.operators.suggest import suggestions
 from siftwell.plans.options import QUERY_MAX, Autocomplete, RangeFacet, SearchOptions, TermsFacet, facets_of, merged_hooks
 from siftwell.plans.schema import IndexSchema, once
@@ -62,11 +62,14 @@ class Search:
     prepared: DataFrame
     text: str
     options: SearchOptions
+    #: Gives, for the query, fields and a filter expression (or None), prepared documents that hold all that match: those of the stored files in question.
+    narrowed: Callable[[match.Query, list[int], Any], DataFrame] | None = None
     started: float = field(default_factory=time.monotonic)
     aborted: threading.Event = field(default_factory=threading.Event)
 
     def __post_init__(self) -> None:
         o = self.options
+        self._sources: dict[str, DataFrame] = {}
         o.check_case(self.schema.case_sensitive)
         self.hooks = merged_hooks(self.schema.hooks, o.hooks or {})
         self.norm = query_text(self.text, self.schema, o.long_query)
@@ -102,15 +105,43 @@ class Search:
                 df = df.filter(F.coalesce(col.cast("boolean"), F.lit(False)))
         return df
 
+    def _source(self, expression: Any = None) -> DataFrame:
+        """Prepared documents among which are all that match the query and the expression, which stands before any other work."""
+        key = repr(expression)
+        if key not in self._sources:
+            df = self.prepared if self.narrowed is None or self.nothing else self.narrowed(self.query, self.places, expression)
+            if expression:
+                df = df.filter(compile_filter(expression, self.schema.filters, filtering=True))
+                # typed values of doubles leave out NaN and infinities, which no scan can take over; their own columns can be compared there as well
+                names = self.schema.doubles(df)
+                if more := implied(expression, set(names)):
+                    df = df.filter(compile_filter(more, self.schema.filters, at=lambda n: F.col("doc").getField(names[n]), filtering=True))
+            self._sources[key] = df
+        return self._sources[key]
+
     @cached_property
     def scored(self) -> DataFrame:
         """Matches of the query without the attribute filter: score, matched_field, field_weight, exact_match, matched_length, matches."""
-        return self._scored(self.prepared)
+        return self._scored(self._source())
 
     @cached_property
     def matched(self) -> DataFrame:
         """Matches under the attribute filter, which stands before scoring."""
-        return self.scored if self.condition is None else self._scored(self.prepared.filter(self.condition))
+        return self.scored if self.condition is None else self._scored(self._source(self.expression))
+
+    @property
+    def shared_filter(self) -> Any:
+        """What the total and every facet keep of the filter: the expression without the conditions that some facet leaves out."""
+        return reduce(lambda e, f: without_field(e, f.field), self.facet_specs, self.expression) if self.expression is not None else None
+
+    def _hits(self, df: DataFrame) -> DataFrame:
+        """The rows that match, by the match test alone where that is enough: counting needs no scores."""
+        if self.nothing or not self.query.native:
+            return self._scored(df)
+        return self._predicates(df).filter(self._any())
+
+    def _any(self) -> Column:
+        return reduce(lambda a, b: a | b, (match.matches(F.col(f"_n_{k}"), self.query) for k in self.places))
 
     def _scored(self, df: DataFrame) -> DataFrame:
         if self.nothing:
@@ -118,7 +149,7 @@ class Search:
         df = self._predicates(df)
         fields = self.schema.fields
         if self.places:
-            df = df.filter(reduce(lambda a, b: a | b, (match.matches(F.col(f"_n_{k}"), self.query) for k in self.places)))
+            df = df.filter(self._any())
         if self.places:
             df = once(df, {f"_s_{k}": match.weighted(match.hit(F.col(f"_n_{k}"), self.query)["score"], fields[k].weight) for k in self.places})
         hits = [(fields[k].name, fields[k].weight, F.col(f"_s_{k}")) for k in self.places] or [(fields[0].name, 1.0, F.lit(None).cast("int"))]
@@ -176,7 +207,7 @@ class Search:
     @cached_property
     def counts(self) -> dict[str, int]:
         """total_matches (documents that match under all filters)."""
-        return {"total_matches": 0 if self.nothing else self.matched.select("id").count()}
+        return {"total_matches": 0 if self.nothing else self._hits(self._source(self.expression)).select("id").count()}
 
     @cached_property
     def filter_is_empty(self) -> bool:
@@ -189,7 +220,7 @@ class Search:
         spark = self.prepared.sparkSession
         if self.nothing or self.facet_specs and self.filter_is_empty:
             return {f.name: facet_ops.empty(spark, f, self.schema.filters[f.field].kind) for f in self.facet_specs}
-        return {f.name: facet_ops.facet(self.scored, f, self.expression, self.schema.filters) for f in self.facet_specs}
+        return {f.name: facet_ops.facet(self._hits(self._source(None if self.expression is None else without_field(self.expression, f.field))), f, None, self.schema.filters) for f in self.facet_specs}
 
     @cached_property
     def suggestions(self) -> DataFrame | None:
@@ -259,7 +290,9 @@ class Search:
         if self.nothing:
             total, facets = 0, None
         else:
-            total, facets = facet_ops.tallies(self.scored if self.facet_specs else self.matched, self.facet_specs, self.expression if self.facet_specs else None, self.schema.filters)
+            # conditions that all counts keep go down to the scan, the rest is tested for each
+            shared = self.shared_filter
+            total, facets = facet_ops.tallies(self._hits(self._source(shared)), self.facet_specs, self.expression if shared != self.expression else None, self.schema.filters)
             if total:
                 self.__dict__["filter_is_empty"] = False
         if facets is None or not total and self.facet_specs and self.filter_is_empty:

@@ -3,6 +3,9 @@
 <root>/<name>/ holds folders that are one writer's alone (docs, a whole version; or rows and ids, the rows that a batch wrote and the ids that it touched), and
 manifest/<n>.json, which names the base and the deltas of version n. A manifest is renamed into place and never over another: of two writers one
 gets the number and the other goes on to the next. The greatest manifest counts, so a reader never sees half a version. Everything goes through Spark's own file systems.
+
+A base of records is described file by file (segments): searches of a restored index open only files that can hold a match, and checksums are kept a file.
+Restoring reads the manifest and the list of files; what a page holds is checked against its checksum when a search reads it.
 """
 
 from __future__ import annotations
@@ -10,15 +13,18 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zlib
 from typing import TYPE_CHECKING, Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.errors import IncompatibleHookError, IncompatibleIndexError, ProfileMismatchError
 from siftwell.functions.checksum import table_sum
 from siftwell.plans.schema import IndexSchema, hook_id
+from siftwell.sources import segments
 from siftwell.streaming.mutate import COMPACT, Version, last_of
 
 if TYPE_CHECKING:
@@ -52,12 +58,16 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(older + [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()])
 
 
+def _own_sum(manifest: dict) -> int:
+    return zlib.crc32(json.dumps({k: v for k, v in manifest.items() if k != "crc32"}, sort_keys=True).encode())
+
+
 def _publish(spark: SparkSession, root: str, name: str, manifest: dict) -> bool:
     """Puts a manifest in place by renaming, which fails if another writer has taken its number."""
     fs, at = _path(spark, root)[1], f"{root}/{name}/manifest"
     part, target = (_path(spark, f"{at}/{x}")[0] for x in (f".{uuid.uuid4().hex}.part", f"{manifest['version']}.json"))
     out = fs.create(part, True)
-    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.write(bytearray(json.dumps({**manifest, "crc32": _own_sum(manifest)}, sort_keys=True).encode()))
     out.close()
     try:
         done = not fs.exists(target) and bool(fs.rename(part, target))
@@ -71,20 +81,35 @@ def _publish(spark: SparkSession, root: str, name: str, manifest: dict) -> bool:
 
 
 def _written(df: DataFrame, folder: str) -> dict[str, Any]:
-    """Writes a table; what its manifest says of it."""
+    """Writes a small table, with a checksum a page; what its manifest says of it."""
+    at, _, table = folder.rpartition("/")
     df.write.mode("overwrite").parquet(folder)
     n, crc = table_sum(df.sparkSession.read.schema(df.schema).parquet(folder))
-    return {"rows": n, "crc32_sum": crc}
+    files, size = segments.sized(df.sparkSession, at, table)
+    return {"rows": n, "crc32_sum": crc, "files": files, "bytes": size, "columns": df.schema.json()}
+
+
+def _described(df: DataFrame, folder: str, schema: IndexSchema) -> dict[str, Any]:
+    """Writes folder/docs and the descriptions of its files; what its manifest says of it."""
+    df.write.mode("overwrite").parquet(f"{folder}/docs")
+    return {**segments.describe(df.sparkSession, folder, df, schema), "columns": df.schema.json(), "described": True}
 
 
-def save(index: DocumentIndex, root: str, name: str, decoupled: bool = False, **more: Any) -> int:
-    """Writes a whole new version and returns its number. decoupled: the records stay out, only ids and versions are kept."""
+def save(index: DocumentIndex, root: str, name: str, decoupled: bool = False, files: int | None = None, cluster: list[str] | None = None, **more: Any) -> int:
+    """Writes a whole new version and returns its number.
+
+    decoupled: the records stay out, only ids and versions are kept. cluster: filter fields along whose Z curve the records are laid, so that filters on them open few files;
+    files: into how many (as Spark deals them if None).
+    """
     spark = index.docs.sparkSession
     n, folder = max(versions(spark, root, _checked(name)), default=0) + 1, _folder()
     docs = index.docs.withColumnRenamed(index.version.version, _VERSION) if index.version.version == _VERSION else index.records().withColumn(_VERSION, F.lit(0))
-    kept = docs.select(index.schema.id, _VERSION) if decoupled else docs
-    about = _written(kept, f"{root}/{name}/{folder}/docs")
-    said = {"format": FORMAT, "version": n, "base": folder, "documents": about["rows"], "about": about, "deltas": [], "decoupled": decoupled, "epoch": index.epoch, "schema": index.schema.manifest(), **more}
+    if decoupled:
+        about = _written(docs.select(index.schema.id, _VERSION), f"{root}/{name}/{folder}/docs")
+    else:
+        docs = segments.clustered(docs, index.schema, cluster, files) if cluster else docs.repartition(files) if files else docs
+        about = _described(docs, f"{root}/{name}/{folder}", index.schema)
+    said = {"format": FORMAT, "version": n, "base": folder, "documents": about["rows"], "about": about, "deltas": [], "decoupled": decoupled, "epoch": index.epoch, "schema": index.schema.manifest(), "cluster": cluster or [], **more}
     while not _publish(spark, root, name, said):
         said["version"] += 1
     return said["version"]
@@ -124,11 +149,24 @@ def _append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed:
     deltas = [*said["deltas"], {"folder": own, "epoch": epoch, "about": about, "touched": touched}]
     after = {**said, "version": n, "deltas": deltas, "epoch": epoch, "documents": None, **more}
     if sum(d["touched"]["rows"] for d in deltas) >= COMPACT * max(1, said["about"]["rows"]):
-        about = _written(_read(spark, root, name, after, schema.id).docs(), f"{folder}/docs")
+        whole, cluster = _read(spark, root, name, after, schema.id).docs(), said.get("cluster")
+        about = _described(segments.clustered(whole, schema, cluster, None) if cluster else whole, folder, schema)
         after |= {"base": own, "deltas": [], "documents": about["rows"], "about": about}
     return n if _publish(spark, root, name, after) else None
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file's text, read by the driver; of a folder (an older manifest), its one part."""
+    p, fs = _path(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return spark.read.text(path, wholetext=True).first()[0]
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def manifest(spark: SparkSession, root: str, name: str, version: int | None = None) -> dict:
     known = versions(spark, root, name)
     if not known or version is not None and version not in known:
@@ -139,7 +177,7 @@ def manifest(spark: SparkSession, root: str, name: str, version: int | None = No
     if (size := fs.getContentSummary(_path(spark, path)[0]).getLength()) > MAX_MANIFEST:
         raise IncompatibleIndexError(f"a manifest of at most {MAX_MANIFEST} bytes", size)
     try:
-        out = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        out = json.loads(_text(spark, path))
     except (ValueError, TypeError) as e:
         raise IncompatibleIndexError("a manifest", "no JSON") from e
     if isinstance(out, dict) and out.get("format") == OLDER:
@@ -159,7 +197,7 @@ def sane(said: Any) -> dict:
         return isinstance(x, str) and re.fullmatch("v-[0-9a-f]+", x) is not None
 
     def about(x: Any) -> bool:
-        return isinstance(x, dict) and count(x.get("rows")) and isinstance(x.get("crc32_sum"), int | None)
+        return isinstance(x, dict) and count(x.get("rows")) and isinstance(x.get("crc32_sum"), int | None) and all(x.get(k) is None or count(x[k]) for k in ("files", "bytes")) and isinstance(x.get("columns"), str | None)
 
     deltas, schema = said.get("deltas"), said.get("schema")
     tests = {
@@ -171,32 +209,45 @@ def sane(said: Any) -> dict:
         "decoupled": isinstance(said.get("decoupled"), bool),
         "schema": isinstance(schema, dict) and all(isinstance(schema.get(k), list) and len(schema[k]) <= MAX_FIELDS for k in ("fields", "filter_fields")),
     }
+    if said.get("crc32") is not None:
+        tests["crc32"] = said["crc32"] == _own_sum(said)
     if bad := [k for k, ok in tests.items() if not ok]:
         raise IncompatibleIndexError("a sound manifest", f"unsound {', '.join(bad)}")
     return said
 
 
-def _table(spark: SparkSession, folder: str, about: dict, verify: bool) -> DataFrame:
-    df = spark.read.parquet(folder)
-    if verify:
+def _table(spark: SparkSession, folder: str, about: dict, verify: bool | str) -> DataFrame:
+    """A stored table whose pages are held against their checksums as they are read. verify: see load()."""
+    at, _, table = folder.rpartition("/")
+    reader = spark.read.option("parquet.page.verify-checksum.enabled", "true")
+    known = reader.schema(T.StructType.fromJson(json.loads(about["columns"]))) if about.get("columns") else reader
+    df = known.parquet(folder)
+    if verify and about.get("files") is not None and (listed := segments.sized(spark, at, table)) != (about["files"], about["bytes"]):
+        raise IncompatibleIndexError(f"{about['files']} files of {about['bytes']} bytes in {folder}", listed)
+    if verify == "rows" and about.get("described"):
+        if bad := segments.damaged(spark, at, df):
+            raise IncompatibleIndexError(f"the rows of {folder} as they were written", f"other rows in {', '.join(bad)}")
+    elif verify and (verify == "rows" or about.get("files") is None):
         rows, crc = table_sum(df)
         if rows != about["rows"] or about["crc32_sum"] not in (None, crc):
             raise IncompatibleIndexError(f"{about['rows']} rows of checksum {about['crc32_sum']} in {folder}", (rows, crc))
     return df
 
 
-def _read(spark: SparkSession, root: str, name: str, said: dict, key: str, verify: bool = False) -> Version:
-    at = f"{root}/{name}/"
-    base = _table(spark, f"{at}{said['base']}/docs", said["about"], verify)
+def _read(spark: SparkSession, root: str, name: str, said: dict, key: str, verify: bool | str = False) -> Version:
+    at, about = f"{root}/{name}/", said["about"]
+    base = _table(spark, f"{at}{said['base']}/docs", about, verify)
     rows = tuple(_table(spark, f"{at}{d['folder']}/rows", d["about"], verify) for d in said["deltas"])
     touched = tuple(_table(spark, f"{at}{d['folder']}/ids", d["touched"], verify) for d in said["deltas"])
-    return Version(base, key, _VERSION, rows, touched, sum(d["touched"]["rows"] for d in said["deltas"]), said["about"]["rows"] + sum(d["about"]["rows"] for d in said["deltas"]))
+    segment = segments.Segment(f"{at}{said['base']}", about["files"]) if about.get("described") else None
+    return Version(base, key, _VERSION, rows, touched, sum(d["touched"]["rows"] for d in said["deltas"]), about["rows"] + sum(d["about"]["rows"] for d in said["deltas"]), segment)
 
 
-def load(spark: SparkSession, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None, verify: bool = True) -> DocumentIndex:
+def load(spark: SparkSession, root: str, name: str, schema: IndexSchema, version: int | None = None, docs: DataFrame | None = None, verify: bool | str = True) -> DocumentIndex:
     """The saved index under the given schema, which must say what the manifest says; getters and hooks come from it.
 
-    docs: the records of a decoupled snapshot; their ids must be the saved ones. verify: hold every table against its checksum, one pass of each.
+    docs: the records of a decoupled snapshot; their ids must be the saved ones. verify: hold the lists of files against the manifest, which reads no table (those of
+    versions without such lists are read whole); "rows": read every table and hold each file against its checksum, naming those that differ.
     """
     from siftwell.index import DocumentIndex
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ class Version:
     touched: tuple[DataFrame, ...] = ()
     dead: int = 0
     stored: int | None = field(default=None, compare=False)
+    #: What is known of the files of base (Segment), if it is a stored table.
+    segment: Any = field(default=None, compare=False)
 
     def docs(self) -> DataFrame:
         """The live rows."""
