@@ -9,10 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions import windows
 from siftwell.functions.tokenizers import DELIMITERS, split_terms
 from siftwell.functions.typo import PENALTY, best_window
 from siftwell.plans.options import PrefixMatch, TokenMatch, Typo
@@ -176,13 +178,25 @@ def _exact(text: str, term: str):
 
 
 def _typo_hit(norm: Column, q: Query) -> Column:
-    """A new UDF for each query: it carries the query itself."""
+    """A new UDF for each query: it carries the query itself. All rows of a batch are matched in step; terms beyond the automaton's words, one by one."""
+    terms = q.terms if q.mode == "token" else (q.prefix.head(q.text) if q.mode == "prefix" else q.text,)
+    short = all(len(t) <= windows.WORD for t in terms)
 
     @F.pandas_udf("score int, start int, length int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [None if t is None else place(t, q) for t in texts]
-        flat = [(r[0], min(a for a, _ in r[1]), max(a + b for a, b in r[1]) - min(a for a, _ in r[1])) if r else (None, None, None) for r in rows]
-        return pd.DataFrame(flat, columns=["score", "start", "length"]).astype("Int32")
+        some = texts[texts.notna()]
+        out = pd.DataFrame({c: pd.array([None] * len(texts), "Int32") for c in ("score", "start", "length")})
+        if short:
+            found, *cols = windows.scores(some.tolist(), q)
+            at = np.flatnonzero(texts.notna())[found]
+            for name, col in zip(out.columns, cols, strict=True):
+                out.loc[at, name] = col[found]
+        else:
+            for i, r in ((i, place(t, q)) for i, t in zip(np.flatnonzero(texts.notna()), some, strict=True)):
+                if r:
+                    first = min(a for a, _ in r[1])
+                    out.loc[i] = [r[0], first, max(a + b for a, b in r[1]) - first]
+        return out
 
     hit = run(F.when(matches(norm, q), norm))
     return F.when(hit["score"].isNotNull(), hit)
