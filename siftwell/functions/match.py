@@ -259,6 +259,20 @@ def hit(norm: Column, q: Query) -> Column:
     return token_hit(norm, q.terms, q.token)
 
 
+def most(length: Column, q: Query) -> Column:
+    """What no score of a text of that length (or a longer one) can be above."""
+    n = len(q.text)
+    if q.mode == "fuzzy":  # every character in one run, each behind a sign, the first at the start
+        top, own = 100 + 15 * n + 5 * n * (n - 1) + 30 * n + 10, n
+    elif q.mode == "token":
+        top, own = 1000 * len(q.terms), sum(map(len, q.terms))
+    elif q.mode == "prefix":
+        top, own = 1040, len(q.prefix.head(q.text))
+    else:
+        top, own = 1000, n
+    return F.lit(top + own) - length
+
+
 def weighted(score: Column, weight: float) -> Column:
     """Half up, also below zero."""
     return F.floor(score * F.lit(float(weight)) + 0.5).cast("int")

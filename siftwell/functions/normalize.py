@@ -55,6 +55,16 @@ def normalized(text: Column, folded: bool = True) -> Column:
     return F.when(plain, ascii_normalized(text, folded)).otherwise(_udf(folded)(F.when(~plain, text)))
 
 
+#: Characters that composition makes one of, at most.
+COMPOSED = 4
+
+
+def shortest(text: Column) -> Column:
+    """A length that the normalized form of a text is not below, without making it: of the trimmed text the part that composition could leave. Null: 0."""
+    size = F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(TRIMMED)))
+    return F.ceil(size / COMPOSED).cast("int")
+
+
 def ascii_text(text: Column) -> Column:
     """ascii_bytes of a column, as text; null stays null. ASCII rows stay in the JVM."""
 

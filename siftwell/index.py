@@ -53,6 +53,16 @@ class DocumentIndex:
         names = now.segment.chosen(spark, self.schema, query, places, expression)
         return self.prepared if names is None else self._prepared(replace(now, base=now.segment.read(now.base, names)).docs())
 
+    def sampled(self, share: float) -> DataFrame:
+        """About a share of the prepared documents: of stored files if there are enough, else of rows before they are normalized."""
+        now = self.version
+        if self._kept:
+            return self.prepared.sample(share, 1)
+        if now.segment is not None and now.segment.files * share >= 2:
+            names = sorted(f.rsplit("/", 1)[1] for f in now.base.inputFiles())
+            return self._prepared(replace(now, base=now.segment.read(now.base, names[:: int(1 / share)])).docs())
+        return self._prepared(self.docs.sample(share, 1))
+
     @classmethod
     def create(cls, docs: DataFrame, fields: list[SearchField | str], id: str = "id", filter_fields: list[FilterField] | tuple = (), case_sensitive: bool = False, hooks: Mapping[str, Callable] | None = None, validate: bool = True, **more: Any) -> DocumentIndex:
         """validate: look for repeated ids, one shuffle of the ids."""
@@ -73,7 +83,7 @@ class DocumentIndex:
 
     def plan(self, query: str, **options: Any) -> Search:
         """A validated search, not yet run: its results, matched, facets and suggestions are lazy DataFrames."""
-        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed)
+        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed, self.sampled)
 
     def search(self, query: str, **options: Any) -> Response:
         return self.plan(query, **options).collect()

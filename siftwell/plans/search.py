@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftwell.errors import CostBudgetExceededError, IncompatibleHookError, QueryTooLongError, SearchAbortedError
 from siftwell.functions import match
 from siftwell.functions.highlight import align_highlights, render_highlighted
-from siftwell.functions.normalize import normalize_text
+from siftwell.functions.normalize import normalize_text, shortest
 from siftwell.operators import facets as facet_ops
 from siftwell.operators import rank
 from siftwell.operators.filters import compile_filter, implied, without_field
@@ -31,6 +31,8 @@ from siftwell.plans.schema import IndexSchema, once
 
 #: From so many documents and up to so many characters a query is called broad if it matches more than this share.
 BROAD_DOCS, BROAD_TOKENS, BROAD_SHARE = 5000, 2, 0.8
+#: Share of the documents that a first page is made of, and the size of a table (by Spark's estimate) from which that is done.
+SAMPLE, BOUND_BYTES = 0.01, 1 << 28
 
 
 def query_text(text: str, schema: IndexSchema, long_query: str = "error") -> str:
@@ -64,6 +66,8 @@ class Search:
     options: SearchOptions
     #: Gives, for the query, fields and a filter expression (or None), prepared documents that hold all that match: those of the stored files in question.
     narrowed: Callable[[match.Query, list[int], Any], DataFrame] | None = None
+    #: Gives about a share of the prepared documents.
+    sampled: Callable[[float], DataFrame] | None = None
     started: float = field(default_factory=time.monotonic)
     aborted: threading.Event = field(default_factory=threading.Event)
 
@@ -129,6 +133,28 @@ class Search:
         """Matches under the attribute filter, which stands before scoring."""
         return self.scored if self.condition is None else self._scored(self._source(self.expression))
 
+    @cached_property
+    def best_matched(self) -> DataFrame:
+        """Of matched, the rows that can come on the page.
+
+        No score is above a bound that follows from a text's length. A page is made of a sample of the documents first; what scores less than its last row comes on no page of all, so
+        texts too long for that are left out by their lengths: as they are stored, before they are normalized, and then as normalized, before they are tested or scored. Where scores
+        are not what comes first, or the table is too small to be worth the sample (BOUND_BYTES), all matches are ranked: the page is the same.
+        """
+        o = self.options
+        source = self._source(self.expression)
+        if self.nothing or self.sampled is None or not o.tie_breakers or o.tie_breakers[0] != "score" or source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < BOUND_BYTES:
+            return self.matched
+        some = self.sampled(SAMPLE) if self.condition is None else self.sampled(SAMPLE).filter(self.condition)
+        found = self._scored(some).select("score").orderBy(F.col("score").desc()).limit(o.limit)
+        least = F.coalesce(found.agg(F.when(F.count("*") >= o.limit, F.min("score")).alias("least")).scalar(), F.lit(-(2**31)))
+
+        def reach(size: Callable[[int], Column]) -> Column:
+            bounds = [match.weighted(match.most(size(k), self.query), self.schema.fields[k].weight) for k in self.places]
+            return (F.greatest(*bounds) if len(bounds) > 1 else bounds[0]) >= least
+
+        return self._scored(source.filter(reach(lambda k: shortest(F.col(f"_r_{k}")))).filter(reach(lambda k: F.length(f"_n_{k}"))))
+
     @property
     def shared_filter(self) -> Any:
         """What the total and every facet keep of the filter: the expression without the conditions that some facet leaves out."""
@@ -165,7 +191,7 @@ class Search:
     def results(self) -> DataFrame:
         """The page: rank, id, doc, score, matched_field, matches, highlights (and highlighted_text under a tag)."""
         keys = rank.order(tuple(self.options.tie_breakers), self.prepared.schema["id"].dataType)
-        page = rank.top(self.matched, keys, self.options.limit)
+        page = rank.top(self.best_matched, keys, self.options.limit)
         if self.options.highlight:
             page = self._highlighted(page)
         if "scoring_hook" in self.hooks:
