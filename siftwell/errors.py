@@ -61,5 +61,13 @@ class DocumentNotFoundError(SearchError):
         self.id = doc_id
 
 
+class ConflictError(SearchError):
+    """A batch was made upon a version since which others have touched one of its ids, or have saved the whole."""
+
+    def __init__(self, since: int, now: int, doc_id: object):
+        super().__init__(f"a batch made upon version {since} cannot follow version {now}" + ("" if doc_id is None else f": the document {doc_id!r} has changed"))
+        self.since, self.now, self.id = since, now, doc_id
+
+
 class SearchAbortedError(SearchError):
     """A newer search, or the caller, has stopped this one."""

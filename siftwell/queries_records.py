@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.errors import SearchError
+from siftwell.errors import ConflictError, SearchError
 from siftwell.functions.normalize import ascii_text
 from siftwell.functions.typo import osa
 from siftwell.index import DocumentIndex
@@ -18,7 +18,7 @@ from siftwell.operators.filters import FilterField
 from siftwell.operators.rank import mixed_id
 from siftwell.plans.options import Budget, PrefixMatch, Typo
 from siftwell.plans.schema import SearchField
-from siftwell.queries import DOC, HAS_THE, PART_FIELDS, add, doc_page, documents, fuzzy_page, lit, multifield, norm, page, part_page, parts, ranked, ranges_sql, read, sql_fuzzy, sql_prefix, sql_substring, terms_sql
+from siftwell.queries import DOC, HAS_THE, PART_FIELDS, add, doc_page, documents, fuzzy_page, lit, multifield, norm, page, part_page, parts, ranked, ranges_sql, read, sql_fuzzy, sql_prefix, sql_substring, sql_token, terms_sql
 from siftwell.sources import shared, snapshot
 from siftwell.streaming.ingest import ingest
 
@@ -227,6 +227,52 @@ def _decoupled(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("snapshot_decoupled", _decoupled, ranked("customer", sql_substring(norm("c_name"), "0001"), norm("c_name"), "c_custkey", "0001"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rare substring over a snapshot of many files, of which only those whose trigrams allow it are opened; the page is kept, the snapshot goes."""
+    root, name = _place(spark)
+    index = documents(spark, sf_dir)
+    index.save(root, name, files=120)
+    back = DocumentIndex.restore(spark, root, name, index.schema)
+    out = shared.kept(page(back.plan("license", mode="substring", highlight=False)), "page")
+    snapshot.delete(spark, root, name)
+    return out
+
+
+add("snapshot_rare_substring", _segments, ranked("documents", sql_substring(DOC, "license"), DOC, "doc_id", "license"))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on two attributes over a snapshot laid along their Z curve: files whose bounds exclude them stay closed."""
+    root, name = _place(spark)
+    index = parts(spark, sf_dir)
+    index.save(root, name, files=32, cluster=["p_size", "p_retailprice"])
+    back = DocumentIndex.restore(spark, root, name, index.schema)
+    found = back.plan("e", mode="substring", filter={"p_size": {"gte": 10, "lt": 14}, "p_retailprice": {"gt": 904, "lte": 940}}, highlight=False, limit=200, fields=["p_name"])
+    out = shared.kept(page(found), "page")
+    snapshot.delete(spark, root, name)
+    return out
+
+
+add("snapshot_clustered_filter", _clustered, ranked("part", sql_substring(norm("p_name"), "e"), norm("p_name"), "p_partkey", "e", 200, "p_size >= 10 AND p_size < 14 AND p_retailprice > 904 AND p_retailprice <= 940", 2.0))
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches made upon one version: of disjoint ids both land, the second upon the first; a third that touches an id of the first is refused."""
+    root, name = _place(spark)
+    index, c = customers(spark, sf_dir), read(spark, sf_dir, "customer")
+    since = index.save(root, name)
+    snapshot.append(c.filter("c_custkey % 30 = 1").withColumn("c_acctbal", F.lit(1.0)), root, name, index.schema, since=since)
+    snapshot.append(c.filter("c_custkey % 30 = 2").withColumn("c_acctbal", F.lit(2.0)), root, name, index.schema, since=since)
+    try:
+        snapshot.append(c.filter("c_custkey % 30 in (1, 3)").withColumn("c_acctbal", F.lit(3.0)), root, name, index.schema, since=since)
+    except ConflictError:
+        pass
+    return DocumentIndex.restore(spark, root, name, index.schema).records()
+
+
+add("snapshot_conflicts", _committed, "SELECT * REPLACE (CASE c_custkey % 30 WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 ELSE c_acctbal END AS c_acctbal) FROM customer")
+
+
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the manifest of a snapshot says, and the names of snapshots after one of two is deleted."""
     root, name = _place(spark)
@@ -309,3 +355,5 @@ _REFUSED = {
 }
 add("refusals", _refusals, "SELECT * FROM (VALUES " + ", ".join(f"({lit(w)}, '{e}')" for e, what in _REFUSED.items() for w in what) + ") AS t(what, error)")
 add("long_query_scanned", lambda s, d: doc_page(s, d, "x" * 200, mode="substring", long_query="scan"), ranked("documents", sql_substring(DOC, "x" * 200), DOC, "doc_id", "x" * 200))
+_MANY = ["thing", "that", "tion"] * 9
+add("long_query_matches", lambda s, d: doc_page(s, d, " ".join(_MANY), mode="token", long_query="scan"), ranked("documents", sql_token(DOC, _MANY, len(_MANY)), DOC, "doc_id", " ".join(_MANY)))

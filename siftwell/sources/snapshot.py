@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.errors import IncompatibleHookError, IncompatibleIndexError, ProfileMismatchError
+from siftwell.errors import ConflictError, IncompatibleHookError, IncompatibleIndexError, ProfileMismatchError
 from siftwell.functions.checksum import table_sum
 from siftwell.plans.schema import IndexSchema, hook_id
 from siftwell.sources import segments
@@ -119,19 +119,49 @@ def _folder() -> str:
     return f"v-{uuid.uuid4().hex}"
 
 
-def append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None = None, **more: Any) -> int:
+def append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None = None, since: int | None = None, **more: Any) -> int:
     """A new version in which rows (repeated ids: the last, see last_of) replace or join the saved ones and removed ids go. Costs what the batch is: the base stays unread.
 
-    When the rows of all deltas reach COMPACT of the base's, the version is written whole instead.
+    When the rows of all deltas reach COMPACT of the base's, the version is written whole instead. Writers need no lock: whoever comes second goes on upon what the first has
+    written. since: the version that the batch was made upon; if a later one touches any of its ids, or was saved whole, it is refused (ConflictError).
     """
-    while (n := _append(rows, root, name, schema, removed, more)) is None:
+    while (n := _append(rows, root, name, schema, removed, since, more)) is None:
         pass  # another writer was first: again, upon what it wrote
     return n
 
 
-def _append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None, more: dict) -> int | None:
+def touched_since(spark: SparkSession, root: str, name: str, since: int, last: int, schema: IndexSchema) -> DataFrame | None:
+    """The ids that versions after since, up to last, have touched; None if one of them was saved whole."""
+    before, out = manifest(spark, root, name, since), None
+    known = {before["base"], *(d["folder"] for d in before["deltas"])}
+    for v in (v for v in versions(spark, root, name) if since < v <= last):
+        said = manifest(spark, root, name, v)
+        for folder in [d["folder"] for d in said["deltas"]] or [said["base"]]:
+            if folder not in known:
+                known.add(folder)
+                path, fs = _path(spark, f"{root}/{name}/{folder}/ids")
+                if not fs.exists(path):
+                    return None
+                ids = spark.read.parquet(f"{root}/{name}/{folder}/ids").select(schema.id)
+                out = ids if out is None else out.union(ids)
+    return spark.read.parquet(f"{root}/{name}/{before['base']}/docs").select(schema.id).filter(F.lit(False)) if out is None else out
+
+
+def _unchanged(rows: DataFrame, removed: DataFrame | None, root: str, name: str, schema: IndexSchema, since: int, last: int) -> None:
+    """Refuses a batch some of whose ids were touched after since. Batches' ids meet, no records."""
+    own = rows.select(schema.id) if removed is None else rows.select(schema.id).union(removed.toDF(schema.id))
+    touched = touched_since(rows.sparkSession, root, name, since, last, schema)
+    if touched is None:
+        raise ConflictError(since, last, None)
+    if (met := own.join(touched, schema.id, "left_semi").first()) is not None:
+        raise ConflictError(since, last, met[0])
+
+
+def _append(rows: DataFrame, root: str, name: str, schema: IndexSchema, removed: DataFrame | None, since: int | None, more: dict) -> int | None:
     spark = rows.sparkSession
     said = manifest(spark, root, name)
+    if since is not None and said["version"] > since:
+        _unchanged(rows, removed, root, name, schema, since, said["version"])
     _same(said["schema"], schema)
     if said["decoupled"]:
         raise IncompatibleIndexError("a snapshot with its records", "a decoupled one")

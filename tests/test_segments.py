@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftwell.errors import IncompatibleIndexError
+from siftwell.errors import ConflictError, IncompatibleIndexError
 from siftwell.functions.match import place, query_of
 from siftwell.index import DocumentIndex
 from siftwell.operators.filters import FilterField, compile_bounds, compile_filter
@@ -213,3 +213,28 @@ def test_restoring_starts_no_job(spark, index, stored):
         assert not seen.getJobIdsForGroup("restore")
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_batch_upon_an_old_version_lands_or_is_refused(spark, index, tmp_path):
+    root = str(tmp_path)
+
+    def batch(*ids):
+        return index.docs.filter(F.col("id").isin(*ids)).drop(index.version.version).withColumn("title", F.lit("changed"))
+
+    since = index.save(root, "one")
+    snapshot.append(batch(1, 2), root, "one", index.schema, since=since)
+    snapshot.append(batch(3), root, "one", index.schema, removed=spark.createDataFrame([(4,)], "id bigint"), since=since)
+    for late, gone in ((batch(2, 9), None), (batch(9), spark.createDataFrame([(4,)], "id bigint")), (batch(4), None)):
+        with pytest.raises(ConflictError) as e:
+            snapshot.append(late, root, "one", index.schema, removed=gone, since=since)
+        assert e.value.id in (2, 4) and e.value.now == 3
+    snapshot.append(batch(*range(10, 400)), root, "one", index.schema, since=3)  # so large that the whole is written anew
+    assert not snapshot.manifest(spark, root, "one")["deltas"]
+    snapshot.append(batch(5), root, "one", index.schema, since=3)
+    with pytest.raises(ConflictError):
+        snapshot.append(batch(200), root, "one", index.schema, since=3)
+    index.save(root, "one")
+    with pytest.raises(ConflictError):
+        snapshot.append(batch(6), root, "one", index.schema, since=3)
+    live = DocumentIndex.restore(spark, root, "one", index.schema, version=5).records()
+    assert {r.id for r in live.filter("title = 'changed'").collect()} == {1, 2, 3, 5, *range(10, 400)} and live.count() == 1199
