@@ -5,6 +5,7 @@ Rows of ASCII, western letters and common signs stay in the JVM (trim and lower
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -21,9 +22,13 @@ _ASCII = r"^[\x00-\x7F]*\z"
 _NATIVE = r"^[\x00-\x7F\u00A1-\u00AC\u00AE-\u00B4\u00B6-\u012F\u0131-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201E\u2026\u20AC]*\z"
 
 
+_NEWER = re.compile("[" + "".join(map(chr, NEWER_FOLDS)) + "]")
+
+
 def fold(text: str) -> str:
     """Full, locale-free case folding."""
-    return text.translate(NEWER_FOLDS).casefold()
+    # a translation looks at every character in turn; few texts hold any of those
+    return (text.translate(NEWER_FOLDS) if _NEWER.search(text) else text).casefold()
 
 
 def normalize_text(text: str, folded: bool = True) -> str:
@@ -38,11 +43,25 @@ def normalize_text(text: str, folded: bool = True) -> str:
 def _udf(folded: bool):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else normalize_text(t, folded))
+        there = texts.notna()
+        out = pd.Series([None] * len(texts), dtype=object)
+        out[there] = normalize_texts(texts[there].tolist(), folded)
+        return out
 
     return run
 
 
+def normalize_texts(texts: list[str], folded: bool = True) -> list[str]:
+    """normalize_text of each, in one string: NUL between them neither composes nor folds. Texts that hold it go alone."""
+    bare = [t.strip(TRIMMED) for t in texts]
+    alone = {i for i, t in enumerate(bare) if "\0" in t}
+    whole = unicodedata.normalize("NFC", "\0".join("" if i in alone else t for i, t in enumerate(bare)))
+    out = (unicodedata.normalize("NFC", fold(whole)) if folded else whole).split("\0")
+    for i in alone:
+        out[i] = normalize_text(bare[i], folded)
+    return out if texts else []
+
+
 def ascii_normalized(text: Column, folded: bool = True) -> Column:
     """normalize_text for columns known to be ASCII (or of the characters of _NATIVE): JVM only."""
     bare = F.btrim(text, F.lit("\t\n\x0b\f\r "))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftwell.errors import DuplicateIdError
 from siftwell.functions.match import Query
 from siftwell.operators.filters import FilterField
-from siftwell.operators.suggest import suggestions
+from siftwell.operators.suggest import suggested, suggestions
 from siftwell.plans.options import Autocomplete, SearchOptions
 from siftwell.plans.schema import IndexSchema, SearchField
 from siftwell.plans.search import Response, Search, query_text
@@ -53,6 +53,11 @@ class DocumentIndex:
         names = now.segment.chosen(spark, self.schema, query, places, expression)
         return self.prepared if names is None else self._prepared(replace(now, base=now.segment.read(now.base, names)).docs())
 
+    def known_documents(self) -> int | None:
+        """The number of documents that the manifest of a restored index gives, until a batch changes it."""
+        now = self.version
+        return now.stored if now.segment is not None and not now.rows and not now.touched else None
+
     def sampled(self, share: float) -> DataFrame:
         """About a share of the prepared documents: of stored files if there are enough, else of rows before they are normalized."""
         now = self.version
@@ -83,7 +88,7 @@ class DocumentIndex:
 
     def plan(self, query: str, **options: Any) -> Search:
         """A validated search, not yet run: its results, matched, facets and suggestions are lazy DataFrames."""
-        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed, self.sampled)
+        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed, self.sampled, self.known_documents())
 
     def search(self, query: str, **options: Any) -> Response:
         return self.plan(query, **options).collect()
@@ -94,7 +99,9 @@ class DocumentIndex:
         if spec.field is not None:
             self.schema.places([spec.field])
         norm = query_text(query, self.schema)
-        source = self.prepared if norm else self.prepared.filter(F.lit(False))
+        places = self.schema.places(None if spec.field is None else [spec.field])
+        # of a stored index, the files that can hold a suggestion
+        source = self.narrowed(suggested(norm, spec), places, None) if norm else self.prepared.filter(F.lit(False))
         return suggestions(self.schema, source, query, norm, spec)
 
     def apply_batch(self, add: DataFrame | None = None, update: DataFrame | None = None, remove: DataFrame | list | None = None, upsert: bool = False) -> tuple[DocumentIndex, Outcome]:

@@ -13,13 +13,18 @@ from siftwell.plans.options import Autocomplete
 from siftwell.plans.schema import IndexSchema
 
 
+def suggested(norm: str, spec: Autocomplete) -> match.Query:
+    """The query that a suggestion matches."""
+    mode = "prefix" if spec.mode == "prefix" else "substring" if spec.fuzzy_distance else "fuzzy"
+    return match.query_of(mode, norm, spec.typo)
+
+
 def suggestions(schema: IndexSchema, prepared: DataFrame, text: str, norm: str, spec: Autocomplete, places: list[int] | None = None) -> DataFrame:
     """rank, text, score, type, matched_ranges, doc_id, doc of the best field rows.
 
     Each field is a projection of the same scan (an array of structs exploded inside the row); the ranges are found for the first rows alone.
     """
-    mode = "prefix" if spec.mode == "prefix" else "substring" if spec.fuzzy_distance else "fuzzy"
-    query = match.query_of(mode, norm, spec.typo)
+    query = suggested(norm, spec)
     chosen = schema.places([spec.field]) if spec.field is not None else places if places is not None else schema.places(None)
     rows = []
     for k in chosen:

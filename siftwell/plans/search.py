@@ -68,6 +68,8 @@ class Search:
     narrowed: Callable[[match.Query, list[int], Any], DataFrame] | None = None
     #: Gives about a share of the prepared documents.
     sampled: Callable[[float], DataFrame] | None = None
+    #: Their number, where it is known without counting.
+    documents: int | None = None
     started: float = field(default_factory=time.monotonic)
     aborted: threading.Event = field(default_factory=threading.Event)
 
@@ -272,7 +274,8 @@ class Search:
         if self.aborted.is_set():
             raise SearchAbortedError("aborted before it ran")
         if budget.max_candidates is not None:
-            n = self.prepared.select("id").count() * max(1, len(self.places))
+            documents = self.prepared.select("id").count() if self.documents is None else self.documents
+            n = documents * max(1, len(self.places))
             if n > budget.max_candidates:
                 raise CostBudgetExceededError("candidates", budget.max_candidates, n)
         if budget.max_execution_time_ms is not None:

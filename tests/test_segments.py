@@ -11,11 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftwell.errors import ConflictError, IncompatibleIndexError
+from siftwell.errors import ConflictError, CostBudgetExceededError, IncompatibleIndexError
 from siftwell.functions.match import place, query_of
 from siftwell.index import DocumentIndex
 from siftwell.operators.filters import FilterField, compile_bounds, compile_filter
-from siftwell.plans.options import PrefixMatch, TokenMatch, Typo
+from siftwell.plans.options import Budget, PrefixMatch, TokenMatch, Typo
 from siftwell.plans.schema import SearchField
 from siftwell.sources import segments, snapshot
 
@@ -238,3 +238,27 @@ def test_a_batch_upon_an_old_version_lands_or_is_refused(spark, index, tmp_path)
         snapshot.append(batch(6), root, "one", index.schema, since=3)
     live = DocumentIndex.restore(spark, root, "one", index.schema, version=5).records()
     assert {r.id for r in live.filter("title = 'changed'").collect()} == {1, 2, 3, 5, *range(10, 400)} and live.count() == 1199
+
+
+def test_a_suggestion_opens_few_files(spark, index, stored):
+    now = restored(spark, index, stored, "laid")
+    for options in ({}, {"mode": "fuzzy", "fuzzy_distance": 1}, {"field": "title"}):
+        got = now.autocomplete("zyxwv1qj", **options)
+        assert files_read(got) <= 6
+        assert sorted(map(str, got.drop("doc").collect())) == sorted(map(str, index.autocomplete("zyxwv1qj", **options).drop("doc").collect()))
+    assert files_read(now.autocomplete("zy")) == 60
+
+
+def test_a_budget_of_a_stored_index_needs_no_job(spark, index, stored):
+    now = restored(spark, index, stored, "laid")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("budget", "")
+    try:
+        with pytest.raises(CostBudgetExceededError) as e:
+            now.search("river", budget=Budget(max_candidates=2399))
+        assert e.value.actual == 2400 and not seen.getJobIdsForGroup("budget")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert now.search("river", budget=Budget(max_candidates=2400), limit=1).total_matches > 0
+    with pytest.raises(CostBudgetExceededError):
+        now.remove([1]).search("river", budget=Budget(max_candidates=5))

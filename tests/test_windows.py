@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from siftwell.functions import windows
 from siftwell.functions.match import place, query_of, token_starts
+from siftwell.functions.normalize import normalize_text, normalize_texts
 from siftwell.functions.typo import best_window, osa_distance
 from siftwell.plans.options import PrefixMatch, TokenMatch, Typo
 
@@ -59,3 +60,9 @@ def test_long_terms_and_texts():
     want = best_window(text[49_990:], term, 2, 1)
     assert (start[1], size[1], far[1]) == (want.start + 49_990, want.length, want.distance) == (50_000, 65, 2)
     assert start.tolist()[::2] == [-1, 0]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text("aÅß́İ\u0000Ɤ\U00010d50  ﬃ가Σς", max_size=12), max_size=6), st.booleans())
+def test_a_batch_is_normalized_as_each_text(texts, folded):
+    assert normalize_texts(texts, folded) == [normalize_text(t, folded) for t in texts]
