@@ -18,6 +18,7 @@ from siftwell.operators.suggest import suggested, suggestions
 from siftwell.plans.options import Autocomplete, SearchOptions
 from siftwell.plans.schema import IndexSchema, SearchField
 from siftwell.plans.search import Response, Search, query_text
+from siftwell.sources import prefixes
 from siftwell.streaming.mutate import Batch, Outcome, Version, apply_batch, compact
 
 
@@ -100,8 +101,12 @@ class DocumentIndex:
             self.schema.places([spec.field])
         norm = query_text(query, self.schema)
         places = self.schema.places(None if spec.field is None else [spec.field])
-        # of a stored index, the files that can hold a suggestion
-        source = self.narrowed(suggested(norm, spec), places, None) if norm else self.prepared.filter(F.lit(False))
+        if not norm:
+            source = self.prepared.filter(F.lit(False))
+        elif not self._kept and (few := prefixes.looked_up(self.docs.sparkSession, self.version, self.schema, norm, spec, places)) is not None:
+            source = self._prepared(few.docs())
+        else:  # of a stored index, the files that can hold a suggestion
+            source = self.narrowed(suggested(norm, spec), places, None)
         return suggestions(self.schema, source, query, norm, spec)
 
     def apply_batch(self, add: DataFrame | None = None, update: DataFrame | None = None, remove: DataFrame | list | None = None, upsert: bool = False) -> tuple[DocumentIndex, Outcome]:

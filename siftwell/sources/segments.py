@@ -117,6 +117,8 @@ class Segment:
 
     folder: str
     files: int
+    #: Has it the lists of short prefixes (see prefixes)?
+    prefixes: bool = False
 
     def chosen(self, spark: SparkSession, schema: IndexSchema, q: Query | None, places: list[int], expr: Any) -> list[str] | None:
         """Names of the files that may hold a match of q in the fields at places under a filter expression, by one small action; None: more than it is worth naming, or nothing to go by."""

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from siftwell.errors import ConflictError, IncompatibleHookError, IncompatibleIndexError, ProfileMismatchError
 from siftwell.functions.checksum import table_sum
 from siftwell.plans.schema import IndexSchema, hook_id
-from siftwell.sources import segments
+from siftwell.sources import prefixes, segments
 from siftwell.streaming.mutate import COMPACT, Version, last_of
 
 if TYPE_CHECKING:
@@ -92,7 +92,10 @@ def _written(df: DataFrame, folder: str) -> dict[str, Any]:
 def _described(df: DataFrame, folder: str, schema: IndexSchema) -> dict[str, Any]:
     """Writes folder/docs and the descriptions of its files; what its manifest says of it."""
     df.write.mode("overwrite").parquet(f"{folder}/docs")
-    return {**segments.describe(df.sparkSession, folder, df, schema), "columns": df.schema.json(), "described": True}
+    about = segments.describe(df.sparkSession, folder, df, schema)
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/docs")
+    prefixed = prefixes.describe(schema.prepare(rows.select("*", F.col("_metadata.file_name").alias("_file"))), folder, schema)
+    return {**about, "columns": df.schema.json(), "described": True, "prefixes": prefixed}
 
 
 def save(index: DocumentIndex, root: str, name: str, decoupled: bool = False, files: int | None = None, cluster: list[str] | None = None, **more: Any) -> int:
@@ -269,7 +272,7 @@ def _read(spark: SparkSession, root: str, name: str, said: dict, key: str, verif
     base = _table(spark, f"{at}{said['base']}/docs", about, verify)
     rows = tuple(_table(spark, f"{at}{d['folder']}/rows", d["about"], verify) for d in said["deltas"])
     touched = tuple(_table(spark, f"{at}{d['folder']}/ids", d["touched"], verify) for d in said["deltas"])
-    segment = segments.Segment(f"{at}{said['base']}", about["files"]) if about.get("described") else None
+    segment = segments.Segment(f"{at}{said['base']}", about["files"], bool(about.get("prefixes"))) if about.get("described") else None
     return Version(base, key, _VERSION, rows, touched, sum(d["touched"]["rows"] for d in said["deltas"]), about["rows"] + sum(d["about"]["rows"] for d in said["deltas"]), segment)
 
 
