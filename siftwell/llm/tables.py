@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,20 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_SHARED
 
 
+#: Folders that keep() has written within scratch(), in order.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the folders of all tables that are kept meanwhile, so that whoever knows what is still read can delete the rest."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and any executor can read it."""
     path = f"{shared_dir(df.sparkSession)}/siftwell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of keep(); one that is gone already is no error."""
+    if "/siftwell/" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by keep(), once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/siftwell/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:

@@ -326,3 +326,14 @@ def test_ids_of_pretokens_that_share_a_hash(monkeypatch):
         flat, counts = coder.encode(pa.array(texts))
         cuts = np.cumsum(counts)[:-1]
         assert [x.tolist() for x in np.split(flat, cuts)] == [coder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_the_pipeline_leaves_its_result_alone(spark, sf, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    from siftwell.llm import tables
+
+    monkeypatch.setattr(tables, "LOCAL_SHARED", str(tmp_path))
+    docs = corpus_pipeline.run(spark, sf)
+    left = [p.name for p in Path(tmp_path, "siftwell").iterdir()]
+    assert docs.count() > 0 and len(left) == 1 and left[0].startswith("packing-")
