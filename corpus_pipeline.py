@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import linededup, mixing, ngramjoin, packing, toxicity
 from siftwell.llm.queries import tokenizer_path, training_labels
-from siftwell.llm.tables import drop, keep, table
+from siftwell.llm.tables import delete, keep, scratch, table
 
 #: A line is boilerplate of a source if over 2 % of its documents hold it, five at least.
 LINE_RATIO, LINE_MIN = 0.02, 5
@@ -60,10 +60,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        if before is not None:
-            drop(before)  # the next stage's table is whole
-        before = docs
+        with scratch() as made:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        # the stage's table, written last, is whole: what it was made from is read no more, the table before it included
+        for folder in read + made[:-1]:
+            delete(spark, folder)
+        read = made[-1:]
     return docs
