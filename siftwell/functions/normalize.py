@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,12 +90,29 @@ def ascii_text(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else ascii_bytes(t).decode())
+        there = texts.notna()
+        out = pd.Series([None] * len(texts), dtype=object)
+        out[there] = ascii_texts(texts[there].tolist())
+        return out
 
     plain = text.rlike(_ASCII)
     return F.when(plain, text).otherwise(run(F.when(~plain, text)))
 
 
+def ascii_texts(texts: list[str]) -> list[str]:
+    """ascii_bytes of each as text, all in one string of code points; texts that hold the NUL between them go alone."""
+    alone = {i for i, t in enumerate(texts) if "\0" in t}
+    whole = unicodedata.normalize("NFKD", "\0".join("" if i in alone else t for i, t in enumerate(texts)))
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, of = np.unique(codes, return_inverse=True)
+    marks = np.array([unicodedata.combining(chr(c)) != 0 for c in kinds.tolist()], bool)
+    plain = np.where(kinds < 128, kinds, ord("?")).astype(np.uint8)
+    out = plain[of[~marks[of]]].tobytes().decode("ascii").split("\0") if len(codes) else [""] * len(texts)
+    for i in alone:
+        out[i] = ascii_bytes(texts[i]).decode()
+    return out
+
+
 def ascii_bytes(text: str) -> bytes:
     """The old one-byte form: NFKD without marks, anything else beyond ASCII as '?'."""
     plain = unicodedata.normalize("NFKD", text)

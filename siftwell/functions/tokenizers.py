@@ -1,9 +1,12 @@
-"""Query tokenizers: they run once a query, on the driver."""
+"""Query tokenizers: they run once a query, on the driver; and the default one over a column."""
 
 from __future__ import annotations
 
 import string
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: What separates terms (white space and all ASCII punctuation).
 DELIMITERS = "\t\n\r " + string.punctuation
 _SPLIT = str.maketrans(dict.fromkeys(DELIMITERS, " "))
@@ -17,6 +20,11 @@ def split_terms(text: str) -> list[str]:
 default_tokenizer = split_terms
 
 
+def split_column(text: Column) -> Column:
+    """split_terms of a column, by built-in expressions; null stays null."""
+    return F.filter(F.split(text, r"[\t\n\r \p{Punct}]+"), lambda t: t != "")
+
+
 def _kind(c: str) -> str:
     """upper, lower, digit or other."""
     if "0" <= c <= "9":

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.match import WORD_STARTS
 from siftwell.functions.normalize import normalized
-from siftwell.functions.tokenizers import code_tokenizer, split_terms
+from siftwell.functions.tokenizers import code_tokenizer, split_column
 from siftwell.index import DocumentIndex, SearchIndex
 from siftwell.operators.filters import FilterField
 from siftwell.plans.options import TokenMatch, Typo
@@ -371,12 +371,7 @@ add("auxiliary_matches", _aux, _AUX[: _AUX.rindex("SELECT CAST")] + "SELECT CAST
 
 def _query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every part name and type by the split that queries undergo, as a table."""
-
-    @F.udf("array<string>", useArrow=True)
-    def split(text: str) -> list[str]:
-        return split_terms(text)
-
-    return read(spark, sf_dir, "part").select("p_partkey", F.explode(split(F.concat_ws("-", "p_name", "p_brand"))).alias("term"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(split_column(F.concat_ws("-", "p_name", "p_brand"))).alias("term"))
 
 
 add("token_split", _query_terms, r"SELECT p_partkey, unnest(list_filter(regexp_split_to_array(p_name || '-' || p_brand, '[\t\n\r !-/:-@\[-`{-~]'), lambda x: x <> '')) AS term FROM part")

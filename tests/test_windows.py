@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftwell.functions import windows
 from siftwell.functions.match import place, query_of, token_starts
-from siftwell.functions.normalize import normalize_text, normalize_texts
+from siftwell.functions.normalize import ascii_bytes, ascii_texts, normalize_text, normalize_texts
+from siftwell.functions.tokenizers import split_column, split_terms
 from siftwell.functions.typo import best_window, osa_distance
 from siftwell.plans.options import PrefixMatch, TokenMatch, Typo
 
@@ -66,3 +68,15 @@ def test_long_terms_and_texts():
 @given(st.lists(st.text("aÅß́İ\u0000Ɤ\U00010d50  ﬃ가Σς", max_size=12), max_size=6), st.booleans())
 def test_a_batch_is_normalized_as_each_text(texts, folded):
     assert normalize_texts(texts, folded) == [normalize_text(t, folded) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aÅé́ﬃ你\u0000 Σ½", max_size=10), max_size=5))
+def test_a_batch_in_ascii_is_that_of_each_text(texts):
+    assert ascii_texts(texts) == [ascii_bytes(t).decode() for t in texts]
+
+
+def test_terms_of_a_column(spark):
+    texts = ["a-b  c", "", "--", "one_two.three\n4", "é'ü/ß", "~tilde^caret|bar", "x y", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(split_column(F.col("t"))).collect()] == [None if t is None else split_terms(t) for t in texts]
