@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,18 @@ def normalize_text(text: str, folded: bool = True) -> str:
     return unicodedata.normalize("NFC", fold(text)) if folded else text
 
 
+def over_texts(texts: pd.Series, of: Callable[[list[str]], list]) -> pd.Series:
+    """What a function of lists gives for the texts that are there; null for the others."""
+    there = texts.notna().to_numpy()
+    out = np.full(len(texts), None, object)
+    out[there] = of(texts[there].tolist())
+    return pd.Series(out)
+
+
 def _udf(folded: bool):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        there = texts.notna()
-        out = pd.Series([None] * len(texts), dtype=object)
-        out[there] = normalize_texts(texts[there].tolist(), folded)
-        return out
+        return over_texts(texts, lambda some: normalize_texts(some, folded))
 
     return run
 
@@ -90,10 +96,7 @@ def ascii_text(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        there = texts.notna()
-        out = pd.Series([None] * len(texts), dtype=object)
-        out[there] = ascii_texts(texts[there].tolist())
-        return out
+        return over_texts(texts, ascii_texts)
 
     plain = text.rlike(_ASCII)
     return F.when(plain, text).otherwise(run(F.when(~plain, text)))

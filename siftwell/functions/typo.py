@@ -27,12 +27,13 @@ def osa(text: Column, term: str, bound: int) -> Column:
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
         from siftwell.functions import windows
+        from siftwell.functions.normalize import over_texts
 
-        out, there = pd.Series([None] * len(texts), dtype="Int32"), texts.notna().to_numpy()
-        some = texts[there].tolist()
-        got = windows.distances(some, term) if len(term) <= windows.WORD else [osa_distance(t, term, bound) for t in some]
-        out[there] = [min(int(d), bound + 1) for d in got]
-        return out
+        def far(some: list[str]) -> list[int]:
+            got = windows.distances(some, term) if len(term) <= windows.WORD else [osa_distance(t, term, bound) for t in some]
+            return [min(int(d), bound + 1) for d in got]
+
+        return over_texts(texts, far).astype("Int32")
 
     near = F.abs(F.length(text) - len(term)) <= bound
     return F.when(text.isNull(), F.lit(None)).when(near, run(F.when(near, text))).otherwise(F.lit(bound + 1))

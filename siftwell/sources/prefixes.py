@@ -85,13 +85,13 @@ def _lists(weights: list[float], out_schema: pa.Schema):
 
 
 def describe(prepared: DataFrame, folder: str, schema: IndexSchema) -> bool:
-    """Writes the lists of the stored documents (prepared, with their file as doc._file) to folder/prefixes; False for ids of mixed kinds, which have none."""
+    """Writes the lists of the stored documents (prepared, with their file as doc._stored_file) to folder/prefixes; False for ids of mixed kinds, which have none."""
     kind = prepared.schema["id"].dataType
     if not isinstance(kind, T.IntegralType | T.StringType):
         return False
     out = T.StructType([T.StructField("prefix", T.StringType()), T.StructField("field", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("id", kind), T.StructField("score", T.LongType()), T.StructField("exact_match", T.BooleanType()), T.StructField("matched_length", T.LongType())])
     arrow = pa.schema([(f.name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "smallint": pa.int16(), "tinyint": pa.int8()}[f.dataType.simpleString()]) for f in out.fields])
-    texts = prepared.select(F.col("doc._file").alias("file"), "id", *(f"_n_{k}" for k in range(len(schema.fields))))
+    texts = prepared.select(F.col("doc._stored_file").alias("file"), "id", *(f"_n_{k}" for k in range(len(schema.fields))))
     each = texts.mapInArrow(_lists([f.weight for f in schema.fields], arrow), out)
     keys = [F.col("score").desc(), F.col("exact_match").desc(), F.col("matched_length").asc(), *rank.id_keys(kind)]
     first = each.withColumn("place", F.row_number().over(Window.partitionBy("prefix", "field").orderBy(*keys))).filter(F.col("place") <= KEPT)

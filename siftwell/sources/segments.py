@@ -166,14 +166,14 @@ def _zone(schema: IndexSchema) -> Callable[[str], tuple[Column, Column, Column]]
 def describe(spark: SparkSession, folder: str, docs: DataFrame, schema: IndexSchema) -> dict[str, Any]:
     """Writes files and grams of the table folder/docs (its schema is that of docs) beside it; rows and checksum of the whole, combined from the files, and their number and bytes."""
     df = spark.read.schema(docs.schema).parquet(f"{folder}/docs")
-    rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_size").alias("_size"), row_crc32(df).alias("_crc"))
+    rows = df.select("*", F.col("_metadata.file_name").alias("_stored_file"), F.col("_metadata.file_size").alias("_stored_size"), row_crc32(df).alias("_stored_crc"))
     typed = schema.typed(rows)
     zones = [a.alias(f"{n}_{k}") for k, f in enumerate(schema.filter_fields) if f.kind != "string[]" for n, a in (("lo", F.min(f"_a_{f.name}")), ("hi", F.max(f"_a_{f.name}")))]
     nulls = [F.count_if(F.col(f"_a_{f.name}").isNull()).alias(f"nulls_{k}") for k, f in enumerate(schema.filter_fields)]
-    each = rows.select(F.col("_file").alias("file"), "_size", "_crc", *typed).groupBy("file")
-    each.agg(F.count("*").alias("rows"), F.max("_size").alias("bytes"), F.sum("_crc").alias("crc32_sum"), *zones, *nulls).coalesce(1).write.mode("overwrite").parquet(f"{folder}/files")
+    each = rows.select(F.col("_stored_file").alias("file"), "_stored_size", "_stored_crc", *typed).groupBy("file")
+    each.agg(F.count("*").alias("rows"), F.max("_stored_size").alias("bytes"), F.sum("_stored_crc").alias("crc32_sum"), *zones, *nulls).coalesce(1).write.mode("overwrite").parquet(f"{folder}/files")
     prepared = schema.prepare(rows)
-    texts = prepared.select(F.col("doc._file").alias("file"), *(f"_n_{k}" for k in range(len(schema.fields))))
+    texts = prepared.select(F.col("doc._stored_file").alias("file"), *(f"_n_{k}" for k in range(len(schema.fields))))
     grams = texts.mapInArrow(_bitmaps(len(schema.fields)), GRAMS).groupBy("file", "field", "piece").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     # by piece first: a probe reads the row groups of its pieces alone
     grams.repartitionByRange("piece", "field", "file").sortWithinPartitions("piece", "field", "file").write.mode("overwrite").parquet(f"{folder}/grams")
@@ -184,7 +184,7 @@ def describe(spark: SparkSession, folder: str, docs: DataFrame, schema: IndexSch
 
 def damaged(spark: SparkSession, folder: str, docs: DataFrame) -> list[str]:
     """Files of folder/docs whose rows are not those that were described, by one pass over the table."""
-    now = docs.select(F.col("_metadata.file_name").alias("file"), row_crc32(docs).alias("_crc")).groupBy("file").agg(F.count("*").alias("_n"), F.sum("_crc").alias("_sum"))
+    now = docs.select(F.col("_metadata.file_name").alias("file"), row_crc32(docs).alias("_stored_crc")).groupBy("file").agg(F.count("*").alias("_n"), F.sum("_stored_crc").alias("_sum"))
     met = spark.read.parquet(f"{folder}/files").join(now, "file", "full")
     bad = met.filter(~(F.col("rows").eqNullSafe(F.col("_n")) & F.col("crc32_sum").eqNullSafe(F.col("_sum"))))
     return sorted(r.file for r in bad.select("file").limit(10).collect())

@@ -94,7 +94,7 @@ def _described(df: DataFrame, folder: str, schema: IndexSchema) -> dict[str, Any
     df.write.mode("overwrite").parquet(f"{folder}/docs")
     about = segments.describe(df.sparkSession, folder, df, schema)
     rows = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/docs")
-    prefixed = prefixes.describe(schema.prepare(rows.select("*", F.col("_metadata.file_name").alias("_file"))), folder, schema)
+    prefixed = prefixes.describe(schema.prepare(rows.select("*", F.col("_metadata.file_name").alias("_stored_file"))), folder, schema)
     return {**about, "columns": df.schema.json(), "described": True, "prefixes": prefixed}
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import windows
 from siftwell.functions.match import place, query_of, token_starts
-from siftwell.functions.normalize import ascii_bytes, ascii_texts, normalize_text, normalize_texts
+from siftwell.functions.normalize import ascii_bytes, ascii_text, ascii_texts, normalize_text, normalize_texts, normalized
 from siftwell.functions.tokenizers import split_column, split_terms
-from siftwell.functions.typo import best_window, osa_distance
+from siftwell.functions.typo import best_window, osa, osa_distance
 from siftwell.plans.options import PrefixMatch, TokenMatch, Typo
 
 TEXT = st.text("abcé -_", max_size=14)
@@ -80,3 +80,10 @@ def test_terms_of_a_column(spark):
     texts = ["a-b  c", "", "--", "one_two.three\n4", "é'ü/ß", "~tilde^caret|bar", "x y", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(split_column(F.col("t"))).collect()] == [None if t is None else split_terms(t) for t in texts]
+
+
+def test_columns_with_nulls(spark):
+    texts = ["ŋÉ", None, "", "a", "你́", None, "ﬃ x", "plain", " Ω　"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = df.select(normalized(F.col("t")), ascii_text(F.col("t")), osa(F.col("t"), "ab", 2)).collect()
+    assert [tuple(r) for r in got] == [(None, None, None) if t is None else (normalize_text(t), ascii_bytes(t).decode(), min(3, osa_distance(t, "ab"))) for t in texts]
