@@ -6,6 +6,7 @@ import threading
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -54,6 +55,11 @@ class DocumentIndex:
         names = now.segment.chosen(spark, self.schema, query, places, expression)
         return self.prepared if names is None else self._prepared(replace(now, base=now.segment.read(now.base, names)).docs())
 
+    @cached_property
+    def bytes(self) -> int:
+        """The size of the documents by Spark's estimate, made once: it takes a pass of the optimizer."""
+        return self.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
     def known_documents(self) -> int | None:
         """The number of documents that the manifest of a restored index gives, until a batch changes it."""
         now = self.version
@@ -89,7 +95,7 @@ class DocumentIndex:
 
     def plan(self, query: str, **options: Any) -> Search:
         """A validated search, not yet run: its results, matched, facets and suggestions are lazy DataFrames."""
-        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed, self.sampled, self.known_documents())
+        return Search(self.schema, self.prepared, query, SearchOptions(**options), self.narrowed, self.sampled, self.known_documents(), lambda: self.bytes)
 
     def search(self, query: str, **options: Any) -> Response:
         return self.plan(query, **options).collect()

@@ -70,6 +70,8 @@ class Search:
     sampled: Callable[[float], DataFrame] | None = None
     #: Their number, where it is known without counting.
     documents: int | None = None
+    #: Gives the table's size by Spark's estimate.
+    size: Callable[[], int] | None = None
     started: float = field(default_factory=time.monotonic)
     aborted: threading.Event = field(default_factory=threading.Event)
 
@@ -144,9 +146,9 @@ class Search:
         are not what comes first, or the table is too small to be worth the sample (BOUND_BYTES), all matches are ranked: the page is the same.
         """
         o = self.options
-        source = self._source(self.expression)
-        if self.nothing or self.sampled is None or not o.tie_breakers or o.tie_breakers[0] != "score" or source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < BOUND_BYTES:
+        if self.nothing or self.sampled is None or not o.tie_breakers or o.tie_breakers[0] != "score" or self.size is None or self.size() < BOUND_BYTES:
             return self.matched
+        source = self._source(self.expression)
         some = self.sampled(SAMPLE) if self.condition is None else self.sampled(SAMPLE).filter(self.condition)
         found = self._scored(some).select("score").orderBy(F.col("score").desc()).limit(o.limit)
         least = F.coalesce(found.agg(F.when(F.count("*") >= o.limit, F.min("score")).alias("least")).scalar(), F.lit(-(2**31)))

@@ -148,8 +148,9 @@ class Segment:
         """The table, or of it those files alone."""
         if names is None:
             return base
-        spark = base.sparkSession
-        return spark.read.schema(base.schema).parquet(*(f"{self.folder}/docs/{n}" for n in names)) if names else spark.createDataFrame([], base.schema)
+        if not names:  # Spark drops the scan
+            return base.filter(F.lit(False))
+        return base.sparkSession.read.schema(base.schema).parquet(*(f"{self.folder}/docs/{n}" for n in names))
 
 
 def _bit(position: int) -> Column:
