@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,18 +43,35 @@ def normalize_text(text: str, folded: bool = True) -> str:
     return unicodedata.normalize("NFC", fold(text)) if folded else text
 
 
-def over_texts(texts: pd.Series, of: Callable[[list[str]], list]) -> pd.Series:
-    """What a function of lists gives for the texts that are there; null for the others."""
-    there = texts.notna().to_numpy()
-    out = np.full(len(texts), None, object)
-    out[there] = of(texts[there].tolist())
-    return pd.Series(out)
+#: Bytes of a batch's texts that are out of Arrow at a time.
+STEP_BYTES = 1 << 20
+
+
+def runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(lo, hi) of rows in runs of texts of at most so many bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, size + (ends[lo - 1] if lo else 0), "right")))
+        yield lo, hi
+        lo = hi
+
+
+def over_texts(texts: pa.Array, of: Callable[[list[str]], list], kind: pa.DataType) -> pa.Array:
+    """What a function of lists gives for the texts that are there, run by run; null for the others."""
+
+    def given(some: list[str | None]) -> list:
+        got = iter(of([t for t in some if t is not None]))
+        return [None if t is None else next(got) for t in some]
+
+    out = [pa.array(given(texts.slice(lo, hi - lo).to_pylist()), kind) for lo, hi in runs(texts, STEP_BYTES)]
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
 def _udf(folded: bool):
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return over_texts(texts, lambda some: normalize_texts(some, folded))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return over_texts(texts, lambda some: normalize_texts(some, folded), pa.string())
 
     return run
 
@@ -94,9 +112,9 @@ def shortest(text: Column) -> Column:
 def ascii_text(text: Column) -> Column:
     """ascii_bytes of a column, as text; null stays null. ASCII rows stay in the JVM."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return over_texts(texts, ascii_texts)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return over_texts(texts, ascii_texts, pa.string())
 
     plain = text.rlike(_ASCII)
     return F.when(plain, text).otherwise(run(F.when(~plain, text)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ class Window:
 def osa(text: Column, term: str, bound: int) -> Column:
     """Distance of each text of a column to a term; past the bound, bound + 1. Texts whose length alone is past it stay in the JVM; null stays null."""
 
-    @F.pandas_udf("int")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
         from siftwell.functions import windows
         from siftwell.functions.normalize import over_texts
 
@@ -33,7 +33,7 @@ def osa(text: Column, term: str, bound: int) -> Column:
             got = windows.distances(some, term) if len(term) <= windows.WORD else [osa_distance(t, term, bound) for t in some]
             return [min(int(d), bound + 1) for d in got]
 
-        return over_texts(texts, far).astype("Int32")
+        return over_texts(texts, far, pa.int32())
 
     near = F.abs(F.length(text) - len(term)) <= bound
     return F.when(text.isNull(), F.lit(None)).when(near, run(F.when(near, text))).otherwise(F.lit(bound + 1))

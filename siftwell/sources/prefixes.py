@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.windows import Texts, chunks
+from siftwell.functions.normalize import runs
+from siftwell.functions.windows import STEP_CHARS, Texts
 from siftwell.operators import rank
 from siftwell.plans.options import TIE_BREAKERS, Autocomplete
 from siftwell.plans.schema import IndexSchema
@@ -71,9 +72,9 @@ def _lists(weights: list[float], out_schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for field, weight in enumerate(weights):
-                texts = [t or "" for t in batch.column(field + 2).to_pylist()]
-                for lo, hi in chunks(texts):
-                    part, ids = texts[lo:hi], batch.column(1).slice(lo, hi - lo)
+                texts = batch.column(field + 2)
+                for lo, hi in runs(texts, STEP_CHARS):
+                    part, ids = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()], batch.column(1).slice(lo, hi - lo)
                     for r, place, n, score, exact, size in _found(part, _ranked(ids), weight):
                         if len(r):
                             names = [part[i][a : a + k] for i, a, k in zip(r.tolist(), place.tolist(), n.tolist(), strict=True)]

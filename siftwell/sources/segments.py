@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.checksum import row_crc32
 from siftwell.functions.match import Query, exact_head, pieces
+from siftwell.functions.normalize import STEP_BYTES, runs
 from siftwell.operators.filters import compile_bounds
 from siftwell.plans.schema import IndexSchema
 
 #: Bits of a file's trigrams in a field, and those of a row (fixed by Spark's bitmap functions).
 BITS, PIECE = 1 << 18, 1 << 15
 GRAM = 3
+#: Characters whose trigrams are found at a time.
+STEP_CHARS = 1 << 18
 #: Trigrams of one term that are looked up at most: any of them may exclude a file.
 LOOKED_UP = 12
 #: Above this share of a table's files, or this many, a search reads the table as it is.
@@ -52,6 +55,14 @@ def grams_of(term: str) -> list[int]:
     return found if len(found) <= LOOKED_UP else [found[k * len(found) // LOOKED_UP] for k in range(LOOKED_UP)]
 
 
+def _codes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Code points of texts, NUL between them, in steps that together hold every trigram: a step ends with what the trigrams begun in it need of the next."""
+    for lo, hi in runs(texts, STEP_BYTES):
+        text = "\0".join(t or "" for t in texts.slice(lo, hi - lo).to_pylist())
+        for at in range(0, len(text), STEP_CHARS):
+            yield np.frombuffer(text[at : at + STEP_CHARS + GRAM - 1].encode("utf-32-le"), np.uint32)
+
+
 def _bitmaps(fields: int):
     """From rows (file, a normalized text a field) those of GRAMS, once a run of rows of a file."""
 
@@ -74,8 +85,8 @@ def _bitmaps(fields: int):
                     yield close()
                 now = names[lo]
                 for k in range(fields):
-                    text = "\0".join(t or "" for t in batch.column(k + 1).slice(lo, hi - lo).to_pylist())
-                    held[k, _positions(np.frombuffer(text.encode("utf-32-le"), np.uint32))] = True
+                    for codes in _codes(batch.column(k + 1).slice(lo, hi - lo)):
+                        held[k, _positions(codes)] = True
         if now is not None:
             yield close()
 
