@@ -45,6 +45,8 @@ def normalize_text(text: str, folded: bool = True) -> str:
 
 #: Bytes of a batch's texts that are out of Arrow at a time.
 STEP_BYTES = 1 << 20
+#: Characters whose old ASCII form is made at a time.
+STEP_CHARS = 1 << 18
 
 
 def runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
@@ -121,19 +123,27 @@ def ascii_text(text: Column) -> Column:
 
 
 def ascii_texts(texts: list[str]) -> list[str]:
-    """ascii_bytes of each as text, all in one string of code points; texts that hold the NUL between them go alone."""
-    alone = {i for i, t in enumerate(texts) if "\0" in t}
-    whole = unicodedata.normalize("NFKD", "\0".join("" if i in alone else t for i, t in enumerate(texts)))
-    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds, of = np.unique(codes, return_inverse=True)
-    marks = np.array([unicodedata.combining(chr(c)) != 0 for c in kinds.tolist()], bool)
-    plain = np.where(kinds < 128, kinds, ord("?")).astype(np.uint8)
-    out = plain[of[~marks[of]]].tobytes().decode("ascii").split("\0") if len(codes) else [""] * len(texts)
+    """ascii_bytes of each as text, all in one string; texts that hold the NUL between them, and long ones, go alone."""
+    alone = {i for i, t in enumerate(texts) if "\0" in t or len(t) > STEP_CHARS}
+    rest = "\0".join("" if i in alone else t for i, t in enumerate(texts))
+    out = _ascii(rest).split("\0") if texts else []
     for i in alone:
-        out[i] = ascii_bytes(texts[i]).decode()
+        out[i] = _ascii(texts[i])
     return out
 
 
+def _ascii(text: str) -> str:
+    """ascii_bytes as text, in steps: each character's form stands for itself, since only marks, which go, change places."""
+    out = []
+    for at in range(0, len(text), STEP_CHARS):
+        codes = np.frombuffer(unicodedata.normalize("NFKD", text[at : at + STEP_CHARS]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, of = np.unique(codes, return_inverse=True)
+        marks = np.array([unicodedata.combining(chr(c)) != 0 for c in kinds.tolist()], bool)
+        plain = np.where(kinds < 128, kinds, ord("?")).astype(np.uint8)
+        out.append(plain[of[~marks[of]]].tobytes().decode("ascii"))
+    return "".join(out)
+
+
 def ascii_bytes(text: str) -> bytes:
     """The old one-byte form: NFKD without marks, anything else beyond ASCII as '?'."""
     plain = unicodedata.normalize("NFKD", text)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siftwell.functions import normalize
-from siftwell.functions.normalize import normalize_texts, over_texts, runs
+from siftwell.functions.normalize import ascii_bytes, ascii_texts, normalize_texts, over_texts, runs
 from siftwell.sources import prefixes, segments
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("abé가😀́ ", max_size=12)), max_size=9)
@@ -91,3 +91,25 @@ def test_lists_of_prefixes_do_not_depend_on_steps(monkeypatch):
         return {p: sorted(rows)[:5] for p, rows in out.items()}
 
     assert first(1 << 21) == first(9000) == first(1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aÅé́̈̀ͅﬃ가\u1100\u1161\u11a8\ufdfa你\0 Σ½", max_size=14), max_size=5), st.integers(1, 6))
+def test_the_ascii_form_in_steps(texts, chars):
+    before = normalize.STEP_CHARS
+    normalize.STEP_CHARS = chars
+    try:
+        assert ascii_texts(texts) == [ascii_bytes(t).decode() for t in texts]
+    finally:
+        normalize.STEP_CHARS = before
+
+
+@pytest.mark.parametrize("rows", [500, 3000])
+def test_the_ascii_form_of_a_large_batch(rows):
+    texts = long_batch(rows).column(2)
+    assert peak(lambda: over_texts(texts, ascii_texts, pa.string())) < 32 << 20
+
+
+def test_the_ascii_form_of_one_long_text():
+    text = "".join(long_batch(2000).column(2).to_pylist())
+    assert peak(lambda: ascii_texts([text])) < 8 * len(text)
